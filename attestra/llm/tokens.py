@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -15,7 +17,9 @@ from pyspark.sql import functions as F
 from attestra.llm.common import field, table_path, type_of, utf8
 
 #: Words whose ids a worker keeps; beyond it, its store is emptied and refilled.
-STEMS_KEPT, WORDS_KEPT = 400_000, 300_000
+STEMS_KEPT, WORDS_KEPT = 500_000, 700_000
+#: Texts whose new words are encoded in one call.
+TEXTS_TOGETHER = 64
 #: A word's letters and a run of ASCII signs after them that no contraction rule can claim.
 _TAIL = re.compile(rb"([a-z]+)([!-&(-/:-@\[-`{-~]+)\Z")
 
@@ -28,50 +32,71 @@ class WordEncoder:
     """
 
     def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.stems: dict[bytes, bytes] = {}
         self.words: dict[bytes, bytes] = {}
-
-    def _encode(self, fresh: list[bytes]) -> None:
-        got = self.tokenizer.encode_batch_fast([x.decode() for x in fresh], add_special_tokens=False)
-        for word, ids in zip(fresh, got, strict=True):
-            self.stems[word] = np.array(ids.ids, "<u4").tobytes()
-
-    def _learn(self, words: set[bytes]) -> None:
-        """Enter the ids of new words. ASCII letters and the signs after them are separate pieces to the tokenizer."""
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.ends = {k for word, k in self.tokenizer.get_vocab().items() if word.endswith(suffix)} if suffix else None
+
+    def _encode(self, stems: list[bytes]) -> Iterator[tuple[bytes, list[int]]]:
+        """The ids of each stem, by the shortest way through the library.
+
+        Where the tokenizer marks word ends, lower-case ASCII letters reach its model unchanged, so the
+        model is asked alone; and other words of letters are encoded many at a time and parted at the marks.
+        """
+        rest, letters = [], []
+        for stem in stems:
+            if self.ends is None:
+                rest.append(stem)
+            elif stem.isalpha() and stem.islower():
+                yield stem, [x.id for x in self.tokenizer.model.tokenize(stem.decode())]
+            else:
+                (letters if stem.decode().isalpha() else rest).append(stem)
+        groups = [letters[k : k + 50] for k in range(0, len(letters), 50)]
+        for group, got in zip(groups, self.tokenizer.encode_batch_fast([b" ".join(g).decode() for g in groups], add_special_tokens=False), strict=True):
+            ids = got.ids
+            cuts = [k + 1 for k, x in enumerate(ids) if x in self.ends]
+            if len(cuts) == len(group):  # each word has one end at least
+                yield from zip(group, (ids[a:b] for a, b in zip([0, *cuts], cuts, strict=False)), strict=True)
+            else:
+                rest += group
+        for stem, got in zip(rest, self.tokenizer.encode_batch_fast([x.decode() for x in rest], add_special_tokens=False), strict=True):
+            yield stem, got.ids
+
+    def _learn(self, fresh: list[bytes]) -> dict[bytes, bytes]:
+        """The ids of words that are not kept yet. ASCII letters and the signs after them are separate pieces to the tokenizer."""
         if len(self.words) > WORDS_KEPT:
             self.words.clear()
         if len(self.stems) > STEMS_KEPT:
             self.stems.clear()
-        fresh = [x for x in words if x not in self.words]
-        parts = []
+        parts, stems = [], self.stems
         for word in fresh:
             folded = word.lower() if word.isascii() else word
-            cut = None if folded.isalpha() and folded.isascii() else _TAIL.match(folded)
+            cut = None if folded.isalpha() else _TAIL.match(folded)
             parts.append(cut.groups() if cut else (folded,))
-        self._encode([x for x in {p for some in parts for p in some} if x not in self.stems])
-        stems = self.stems
-        for word, some in zip(fresh, parts, strict=True):
-            self.words[word] = stems[some[0]] if len(some) == 1 else stems[some[0]] + stems[some[1]]
+        for stem, ids in self._encode([x for x in {p for some in parts for p in some} if x not in stems]):
+            stems[stem] = array("I", ids).tobytes()
+        made = {word: stems[some[0]] if len(some) == 1 else stems[some[0]] + stems[some[1]] for word, some in zip(fresh, parts, strict=True)}
+        self.words.update(made)
+        return made
+
+    def encode_all(self, texts: list[bytes | None]) -> Iterator[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
+        for k in range(0, len(texts), TEXTS_TOGETHER):
+            known = self.words.get
+            split = [x.split() if x else [] for x in texts[k : k + TEXTS_TOGETHER]]
+            found = [[*map(known, words)] for words in split]
+            gaps = [None in ids for ids in found]
+            fresh = {w for words, ids, gap in zip(split, found, gaps, strict=True) if gap for w, x in zip(words, ids, strict=True) if x is None}
+            made = self._learn(list(fresh)) if fresh else {}
+            for words, ids, gap in zip(split, found, gaps, strict=True):
+                yield b"".join([made[w] if x is None else x for w, x in zip(words, ids, strict=True)] if gap else ids)
 
     def encode(self, text: bytes | None) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        if not text:
-            return b""
-        words = text.split()
-        known = self.words
-        try:
-            return b"".join([known[x] for x in words])
-        except KeyError:
-            self._learn(set(words))
-            known = self.words
-            return b"".join([known[x] if x in known else self._again(x) for x in words])
-
-    def _again(self, word: bytes) -> bytes:
-        self._learn({word})
-        return self.words[word]
+        return next(self.encode_all([text]))
 
 
 @lru_cache(maxsize=2)
@@ -93,8 +118,8 @@ def pieces(docs: DataFrame, tokenizer: str, *, end_id: int = 0, capacity: int =
         code = encoder(tokenizer)
         for batch in batches:
             rows, piece, start, made = [], [], [], []
-            for k, text in enumerate(utf8(batch.column(1))):
-                ids = code.encode(text) + tail
+            for k, ids in enumerate(code.encode_all(utf8(batch.column(1)))):
+                ids += tail
                 for number, at in enumerate(range(0, len(ids), width)):
                     rows.append(k)
                     piece.append(number)
@@ -145,7 +170,7 @@ def _numbered_tokens(tokenizer: str, end_id: int):
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
-                got = [code.encode(x) + tail for x in utf8(batch.column(1))]
+                got = [x + tail for x in code.encode_all(utf8(batch.column(1)))]
                 sizes = np.array([len(x) // 4 for x in got], np.int64)
                 ends = np.cumsum(sizes)
                 ids = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(got))])
