@@ -13,10 +13,12 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestra.llm.common import field, type_of, utf8
+from attestra.llm.common import field, utf8
+
+HITS = "n_words bigint, spans array<array<int>>, items array<string>"
 
 #: A-Z to lower case; every other byte up to 0x7F but for 0-9 and a-z parts words.
 _FOLD = bytes(
@@ -91,26 +93,24 @@ def _merged(spans: list[list[int]]) -> list[list[int]]:
     return out
 
 
-def find_passages(
-    docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = 13, block_bytes: int = 64 << 20
-) -> DataFrame:
-    """Per document: ``n_words``, merged word ``spans`` (start, end) that benchmark windows cover, and the ``items`` they come from.
+def hits(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = 13, block_bytes: int = 64 << 20) -> Column:
+    """A column of ``docs``: (n_words, merged word ``spans`` (start, end) that benchmark windows cover, the ``items`` they come from).
 
     The benchmark is read in blocks of at most ``block_bytes`` of text (one item at least); each block
-    is broadcast alone and searched over all documents in one pass, so a larger benchmark means more
-    passes in one scan, not a larger broadcast. Whole texts are searched.
+    is broadcast alone, and the searches of all blocks follow each other in one scan, so a larger
+    benchmark means more searches, not a larger broadcast. Whole texts are searched.
 
     Null or empty text and text without words: no words, no spans. Null or wordless items match
-    nothing; items with equal words all count; repeated rows stay. An empty benchmark leaves all
-    clean, an empty document table gives no rows. Other columns of ``docs`` are not carried.
+    nothing; items with equal words all count.
     """
-    sc, id_type = docs.sparkSession.sparkContext, type_of(docs, id_col)
+    sc = docs.sparkSession.sparkContext
     source = benchmark.select(field(item_col).cast("string").alias("item"), field(item_text_col).alias("text")).where("item is not null and text is not null")
-    found = docs.select(field(id_col).alias("id"), field(text_col).cast("string").alias("text"), F.lit(None).cast("array<array<int>>").alias("spans"), F.lit(None).cast("array<string>").alias("items"))
-    schema = f"id {id_type}, text string, spans array<array<int>>, items array<string>"
+    text = field(text_col).cast("string")
+    found = None
     for names, texts in _blocks(source, block_bytes):
-        found = found.mapInArrow(_search_block(sc.broadcast((names, texts)), width), schema)
-    return found.mapInArrow(_count_words, f"id {id_type}, n_words bigint, spans array<array<int>>, items array<string>").withColumnRenamed("id", id_col)
+        search = _search_block(sc.broadcast((names, texts)), width)
+        found = search(text) if found is None else search(text, found)
+    return found if found is not None else _search_block(sc.broadcast(([], [])), width)(text)
 
 
 def _blocks(source: DataFrame, most: int) -> Iterator[tuple[list[str], list[bytes]]]:
@@ -128,48 +128,68 @@ def _blocks(source: DataFrame, most: int) -> Iterator[tuple[list[str], list[byte
 
 
 def _search_block(block, width: int):
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, texts = block.value
-        tables = searchers(list(enumerate(texts)), width)
-        for batch in batches:
-            spans, items = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            for k, text in enumerate(utf8(batch.column(1))):
-                words = words_of(text)
-                for table in tables:
-                    for start, owners in table.search(words):
-                        spans[k] = spans[k] or []
-                        if spans[k] and spans[k][-1][0] <= start <= spans[k][-1][1]:
-                            spans[k][-1][1] = max(spans[k][-1][1], start + table.length)
-                        else:
-                            spans[k].append([start, start + table.length])
-                        items[k] = (items[k] if isinstance(items[k], set) else set(items[k] or ())) | {names[i] for i in owners}
-            items = [sorted(x) if x else None for x in items]
-            spans = [_merged(x) if x else None for x in spans]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, pa.list_(pa.list_(pa.int32()))), pa.array(items, pa.list_(pa.string()))], names=batch.schema.names)
+    """A function of text and, where there are any, the hits of the blocks before."""
+
+    @F.arrow_udf(HITS)
+    def search(*given: pa.Array) -> pa.Array:
+        names = block.value[0]
+        tables = _tables(block, width)
+        texts = utf8(given[0])
+        before = given[1].to_pylist() if len(given) > 1 else [None] * len(texts)
+        counts, spans, items = [], [], []
+        for text, old in zip(texts, before, strict=True):
+            words = words_of(text)
+            covered, owners = (old["spans"], {*old["items"]}) if old else ([], set())
+            for table in tables:
+                for start, some in table.search(words):
+                    if covered and covered[-1][0] <= start <= covered[-1][1]:
+                        covered[-1][1] = max(covered[-1][1], start + table.length)
+                    else:
+                        covered.append([start, start + table.length])
+                    owners |= {names[i] for i in some}
+            counts.append(len(words))
+            spans.append(_merged(covered))
+            items.append(sorted(owners))
+        return pa.StructArray.from_arrays([pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int32()))), pa.array(items, pa.list_(pa.string()))], names=["n_words", "spans", "items"])
 
     return search
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        counts = pa.array([len(words_of(x)) for x in utf8(batch.column(1))], pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0), counts, batch.column(2), batch.column(3)], names=["id", "n_words", "spans", "items"])
+_HELD: dict[tuple, list[WuManber]] = {}
+
+
+def _tables(block, width: int) -> list[WuManber]:
+    """The search tables of a broadcast block, built once in a worker and kept for the next batches."""
+    key = (id(block), width)
+    if key not in _HELD:
+        if len(_HELD) >= 4:
+            _HELD.clear()
+        _HELD[key] = [block, searchers(list(enumerate(block.value[1])), width)]
+    return _HELD[key][1]
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", least_share: int = 20, **options) -> DataFrame:
-    """The verdict per document: contaminated if ``least_share * n_hit >= n_words`` and any word is hit.
+def contamination(docs: DataFrame, benchmark: DataFrame, *, least_share: int = 20, **options) -> DataFrame:
+    """``docs`` with n_words, n_hit, n_items, items_sha256 and contaminated (columns that must not clash), and ``spans`` and ``items``.
 
-    ``items_sha256`` is the digest of the items' ids, sorted as strings and joined by commas (of the
-    empty string where there are none). Rows and nulls as in ``find_passages``.
+    Contaminated: any word is hit and ``least_share * n_hit >= n_words``. ``items_sha256`` is the
+    digest of the items' ids, sorted as strings and joined by commas (of the empty string where
+    there are none). Nulls as in ``hits``; repeated rows stay; an empty benchmark leaves all clean.
     """
-    found = find_passages(docs, benchmark, id_col=id_col, **options)
-    n_hit = F.coalesce(F.aggregate("spans", F.lit(0).cast("bigint"), lambda s, x: s + (x[1] - x[0])), F.lit(0).cast("bigint"))
-    # Spark compares strings by their UTF-8 bytes, which is the order of code points.
-    items = F.coalesce(F.array_sort("items"), F.array().cast("array<string>"))
-    return found.select(
-        field(id_col), "n_words", n_hit.alias("n_hit"), F.size(items).cast("bigint").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
-        ((n_hit > 0) & (n_hit * least_share >= F.col("n_words"))).alias("contaminated"),
-    )
+    new = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans", "items"]
+    if clash := {c.lower() for c in docs.columns} & {*new}:
+        raise ValueError(f"documents already have {sorted(clash)}")
+    found = docs.withColumn("__hits", hits(docs, benchmark, **options))
+    n_hit = F.aggregate("__hits.spans", F.lit(0).cast("bigint"), lambda s, x: s + (x[1] - x[0]))
+    # Spark compares strings by their UTF-8 bytes, which is the order of code points
+    items = F.array_sort("__hits.items")
+    out = found.select(*(field(c) for c in docs.columns), F.col("__hits.n_words").alias("n_words"), n_hit.alias("n_hit"), F.size(items).cast("bigint").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), F.col("__hits.spans").alias("spans"), items.alias("items"))
+    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * least_share >= F.col("n_words")))
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """``docs`` without its contaminated rows, all columns as they are; nothing is shuffled."""
+    renamed = docs.select(F.struct(*(field(c) for c in docs.columns)).alias("row"), field(options.pop("text_col", "text")).alias("text"))
+    return contamination(renamed, benchmark, **options).where("not contaminated").select("row.*")
 
 
 def empty_digest() -> str:

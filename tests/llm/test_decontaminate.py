@@ -2,8 +2,11 @@ import hashlib
 import random
 import re
 
+import pytest
+
 from attestra.llm import decontaminate
 
+COLUMNS = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
@@ -37,12 +40,17 @@ def test_against_brute_force(spark):
     docs = [(k, passage(r.randrange(60))) for k in range(40)]
     docs += [(50 + k, passage(9).upper() + " - " + items[k][1].replace(" ", ",\n") + passage(400 * (k % 2))) for k in range(20)]
     docs += [(90, None), (91, ""), (92, "..."), (None, items[3][1]), (3, docs[3][1])]
-    frame = spark.createDataFrame([(*d, 1) for d in docs], "doc_id bigint, text string, spans int").repartition(3)
+    frame = spark.createDataFrame([(*d, 1) for d in docs], "doc_id bigint, text string, row int").repartition(3)
     bench = spark.createDataFrame([(*i, "z") for i in items], "item_id bigint, text string, doc_id string")
     expected = brute(docs, items)
     got = decontaminate.contamination(frame, bench)
-    assert sorted((tuple(x) for x in got.collect()), key=str) == expected
-    assert sorted((tuple(x) for x in decontaminate.contamination(frame, bench, block_bytes=60).collect()), key=str) == expected
+    assert sorted((tuple(x) for x in got.select(COLUMNS).collect()), key=str) == expected
+    assert sorted((tuple(x) for x in decontaminate.contamination(frame, bench, block_bytes=60).select(COLUMNS).collect()), key=str) == expected
+    clean = decontaminate.without_contaminated(frame, bench)
+    assert clean.columns == frame.columns
+    assert sorted((r.doc_id for r in clean.collect()), key=str) == sorted((x[0] for x in expected if not x[-1]), key=str)
+    with pytest.raises(ValueError):
+        decontaminate.contamination(frame.withColumnRenamed("row", "spans"), bench)
 
 
 def test_empty_tables(spark):
