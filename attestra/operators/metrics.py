@@ -125,8 +125,9 @@ def coverage_gate(each: DataFrame, required: list[str], least: int, by: list[str
 
 def error_patterns(rows: DataFrame, gold: str = "gold", predicted: str = "predicted", most: int = 3) -> DataFrame:
     """The most frequent wrong pairs, by (count descending, name)."""
-    wrong = rows.where(F.col(gold) != F.col(predicted)).groupBy(F.concat_ws("->", gold, predicted).alias("pattern")).agg(F.count(F.lit(1)).alias("n"))
-    return wrong.orderBy(F.desc("n"), "pattern").limit(most)
+    # the test is an aggregate: as a filter it would be pushed below the rows' own expressions and work them out twice
+    each = rows.groupBy(gold, predicted).agg(F.count(F.lit(1)).alias("n"), F.max(F.col(gold) != F.col(predicted)).alias("wrong"))
+    return each.where("wrong").select(F.concat_ws("->", gold, predicted).alias("pattern"), "n").orderBy(F.desc("n"), "pattern").limit(most)
 
 
 def stability(rows: DataFrame, by: str, value: str) -> DataFrame:
