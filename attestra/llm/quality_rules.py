@@ -69,7 +69,11 @@ def _covered(positions: Column) -> Column:
 
 def _repeated(words: Column) -> Column:
     """Words in eight-word windows found twice or more."""
-    windows = _let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: F.transform(F.sequence(F.lit(0), F.size(words) - WINDOW), lambda i: F.xxhash64(F.slice(h, i + 1, WINDOW))))
+    # the hash of two neighbours, of two such pairs, of two such fours
+    paired = lambda by: lambda h: F.zip_with(F.slice(h, 1, F.size(h) - by), F.slice(h, by + 1, F.size(h) - by), lambda a, b: F.xxhash64(a, b))
+    windows = F.transform(words, lambda w: F.xxhash64(w))
+    for by in (1, 2, 4):
+        windows = _let(windows, paired(by))
     count = lambda found: F.when(F.size(F.array_distinct(found)) < F.size(found), _covered(_repeat_positions(words, found))).otherwise(F.lit(0).cast("bigint"))
     return F.when(F.size(words) < WINDOW, F.lit(0).cast("bigint")).otherwise(_let(windows, count))
 

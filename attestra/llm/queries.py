@@ -8,9 +8,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestra.llm import decontaminate, html_text, packing, perplexity, quality_rules, sharding, simhash, tokens, url_rules, warc
+from attestra.llm import decontaminate, html_text, packing, perplexity, quality_rules, sharding, simhash, sql, tokens, url_rules, warc
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op4_quality_rules": sql.QUALITY_RULES, "op6_url_filters": sql.URL_FILTERS, "op9_decontamination": sql.DECONTAMINATION}
 
 
 def tokenizer_path() -> str:
