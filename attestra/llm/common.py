@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from attestra.operators.graph import components
+from attestra.sources.shared import table_path, written
+
+__all__ = ["WORD_GAP", "components", "field", "link_roots", "table_path", "type_of", "utf8", "written"]
+
 #: Bytes that count as white space between words: space and \t \n \v \f \r.
 WORD_GAP = "[\\x20\\x09-\\x0D]+"
 
@@ -23,39 +25,6 @@ def type_of(df: DataFrame, name: str) -> str:
     return df.schema[name].dataType.simpleString()
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where the session leaves it unset (local runs and tests), a temporary folder is taken and
-    entered in the session, so that all operators of the session use the same one.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="attestra-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def table_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/attestra-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage and outlives executors."""
-    spark, path = df.sparkSession, table_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_written(df: DataFrame) -> None:
-    """Delete a table that ``written`` made, once nothing reads it any more."""
-    spark = df.sparkSession
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
-
-
 def utf8(column: pa.Array) -> list[bytes | None]:
     """The UTF-8 bytes of a string column."""
     return column.cast(pa.large_binary()).to_pylist()
@@ -75,44 +44,3 @@ def link_roots(parent: np.ndarray, left: np.ndarray, right: np.ndarray) -> None:
             if np.array_equal(above, parent):
                 break
             parent[:] = above
-
-
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Connected components of ``edges`` (a, b: bigint) as rows (node, root), root the smallest node.
-
-    Alternating large-star and small-star rounds. Every round only takes minima per node and joins
-    them back, so a node with very many neighbours is pre-aggregated on the map side and its join
-    can be split; each round is written to the shared folder. Nodes without a link are not listed;
-    no edges give no rows.
-    """
-    now = written(_oriented(edges), "edges")
-    mark = _mark(now)
-    for _ in range(max_rounds):
-        if not mark[0]:
-            break
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = _oriented(both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")))
-        large = written(large, "large-star")
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        stars = large.join(low, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        after = written(_oriented(stars.unionByName(low.select("a", F.col("m").alias("b")))), "small-star")
-        new = _mark(after)
-        drop_written(large)
-        drop_written(now)
-        now = after
-        if new == mark:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-        mark = new
-    else:
-        raise RuntimeError("components did not settle")
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-
-
-def _oriented(edges: DataFrame) -> DataFrame:
-    """Each edge once, from its larger to its smaller node."""
-    return edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-
-
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
