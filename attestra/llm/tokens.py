@@ -24,11 +24,17 @@ TEXTS_TOGETHER = 64
 _TAIL = re.compile(rb"([a-z]+)([!-&(-/:-@\[-`{-~]+)\Z")
 
 
+def _folded(text: bytes) -> bytes:
+    """A-Z to lower case, unless a combining mark (U+0300 to U+036F) follows somewhere: only these make one character with an ASCII letter, and not for both cases alike."""
+    return text if b"\xcc" in text or b"\xcd" in text else text.lower()
+
+
 class WordEncoder:
     """Ids of a text, word by word.
 
     For a tokenizer whose pre-tokenizer parts at white space and drops it, the ids of a text are the
     ids of its words in turn, so each distinct word is encoded by the library once while it is kept.
+    The tokenizer must fold case, as ``word_bpe_49k.json`` does; another is refused.
     """
 
     def __init__(self, path: str) -> None:
@@ -36,6 +42,9 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        probe = self.tokenizer.encode("Ab  cD\nE.f", add_special_tokens=False).ids
+        if probe != [x for w in ("ab", "cd", "e.f") for x in self.tokenizer.encode(w, add_special_tokens=False).ids]:
+            raise ValueError(f"{path} does not fold case and drop white space")
         self.stems: dict[bytes, bytes] = {}
         self.words: dict[bytes, bytes] = {}
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
@@ -87,7 +96,7 @@ class WordEncoder:
         """Little-endian unsigned 32-bit ids of each text."""
         for k in range(0, len(texts), TEXTS_TOGETHER):
             known = self.words.get
-            split = [x.split() if x else [] for x in texts[k : k + TEXTS_TOGETHER]]
+            split = [_folded(x).split() if x else [] for x in texts[k : k + TEXTS_TOGETHER]]
             found = [[*map(known, words)] for words in split]
             gaps = [None in ids for ids in found]
             fresh = {w for words, ids, gap in zip(split, found, gaps, strict=True) if gap for w, x in zip(words, ids, strict=True) if x is None}
