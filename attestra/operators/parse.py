@@ -16,6 +16,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from attestra.functions import text as T
 
@@ -45,7 +46,7 @@ def sentence_chunks(docs: DataFrame, doc: str = "doc_id", text: str = "text") ->
     return docs.select(doc, F.posexplode(T.sentences(F.col(text))).alias("chunk_id", "text"))
 
 
-@F.pandas_udf("array<struct<start:int,end:int>>")
+@F.pandas_udf(ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType())])))
 def bounded_spans(texts: pd.Series, chars: pd.Series, size: pd.Series) -> pd.Series:
     """Chunks of at most so many characters and bytes, broken at the last white space inside, trimmed."""
 
@@ -430,7 +431,7 @@ def scalars(text: str) -> list[dict]:
     return sorted(out, key=lambda x: (x["start"], x["end"]))
 
 
-@F.pandas_udf("array<struct<kind:string,raw:string,start:int,end:int,value:string>>")
+@F.pandas_udf(ArrayType(StructType([StructField("kind", StringType()), StructField("raw", StringType()), StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("value", StringType())])))
 def typed_scalars(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: scalars(t or ""))
 

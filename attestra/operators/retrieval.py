@@ -66,7 +66,7 @@ def tfidf_cosine(left: DataFrame, right: DataFrame, scope: str = "source_id", le
     """(scope, left, right, cosine): word unigrams and bigrams, 1+ln(tf), ln((1+n)/(1+df))+1, unit length, over all texts of a scope."""
 
     def grams(frame: DataFrame, key: str) -> DataFrame:
-        words = F.transform(T.matches(F.lower("text"), r"\b\w\w+\b"), lambda x: x)
+        words = T.matches(F.lower("text"), r"[\p{L}\p{N}_]{2,}")
         both = T.let(words, lambda w: F.concat(w, F.when(F.size(w) >= 2, F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.concat(F.get(w, i), F.lit(" "), F.get(w, i + 1)))).otherwise(F.array().cast("array<string>"))))
         return frame.select(scope, F.col(key).cast("string").alias("id"), F.explode(both).alias("term")).groupBy(scope, "id", "term").agg((1 + F.log(F.count(F.lit(1)))).alias("tf"))
 

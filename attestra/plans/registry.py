@@ -6,8 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attestra.plans import claims
+from attestra.plans import claims, texts, texts_sql
 
-_PARTS = [claims]
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for part in _PARTS for k, v in part.QUERIES.items()}
-SQL: dict[str, str] = {k: v for part in _PARTS for k, v in part.SQL.items()}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**claims.QUERIES, **texts.QUERIES}
+SQL: dict[str, str] = {**claims.SQL, **texts_sql.SQL}

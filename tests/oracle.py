@@ -1,5 +1,6 @@
 """Compare registered queries with their SQL: python tests/oracle.py SF_DIR [name...]"""
 
+import os
 import sys
 import time
 from pathlib import Path
@@ -9,7 +10,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 def normal(frame):
     def cell(x):
-        if x is None or x != x:
+        if x is None or type(x).__name__ in ("NAType", "NaTType") or x != x:
             return None
         if isinstance(x, float):
             return round(x, 6) + 0.0
@@ -36,7 +37,7 @@ if __name__ == "__main__":
 
     import __spark_entry__ as entry
 
-    spark = SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "8g").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    spark = SparkSession.builder.master(os.environ.get("ORACLE_MASTER", "local[8]")).config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "8g").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     spark.sparkContext.setLogLevel("OFF")
     queries, sql = entry.queries(), entry.oracle_sql()
     for name in sys.argv[2:] or sorted(sql):
