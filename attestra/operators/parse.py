@@ -172,11 +172,16 @@ def markdown_blocks(text: str) -> tuple[list[dict], list[dict], list[dict]]:
 def plain(raw: str) -> str:
     """Text a reader sees: link and image labels, code without ticks, no marks of emphasis, single spaces."""
     text = re.sub(r"<!--.*?-->", " ", raw, flags=re.S)
-    text = _INLINE.sub(lambda m: "" if m[1] or (m[2].startswith("^") and m[3] is None) else m[2], text)
-    text = _AUTO.sub(r"\1", text)
-    text = re.sub(r"(`+)(.+?)\1", r"\2", text, flags=re.S)
-    text = re.sub(r"(\*\*|__|\*|(?<!\w)_|~~)(?=\S)(.+?)(?<=\S)\1", r"\2", text, flags=re.S)
-    return re.sub(r"\s+", " ", unescape(re.sub(r"\\([!-/:-@\[-`{-~])", r"\1", text))).strip()
+    out, at = [], 0
+    for code in [*_CODE.finditer(text), None]:
+        part = text[at : code.start() if code else len(text)]
+        part = _INLINE.sub(lambda m: "" if m[1] or (m[2].startswith("^") and m[3] is None) else m[2], part)
+        part = re.sub(r"(\*\*|__|\*|(?<!\w)_|~~)(?=\S)(.+?)(?<=\S)\1", r"\2", _AUTO.sub(r"\1", part), flags=re.S)
+        out.append(unescape(re.sub(r"\\([!-/:-@\[-`{-~])", r"\1", part)))
+        if code:
+            out.append(code[0].strip("`"))
+            at = code.end()
+    return re.sub(r"\s+", " ", "".join(out)).strip()
 
 
 def citations(raw: str) -> list[dict]:
