@@ -358,24 +358,31 @@ def _nested(page: _Page) -> bool:
 def _table(node: Node, seen: bool, depth: int) -> list[str]:
     out: list[str] = []
     rows: list[Node] = []
+
+    def stray(part: Node | str) -> None:
+        """What has no place in a table stands before it, as a browser puts it."""
+        holder = Node("div", "")
+        holder.kids.append(part)
+        out.extend(_lines(holder, seen, False, depth + 1))
+
     for part in node.kids:
-        if isinstance(part, str):
-            if part.strip() and seen:
-                out.append(_SPACE.sub(" ", part).strip())
+        if isinstance(part, str) or part.tag not in ("caption", "tr", "tbody", "thead", "tfoot", "td", "th"):
+            stray(part)
         elif part.tag == "caption":
-            out += _lines(part, seen, False, depth + 1)
-        elif part.tag == "tr":
+            out += [] if _gone(part) else _lines(part, seen, False, depth + 1)
+        elif part.tag in ("tr", "td", "th"):
             rows.append(part)
-        elif part.tag in ("tbody", "thead", "tfoot"):
-            if _gone(part):
-                continue
-            rows += [k for k in part.kids if isinstance(k, Node) and k.tag in ("tr", "td", "th")]
-        elif part.tag in ("td", "th"):
-            rows.append(part)
-        elif part.tag not in UNSEEN:
-            holder = Node("div", "")
-            holder.kids.append(part)
-            out += _lines(holder, seen, False, depth + 1)
+        elif not _gone(part):
+            for kid in part.kids:
+                if isinstance(kid, Node) and kid.tag in ("tr", "td", "th"):
+                    rows.append(kid)
+                else:
+                    stray(kid)
+    for row in rows:
+        if row.tag == "tr" and not _gone(row):
+            for kid in row.kids:
+                if isinstance(kid, str) or kid.tag not in ("td", "th"):
+                    stray(kid)
     grid: list[dict[int, list[str]]] = []
     spans: list[dict[int, int]] = []
     taken: dict[int, int] = {}  # column: rows that a cell from above still fills

@@ -35,7 +35,7 @@ def test_any_markup_renders(parts):
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.lists(st.tuples(st.sampled_from(["p", "div", "li", "td", "h1", "b", "section", "blockquote"]), st.integers(0, 10**6)), max_size=30))
+@given(st.lists(st.tuples(st.sampled_from(["p", "div", "li", "td", "tr", "table", "tbody", "h1", "b", "section", "blockquote", "ul", "caption", "dd"]), st.integers(0, 10**6)), max_size=30))
 def test_no_visible_word_is_lost(parts):
     markup = "".join(f"<{tag}>w{n}x" for tag, n in parts)
     got = html_text.to_text(markup)
