@@ -105,3 +105,30 @@ def select_by_outcome(options: DataFrame, claim: str = "claim_id", outcome: str
     best = F.max(F.struct(F.col(score), F.col(cited), F.col(option))).alias("best")
     found = options.groupBy(claim).agg(F.count_distinct(outcome).alias("n_outcomes"), F.count(F.lit(1)).alias("n_options"), best)
     return found.select(claim, "n_outcomes", "n_options", F.when(F.col("n_outcomes") > 1, "conflict").otherwise("selected").alias("status"), F.when(F.col("n_outcomes") <= 1, F.col(f"best.{option}")).alias("selected_option"))
+
+
+def subset_judge(scored: DataFrame, claim: str = "claim_id", least_probability: float = 0.5, least_margin: float = 0.1) -> DataFrame:
+    """(claim, relation, indices, probability): the verdict from scored evidence subsets.
+
+    Needs indices (array<int>), entailment, contradiction and neutral per subset. A subset counts for
+    a relation with enough probability and margin over the best other label; the best of a relation
+    is the most probable, then the widest margin, the smallest, the first. Subsets for both relations
+    are a conflict, none is no support.
+    """
+    others = {"entailed": ("entailment", "contradiction"), "contradicted": ("contradiction", "entailment")}
+    rows = None
+    for relation, (own, other) in others.items():
+        margin = F.col(own) - F.greatest(F.col(other), F.col("neutral"))
+        part = scored.where((F.col(own) >= least_probability) & (margin >= least_margin)).select(claim, F.lit(relation).alias("relation"), F.col(own).alias("probability"), margin.alias("margin"), "indices")
+        rows = part if rows is None else rows.unionByName(part)
+    key = F.struct(F.col("probability"), F.col("margin"), -F.size("indices"), F.transform("indices", lambda i: -i))
+    best = rows.groupBy(claim, "relation").agg(F.max_by(F.struct("indices", "probability"), key).alias("b"))
+    each = best.groupBy(claim).agg(F.count(F.lit(1)).alias("n"), F.first("relation").alias("r"), F.first("b").alias("b"))
+    found = each.select(claim, F.when(F.col("n") > 1, "conflict").otherwise(F.col("r")).alias("relation"), F.when(F.col("n") == 1, F.col("b.indices")).alias("indices"), F.when(F.col("n") == 1, F.col("b.probability")).alias("probability"))
+    return scored.select(claim).distinct().join(found, claim, "left").na.fill({"relation": "not_in_source"})
+
+
+def gate(metrics: DataFrame, floors: dict[str, float]) -> DataFrame:
+    """``metrics`` with ``achieved`` and the names of those under their floor (null counts as under)."""
+    under = F.array_compact(F.array(*(F.when(~F.coalesce(F.col(name) >= least, F.lit(False)), F.lit(name)) for name, least in sorted(floors.items()))))
+    return metrics.withColumn("under_floor", under).withColumn("achieved", F.size("under_floor") == 0)

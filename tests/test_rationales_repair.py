@@ -53,3 +53,14 @@ def test_selector(spark):
     scored = selector.score(selector.fit(frame), frame)
     best = selector.sweep(scored, [0.1, 0.5, 0.9]).where("best").first()
     assert best.f1 == 1.0
+
+
+def test_subset_judge_and_gate(spark):
+    from attestra.operators import verdicts
+
+    rows = [(1, [0], 0.9, 0.05, 0.05), (1, [0, 1], 0.9, 0.05, 0.05), (2, [0], 0.8, 0.1, 0.1), (2, [1], 0.1, 0.8, 0.1), (3, [0], 0.4, 0.3, 0.3), (4, [1], 0.1, 0.7, 0.2), (4, [0], 0.1, 0.7, 0.2), (5, [0], 0.52, 0.0, 0.48)]
+    scored = spark.createDataFrame(rows, "claim_id int, indices array<int>, entailment double, contradiction double, neutral double")
+    got = {r.claim_id: (r.relation, r.indices) for r in verdicts.subset_judge(scored).collect()}
+    assert got == {1: ("entailed", [0]), 2: ("conflict", None), 3: ("not_in_source", None), 4: ("contradicted", [0]), 5: ("not_in_source", None)}
+    row = verdicts.gate(spark.createDataFrame([(0.7, None)], "a double, b double"), {"a": 0.7, "b": 0.1}).first()
+    assert (row.under_floor, row.achieved) == (["b"], False)
