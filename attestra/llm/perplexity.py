@@ -230,7 +230,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     too. Documents without text add nothing. ``shard_rows`` must hold one language's table.
     """
     trusted = docs.select(field(id_col).alias("id"), F.coalesce(field(lang_col), F.lit("")).alias("lang"), field(text_col).cast("string").alias("text")).where("text != ''")
-    trusted = trusted.join(trusted_ids(labels, id_col, label_col), "id")
+    trusted = trusted.join(trusted_ids(labels, id_col, label_col).hint("merge"), "id")  # one plan at every size: labels grow with the documents
     estimated = estimate(count(trusted.select("lang", "text")))
     many = docs.select(field(id_col).alias("id"), F.coalesce(field(lang_col), F.lit("")).alias("lang")).join(trusted_ids(labels, id_col, label_col), "id").groupBy("lang").count()
     return Model(estimated, {r.lang: r["count"] for r in many.collect()}, least_docs, shard_rows)
