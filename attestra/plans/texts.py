@@ -285,7 +285,7 @@ def bootstrap_mean(spark, sf_dir):
 def markdown_of(spark, sf_dir):
     """Documents as Markdown with headings, links and definitions, to exercise the parser at volume."""
     docs = read(spark, sf_dir, "documents")
-    note = F.concat(F.lit("# Title\n\n"), F.substring("text", 1, 300), F.lit("\n\n## Part [one](https://e.example/a_(b)) and [two][ref]\n\n- item `[no](x)` https://e.example/q.\n\n[ref]: https://e.example/ref\n[ref]: https://e.example/again\n"))
+    note = F.concat(F.lit("# Title\n\n"), F.col("text"), F.lit("\n\n## Part [one](https://e.example/a_(b)) and [two][ref]\n\n- item `[no](x)` https://e.example/q.\n\n[ref]: https://e.example/ref\n[ref]: https://e.example/again\n"))
     return docs.select("doc_id", note.alias("text"))
 
 

@@ -25,3 +25,13 @@ def test_components_cover_every_order(spark, tmp_path):
     got = registry.QUERIES["grf1_components"](spark, str(tmp_path)).collect()
     assert len(got) == len(root)
     assert {x.l_orderkey: x.component for x in got} == {o: find(o) for o in root}
+
+
+def test_markdown_parses_whole_texts(spark, tmp_path):
+    text = "One plain sentence. " * 40 + "\n\nSee [late](https://e.example/late) and [two][key].\n\n[key]: https://e.example/key\n\nLast words."
+    put(spark, tmp_path, "documents", [(1, text)], "doc_id bigint, text string")
+    blocks = registry.QUERIES["par2_markdown"](spark, str(tmp_path)).collect()
+    assert any(x.plain_text == "Last words." for x in blocks)
+    assert max(len(x.raw_text) for x in blocks) >= 799
+    cites = {x.destination for x in registry.QUERIES["par4_citations"](spark, str(tmp_path)).collect()}
+    assert {"https://e.example/late", "https://e.example/key"} <= cites
