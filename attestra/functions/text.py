@@ -204,7 +204,11 @@ def in_scope(path: Column, include: list[str], exclude: list[str]) -> Column:
 
 def token_f1(predicted: Column, gold: Column) -> Column:
     """Set F1 of words: 1 if both are empty, 0 if one is."""
-    p, g = token_set(F.coalesce(predicted, F.lit(""))), token_set(F.coalesce(gold, F.lit("")))
+    return set_f1(token_set(F.coalesce(predicted, F.lit(""))), token_set(F.coalesce(gold, F.lit(""))))
+
+
+def set_f1(p: Column, g: Column) -> Column:
+    """F1 of two word sets: 1 if both are empty, 0 if one is."""
     shared, np_, ng = F.size(F.array_intersect(p, g)), F.size(p), F.size(g)
     precision, recall = shared / np_, shared / ng
     return F.when((np_ == 0) & (ng == 0), 1.0).when((np_ == 0) | (ng == 0) | (shared == 0), 0.0).otherwise(2 * precision * recall / (precision + recall))

@@ -31,7 +31,7 @@ def sentence_chunks(spark, sf_dir):
 
 
 def latin_tokens(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").where("lang = 'en'")
+    docs = read(spark, sf_dir, "documents")
     each = docs.select(F.explode(T.tokens(F.col("text"))).alias("term"))
     return each.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
@@ -140,11 +140,12 @@ def minted_ids(spark, sf_dir):
 
 
 def greedy_match(spark, sf_dir):
-    docs = parse.sentence_chunks(read(spark, sf_dir, "conversations").where("turn < 2").select((F.col("conv_id") * 10 + F.col("turn")).alias("doc_id"), "text")).where("chunk_id < 6")
-    left = docs.where("doc_id % 10 = 0").select((F.col("doc_id") / 10).cast("bigint").alias("conv"), F.col("chunk_id").alias("l"), F.col("text").alias("lt"))
-    right = docs.where("doc_id % 10 = 1").select(((F.col("doc_id") - 1) / 10).cast("bigint").alias("conv"), F.col("chunk_id").alias("r"), F.col("text").alias("rt"))
-    scored = left.join(right, "conv").withColumn("score", F.round(T.token_f1(F.col("rt"), F.col("lt")), 9))
-    return spans.greedy_match(scored, "conv", "l", "r", "score").select("conv", "l", "r", F.round("score", 6).alias("score"))
+    """Sentences of each turn matched with those of the turn after it; ``turn`` is the earlier one."""
+    chunks = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(T.sentences(F.col("text"))).alias("chunk_id", "text")).withColumn("words", T.token_set(F.col("text")))
+    left = chunks.select(F.col("conv_id").alias("conv"), "turn", F.col("chunk_id").alias("l"), F.col("words").alias("lw"))
+    right = chunks.select(F.col("conv_id").alias("conv"), (F.col("turn") - 1).alias("turn"), F.col("chunk_id").alias("r"), F.col("words").alias("rw"))
+    scored = left.join(right, ["conv", "turn"]).select(F.struct("conv", "turn").alias("pair"), "l", "r", F.round(T.set_f1(F.col("rw"), F.col("lw")), 9).alias("score"))
+    return spans.greedy_match(scored, "pair", "l", "r", "score").select("pair.conv", "pair.turn", "l", "r", F.round("score", 6).alias("score"))
 
 
 def running_budget(spark, sf_dir):

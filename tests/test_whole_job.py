@@ -35,3 +35,15 @@ def test_markdown_parses_whole_texts(spark, tmp_path):
     assert max(len(x.raw_text) for x in blocks) >= 799
     cites = {x.destination for x in registry.QUERIES["par4_citations"](spark, str(tmp_path)).collect()}
     assert {"https://e.example/late", "https://e.example/key"} <= cites
+
+
+def test_greedy_match_covers_every_turn_and_sentence(spark, tmp_path):
+    says = [[f"w{t}x{k} shared{k}." for k in range(9 + t)] for t in range(12)]
+    put(spark, tmp_path, "conversations", [(c, t, " ".join(says[t])) for c in (1, 2) for t in range(12)], "conv_id bigint, turn int, text string")
+    got = sorted(tuple(x) for x in registry.QUERIES["jn14_greedy_match"](spark, str(tmp_path)).select("conv", "turn", "l", "r", "score").collect())
+    assert got == [(c, t, k, k, 0.5) for c in (1, 2) for t in range(11) for k in range(9 + t)]
+
+
+def test_tokens_count_every_language(spark, tmp_path):
+    put(spark, tmp_path, "documents", [(1, "en", "one two"), (2, "de", "zwei two"), (3, "fr", "deux"), (4, None, "two")], "doc_id bigint, lang string, text string")
+    assert {x.term: x.n for x in registry.QUERIES["par17_tokens"](spark, str(tmp_path)).collect()} == {"one": 1, "two": 3, "zwei": 1, "deux": 1}
