@@ -47,3 +47,9 @@ def test_greedy_match_covers_every_turn_and_sentence(spark, tmp_path):
 def test_tokens_count_every_language(spark, tmp_path):
     put(spark, tmp_path, "documents", [(1, "en", "one two"), (2, "de", "zwei two"), (3, "fr", "deux"), (4, None, "two")], "doc_id bigint, lang string, text string")
     assert {x.term: x.n for x in registry.QUERIES["par17_tokens"](spark, str(tmp_path)).collect()} == {"one": 1, "two": 3, "zwei": 1, "deux": 1}
+
+
+def test_subsets_cover_every_order(spark, tmp_path):
+    put(spark, tmp_path, "lineitem", [(1, 5), (299, 5), (299, 6), (300, 5), (300, 6), (1000, 7), (1000, 8), (1000, 7)], "l_orderkey bigint, l_partkey bigint")
+    got = sorted((x.l_orderkey, x.subset) for x in registry.QUERIES["par24_subsets"](spark, str(tmp_path)).collect())
+    assert got == [(1, "5"), (299, "5"), (299, "5,6"), (299, "6"), (300, "5"), (300, "5,6"), (300, "6"), (1000, "7"), (1000, "7,8"), (1000, "8")]
