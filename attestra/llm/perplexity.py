@@ -240,7 +240,7 @@ def trusted_ids(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
     return labels.select(field(id_col).alias("id"), field(label_col).alias("good")).groupBy("id").agg(F.min("good").alias("low"), F.count_if(F.col("good").isNull()).alias("unknown")).where("low = 1 and unknown = 0 and id is not null").select("id")
 
 
-def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality", quantile: float = 0.99, slack: float = 1.4, **options) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality", quantile: float = 0.99, slack: float = 1.0, **options) -> DataFrame:
     """``docs`` with ``perplexity``, ``threshold`` and ``accepted`` (columns that must not clash).
 
     Perplexity is per byte. The threshold of a language is ``slack`` times the ``quantile`` of its

@@ -115,3 +115,12 @@ def test_held_out(spark):
     right = got.accepted == (got.quality == 1)
     assert right.mean() > 0.95
     assert right[got.quality == 1].mean() > 0.97
+
+
+def test_threshold_is_the_quantile_itself(spark):
+    docs = spark.createDataFrame([(k, "en", t) for k, t in enumerate(sample(7, 200))], "doc_id bigint, lang string, text string")
+    labels = docs.selectExpr("doc_id", "1 AS quality", "0 AS toxic")
+    got = perplexity.classify(docs, labels).collect()
+    good = sorted(r.perplexity for r in got if r.perplexity is not None)
+    assert got[0].threshold == pytest.approx(good[math.ceil(0.99 * len(good)) - 1], rel=2e-3)
+    assert any(r.text and not r.accepted for r in got)
