@@ -6,7 +6,7 @@ import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -69,6 +69,15 @@ def let(value: Column, then) -> Column:
     return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
+def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """``df`` with new columns that are worked out once a row, however often later columns use them.
+
+    A generator of one row stands between: the optimiser merges projections, and would put each
+    column's expression in place of all its uses, but does not merge anything into a generator.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(name) for name, c in columns.items())))))
+
+
 def tokens(text: Column) -> Column:
     """Latin and structured tokens in order, lower-cased, repeats kept."""
     return lowered(matches(text, TOKEN))
@@ -118,8 +127,9 @@ def entities(text: Column) -> Column:
     return F.array_except(F.array_distinct(lowered(matches(text, ENTITY))), F.array(*map(F.lit, NON_ENTITY)))
 
 
-def context_words(text: Column) -> Column:
-    return F.array_except(F.array_except(F.array_except(words(text), entities(text)), versions(text)), numbers(text))
+def context_words(words: Column, entities: Column, versions: Column, numbers: Column) -> Column:
+    """The words that are no other slot."""
+    return F.array_except(F.array_except(F.array_except(words, entities), versions), numbers)
 
 
 def qualifiers(text: Column) -> Column:

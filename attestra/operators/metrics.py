@@ -21,34 +21,50 @@ def confusion(rows: DataFrame, gold: str = "gold", predicted: str = "predicted",
     return found.join(F.broadcast(grid), ["gold", "predicted"], "full").select("gold", "predicted", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
 
 
+def _by_label(rows: DataFrame, gold: str, predicted: str, by: list[str], names: list[str], extra: dict[str, Column]) -> DataFrame:
+    """(by, label, support, tp, n_predicted, extra counts): one pass over ``rows``.
+
+    Rows are counted per pair of labels first, and only these few counts are spread over the labels.
+    Every label has a row in every group; the extra counts stand in the group's row without a label.
+    """
+    cells = rows.groupBy(*by, F.col(gold).alias("__gold"), F.col(predicted).alias("__predicted")).agg(F.count(F.lit(1)).alias("__n"), *(c.alias(k) for k, c in extra.items()))
+    zero, n = F.lit(0).cast("bigint"), F.col("__n")
+
+    def row(label: Column, support: Column = zero, tp: Column = zero, n_predicted: Column = zero, keep: bool = False) -> Column:
+        return F.struct(label.cast("string").alias("label"), support.alias("support"), tp.alias("tp"), n_predicted.alias("n_predicted"), *((F.col(k) if keep else zero).alias(k) for k in extra))
+
+    hit = F.when(F.col("__gold") == F.col("__predicted"), n).otherwise(zero)
+    spread = F.array(row(F.col("__gold"), n, hit), row(F.col("__predicted"), n_predicted=n), *(row(F.lit(x)) for x in names), *([row(F.lit(None), keep=True)] if extra else []))
+    counts = ["support", "tp", "n_predicted", *extra]
+    each = cells.select(*by, F.explode(spread).alias("f")).select(*by, "f.*").where(F.col("label").isin(names) | (F.col("label").isNull() & F.lit(bool(extra))))
+    if not by:  # without groups every label has a row even where there are no rows
+        none = labels(rows, [*names]).select("label", *(zero.alias(k) for k in counts))
+        each = each.unionByName(none)
+    whole = each.groupBy(*by, "label").agg(*(F.sum(k).alias(k) for k in counts))
+    p, r = ratio(F.col("tp"), F.col("n_predicted")), ratio(F.col("tp"), F.col("support"))
+    return whole.withColumns({"precision": p, "recall": r}).withColumn("f1", ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
+
+
 def per_label(rows: DataFrame, gold: str = "gold", predicted: str = "predicted", by: list[str] | None = None, names: list[str] | None = None) -> DataFrame:
     """Precision, recall, F1 and support of each label (per group of ``by``); 0.0 without a denominator."""
-    by = by or []
-    flags = F.explode(F.array(F.struct(F.col(gold).alias("label"), F.lit(1).alias("is_gold"), (F.col(gold) == F.col(predicted)).cast("int").alias("hit")), F.struct(F.col(predicted).alias("label"), F.lit(0).alias("is_gold"), F.lit(0).alias("hit")))).alias("f")
-    counts = rows.select(*by, flags).groupBy(*by, "f.label").agg(F.sum("f.is_gold").alias("support"), F.sum("f.hit").alias("tp"), F.sum(1 - F.col("f.is_gold")).alias("n_predicted"))
-    grid = labels(rows, names)
-    grid = rows.select(*by).distinct().crossJoin(F.broadcast(grid)) if by else grid  # groups times a few fixed labels
-    whole = grid.join(counts, [*by, "label"], "left").na.fill(0, ["support", "tp", "n_predicted"])
-    p, r = ratio(F.col("tp"), F.col("n_predicted")), ratio(F.col("tp"), F.col("support"))
-    return whole.withColumns({"precision": p, "recall": r}).withColumn("f1", ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall"))).select(*by, "label", "precision", "recall", "f1", "support")
+    return _by_label(rows, gold, predicted, by or [], names or RELATIONS, {}).select(*(by or []), "label", "precision", "recall", "f1", "support")
 
 
 def summary(rows: DataFrame, gold: str = "gold", predicted: str = "predicted", confidence: str = "confidence", by: list[str] | None = None, names: list[str] | None = None) -> DataFrame:
     """Macro F1 over observed and over all labels, weighted F1, balanced accuracy, high-confidence errors and abstentions."""
-    by = by or []
-    each = per_label(rows, gold, predicted, by, names)
-    seen = F.col("support") > 0
-    n_labels = len(names or RELATIONS)
-    scores = each.groupBy(*by).agg(
-        ratio(F.sum(F.when(seen, F.col("f1"))), F.count_if(seen)).alias("observed_macro_f1"), (F.sum("f1") / n_labels).alias("fixed_macro_f1"),
-        ratio(F.sum(F.col("f1") * F.col("support")), F.sum("support")).alias("weighted_f1"), ratio(F.sum(F.when(seen, F.col("recall"))), F.count_if(seen)).alias("balanced_accuracy"),
-    )
+    by, names = by or [], names or RELATIONS
     high = F.col(confidence) >= 0.8
-    plain = rows.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), ratio(F.count_if(high & (F.col(gold) != F.col(predicted))), F.count_if(high)).alias("high_confidence_error_rate"),
-        ratio(F.count_if(F.col(predicted).isin("not_in_source", "source_unavailable")), F.count(F.lit(1))).alias("abstention_rate"),
+    extra = {"n": F.count(F.lit(1)), "n_high": F.count_if(high), "n_high_wrong": F.count_if(high & (F.col(gold) != F.col(predicted))), "n_abstained": F.count_if(F.col(predicted).isin("not_in_source", "source_unavailable"))}
+    each = _by_label(rows, gold, predicted, by, names, extra)
+    whole, labelled = F.col("label").isNull(), F.col("label").isNotNull()
+    seen = labelled & (F.col("support") > 0)
+    of = lambda test, value: F.sum(F.when(test, value))
+    n = of(whole, F.col("n"))
+    return each.groupBy(*by).agg(
+        F.coalesce(n, F.lit(0)).alias("n"), ratio(of(whole, F.col("n_high_wrong")), of(whole, F.col("n_high"))).alias("high_confidence_error_rate"), ratio(of(whole, F.col("n_abstained")), n).alias("abstention_rate"),
+        ratio(of(seen, F.col("f1")), F.count_if(seen)).alias("observed_macro_f1"), (F.coalesce(of(labelled, F.col("f1")), F.lit(0.0)) / len(names)).alias("fixed_macro_f1"),
+        ratio(of(labelled, F.col("f1") * F.col("support")), of(labelled, F.col("support"))).alias("weighted_f1"), ratio(of(seen, F.col("recall")), F.count_if(seen)).alias("balanced_accuracy"),
     )
-    return plain.join(scores, by) if by else plain.crossJoin(scores)  # one row each
 
 
 def floor_percentiles(rows: DataFrame, value: str, quantiles: dict[str, float], by: list[str] | None = None) -> DataFrame:

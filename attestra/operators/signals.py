@@ -22,12 +22,17 @@ def aligned_clause(claim: Column, evidence: Column) -> Column:
     return F.when(claim.rlike(T.CONJUNCTION), evidence).otherwise(F.coalesce(best["clause"], evidence))
 
 
-def slots(prefix: str, text: Column) -> dict[str, Column]:
-    """The slot columns of a text."""
-    return {
-        f"{prefix}_dates": T.dates(text), f"{prefix}_versions": T.versions(text), f"{prefix}_numbers": T.numbers(text), f"{prefix}_words": T.words(text),
-        f"{prefix}_entities": T.entities(text), f"{prefix}_context": T.context_words(text), f"{prefix}_qualifiers": T.qualifiers(text), f"{prefix}_negated": text.rlike(T.NEGATION),
-    }
+#: Slots read from a text, and those made from others.
+SLOTS = {"dates": T.dates, "versions": T.versions, "numbers": T.numbers, "words": T.words, "entities": T.entities, "qualifiers": T.qualifiers, "negated": lambda text: text.rlike(T.NEGATION)}
+
+
+def with_slots(rows: DataFrame, texts: dict[str, Column], only: dict[str, list[str]] | None = None) -> DataFrame:
+    """``rows`` with the slot columns ``<prefix>_<slot>`` of each text, all worked out once; ``only`` names a prefix's slots."""
+    wanted = {p: (only or {}).get(p, [*SLOTS, "context"]) for p in texts}
+    made = T.once(rows, {f"{p}_{k}": SLOTS[k](text) for p, text in texts.items() for k in wanted[p] if k != "context"})
+    context = lambda p: T.context_words(*(F.col(f"{p}_{k}") for k in ("words", "entities", "versions", "numbers")))
+    late = {f"{p}_context": context(p) for p in texts if "context" in wanted[p]}
+    return T.once(made, late) if late else made
 
 
 def _aligned(left: str, right: str) -> Column:
@@ -50,10 +55,11 @@ def with_signals(pairs: DataFrame, claim: str = "claim_text", evidence: str = "e
     Null texts count as empty.
     """
     c, e = F.coalesce(F.col(claim), F.lit("")), F.coalesce(F.col(evidence), F.lit(""))
-    wide = F.coalesce(F.col(context), e) if context else e
-    base = pairs.withColumn("aligned_evidence", aligned_clause(c, e))
-    base = base.withColumns(slots("c", c) | slots("e", F.col("aligned_evidence")))
-    base = base.withColumns({"w_entities": T.entities(wide), "f_words": T.words(e), "f_context": T.context_words(e), "f_entities": T.entities(e), "f_versions": T.versions(e)})
+    wide = F.coalesce(F.col(context), e) if context else None
+    base = T.once(pairs, {"aligned_evidence": aligned_clause(c, e)})
+    texts = {"c": c, "e": F.col("aligned_evidence"), "f": e} | ({"w": wide} if context else {})
+    base = with_slots(base, texts, {"w": ["entities"], "f": ["versions", "numbers", "words", "entities", "context"]})
+    base = base if context else base.withColumn("w_entities", F.col("f_entities"))
     disjoint = lambda other: F.size(F.array_intersect("c_entities", other)) == 0
     entity = (F.size("c_entities") > 0) & (F.size("e_entities") > 0) & disjoint("e_entities") & disjoint("w_entities") & _aligned("c", "e")
     any_of = lambda column, some: F.size(F.array_intersect(column, F.array(*map(F.lit, some)))) > 0
@@ -71,7 +77,7 @@ def with_signals(pairs: DataFrame, claim: str = "claim_text", evidence: str = "e
         signal((F.col("c_negated") != F.col("e_negated")) & _aligned("c", "e"), "negation_mismatch", "error"), signal(entity, "entity_mismatch", "error"),
         signal(qualifier, "qualifier_mismatch", F.when(opposed, "error").otherwise("warning")), signal(_aligned("c", "f") & missing, "conjunction_mismatch", "warning"), signal(c.rlike(T.COMPARISON), "comparison_reminder", "notice"),
     ]
-    return base.withColumn("signals", F.array_compact(F.array(*found)))
+    return T.once(base, {"signals": F.array_compact(F.array(*found))})
 
 
 def codes(signals: Column) -> Column:

@@ -32,6 +32,8 @@ def deterministic(pairs: DataFrame, claim: str = "claim_text", evidence: str = "
     Needs ``signals``, ``score`` (of the best hit), ``available`` and ``checkable``. Null evidence is none.
     """
     share, s = overlap(F.col(claim), F.coalesce(F.col(evidence), F.lit(""))), F.col("signals")
+    base = T.once(pairs, {"overlap": share})
+    share = F.col("overlap")
     qualifier_error = F.exists(s, lambda x: (x["code"] == "qualifier_mismatch") & (x["severity"] == "error"))
     rated = (
         F.when(has(s, SLOT) & (share >= 0.4), "contradicted").when(has(s, ["entity_mismatch"]) & (share >= 0.4), "contradicted").when(has(s, ["negation_mismatch"]) & (share >= 0.5), "contradicted")
@@ -39,22 +41,27 @@ def deterministic(pairs: DataFrame, claim: str = "claim_text", evidence: str = "
         .when(share >= 0.75, "entailed").when(share >= 0.4, "partially_entailed").otherwise("not_in_source")
     )
     relation = F.when(~F.col("checkable") | T.subjective(F.col(claim)), "not_checkable").when(~F.col("available"), "source_unavailable").when(F.col(evidence).isNull() | (F.trim(F.col(evidence)) == ""), "not_in_source").otherwise(rated)
-    base = pairs.withColumns({"overlap": share, "relation": relation})
+    base = T.once(base, {"relation": relation})
     scored = clamp(F.col("score") / 10.0, 0.1, 0.99)
     scored = F.when(F.col("relation") == "entailed", F.least(scored, F.lit(0.74))).otherwise(scored)
     scored = F.when(has(s, CAUTION), F.least(scored, F.lit(0.69))).otherwise(scored)
-    return base.withColumn("confidence", F.when(F.col("relation") == "not_checkable", 0.95).when(F.col("relation").isin("source_unavailable", "not_in_source"), 0.0).otherwise(scored))
+    return T.once(base, {"confidence": F.when(F.col("relation") == "not_checkable", 0.95).when(F.col("relation").isin("source_unavailable", "not_in_source"), 0.0).otherwise(scored)})
 
 
-def lexical(pairs: DataFrame, claim: str = "claim_text", evidence: str = "evidence_text", partial: bool = True) -> DataFrame:
-    """Add ``lexical_relation`` and ``lexical_confidence`` by overlap thresholds; ``partial`` false leaves three labels."""
-    share, s = overlap(F.col(claim), F.coalesce(F.col(evidence), F.lit(""))), F.col("signals")
+def lexical(pairs: DataFrame, claim: str = "claim_text", evidence: str = "evidence_text", partial: bool = True, share: str | None = None) -> DataFrame:
+    """Add ``lexical_relation`` and ``lexical_confidence`` by overlap thresholds; ``partial`` false leaves three labels.
+
+    ``share`` names a column that already holds the overlap of the two texts.
+    """
+    share = F.col(share) if share else overlap(F.col(claim), F.coalesce(F.col(evidence), F.lit("")))
+    base, s = T.once(pairs, {"__share": share}), F.col("signals")
+    share = F.col("__share")
     conflict = has(s, [*SLOT, "negation_mismatch"])
     rated = F.when(conflict & (share >= 0.25), "contradicted").when(share >= 0.75, "entailed")
     rated = rated.when(share >= 0.35, "partially_entailed" if partial else "entailed").otherwise("not_in_source")
     none = F.col(evidence).isNull() | (F.col(evidence) == "")
     relation = F.when(~F.col("available"), "source_unavailable").when(none, "not_in_source").otherwise(rated)
-    return pairs.withColumns({"lexical_relation": relation, "lexical_confidence": F.when(~F.col("available") | none, 0.0).otherwise(F.least(share, F.lit(0.99)))})
+    return T.once(base, {"lexical_relation": relation, "lexical_confidence": F.when(~F.col("available") | none, 0.0).otherwise(F.least(share, F.lit(0.99)))}).drop("__share")
 
 
 def _rank(label: Column) -> Column:

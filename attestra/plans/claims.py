@@ -98,17 +98,20 @@ def signal_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = signals.with_signals(pairs(spark, sf_dir)).withColumn("score", F.col("price") / 50000.0)
-    return verdicts.lexical(verdicts.deterministic(made))
+    return verdicts.lexical(verdicts.deterministic(made), share="overlap")
 
 
-def verdict_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def verdict_rows(spark: SparkSession, sf_dir: str, carry: list[str] | None = None) -> DataFrame:
     made = judged(spark, sf_dir)
-    return made.select("case_id", "relation", F.round("confidence", 9).alias("confidence"), "lexical_relation", verdicts.severity(F.col("relation"), F.when(F.col("case_id") % 17 == 0, "disputed").otherwise("cited_only")).alias("severity"), verdicts.challenge(F.col("relation"), F.col("confidence")).alias("challenge"))
+    return made.select("case_id", *(carry or []), "relation", F.round("confidence", 9).alias("confidence"), "lexical_relation", verdicts.severity(F.col("relation"), F.when(F.col("case_id") % 17 == 0, "disputed").otherwise("cited_only")).alias("severity"), verdicts.challenge(F.col("relation"), F.col("confidence")).alias("challenge"))
 
 
 def high_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims by relation, and the risky among them; every second claim is given without its version and figures, as wording alone makes many risky."""
     made = judged(spark, sf_dir)
-    return made.groupBy("relation").agg(F.count_if(verdicts.high_risk(F.col("relation"), F.col("confidence"), F.lit(""), F.col("signals"))).alias("n_high_risk"), F.count(F.lit(1)).alias("n"))
+    plain = F.regexp_replace("claim_text", r"v?[0-9]+(?:[.-][0-9]+)*", "some")
+    made = made.withColumn("claim_text", F.when(F.col("case_id") % 2 == 0, plain).otherwise(F.col("claim_text")))
+    return made.groupBy("relation").agg(F.count_if(verdicts.high_risk(F.col("relation"), F.col("confidence"), F.col("claim_text"), F.col("signals"))).alias("n_high_risk"), F.count(F.lit(1)).alias("n"))
 
 
 def policy_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,7 +176,7 @@ pr AS (SELECT *, CASE WHEN np > 0 THEN tp / np ELSE 0.0 END AS p, CASE WHEN supp
 per AS (SELECT *, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END AS f1 FROM pr)"""
 _LABELS = "unnest(['entailed','partially_entailed','contradicted','not_in_source','source_unavailable','not_checkable'])"
 _SEV = "CASE WHEN relation = 'contradicted' THEN 3 WHEN relation IN ('partially_entailed', 'not_in_source') THEN 2 WHEN relation IN ('source_unavailable', 'not_checkable') THEN 1 ELSE 0 END"
-_SEV_LABEL = f"CASE greatest({_SEV}, CASE WHEN case_id % 17 = 0 THEN 2 ELSE 0 END) WHEN 3 THEN 'error' WHEN 2 THEN 'warning' WHEN 1 THEN 'notice' ELSE 'pass' END"
+SEVERITY_LABEL = f"CASE greatest({_SEV}, CASE WHEN case_id % 17 = 0 THEN 2 ELSE 0 END) WHEN 3 THEN 'error' WHEN 2 THEN 'warning' WHEN 1 THEN 'notice' ELSE 'pass' END"
 
 
 def _sorted(column: str) -> str:
@@ -188,7 +191,8 @@ _CODES = ", ".join(
         ("s_qual", "CASE WHEN opposed THEN 'qualifier_mismatch:error' ELSE 'qualifier_mismatch:warning' END"), ("s_conj", "'conjunction_mismatch:warning'"), ("s_comp", "'comparison_reminder:notice'"),
     ]
 )
-_HARD = "relation = 'contradicted' OR confidence < 0.65 OR s_date OR s_version OR s_number OR s_neg OR s_ent"
+_RISKY = r"(?i)\b(?:v?\d+(?:\.\d+){1,3}|20\d{2}[-/]\d{1,2}[-/]\d{1,2}|\d+(?:[.,]\d+)?%?|more|less|higher|lower|faster|slower|best|worst|maximum|minimum|before|after|than)\b"
+_HARD = f"relation = 'contradicted' OR confidence < 0.65 OR s_date OR s_version OR s_number OR s_neg OR s_ent OR regexp_matches(CASE WHEN case_id % 2 = 0 THEN regexp_replace(claim_text, 'v?[0-9]+(?:[.-][0-9]+)*', 'some', 'g') ELSE claim_text END, '{_RISKY}')"
 _PROTECTED = T.PROTECTED.replace("(?<![A-Za-z0-9])", r"\b").replace("'", "''")
 
 QUERIES = {
@@ -198,9 +202,9 @@ QUERIES = {
 SQL = {
     "par20_slots": f"{SLOTS} SELECT c.case_id, e.t AS aligned_evidence, {_SLOT_SQL}, c.negated AS c_negated, e.negated AS e_negated FROM slots c JOIN slots e ON c.case_id = e.case_id AND c.role = 'c' AND e.role = 'e'",
     "sig9_signals": f"{SIGNALS} SELECT case_id, concat_ws(',', {_CODES}) AS signals FROM coded",
-    "ver1_verdicts": f"{VERDICTS} SELECT case_id, relation, round(confidence, 9) AS confidence, lexical_relation, {_SEV_LABEL} AS severity, CASE WHEN confidence < 0.5 AND relation <> 'contradicted' THEN 'abstain' ELSE 'uphold' END AS challenge FROM final",
+    "ver1_verdicts": f"{VERDICTS} SELECT case_id, relation, round(confidence, 9) AS confidence, lexical_relation, {SEVERITY_LABEL} AS severity, CASE WHEN confidence < 0.5 AND relation <> 'contradicted' THEN 'abstain' ELSE 'uphold' END AS challenge FROM final",
     "prj12_high_risk": f"{VERDICTS} SELECT relation, count(*) FILTER ({_HARD}) AS n_high_risk, count(*) AS n FROM final GROUP BY relation",
-    "prj9_policy_rollup": f"{VERDICTS}, s AS (SELECT case_id % 50 AS document, {_SEV_LABEL} AS severity FROM final) SELECT document, CAST(bool_or(severity = 'error') AS INT) AS exit_code, count(*) FILTER (severity = 'error') AS n_errors, count(*) FILTER (severity = 'warning') AS n_warnings, count(*) FILTER (severity = 'notice') AS n_notices FROM s GROUP BY document",
+    "prj9_policy_rollup": f"{VERDICTS}, s AS (SELECT case_id % 50 AS document, {SEVERITY_LABEL} AS severity FROM final) SELECT document, CAST(bool_or(severity = 'error') AS INT) AS exit_code, count(*) FILTER (severity = 'error') AS n_errors, count(*) FILTER (severity = 'warning') AS n_warnings, count(*) FILTER (severity = 'notice') AS n_notices FROM s GROUP BY document",
     "agg1_confusion": f"{VERDICTS}, g AS (SELECT {_LABELS} AS gold), p AS (SELECT {_LABELS} AS predicted) SELECT gold, predicted, (SELECT count(*) FROM final f WHERE f.relation = gold AND f.lexical_relation = predicted) AS n FROM g, p",
     "agg2_per_label": f"{VERDICTS}{_PER} SELECT split, label, round(p, 9) AS precision, round(r, 9) AS recall, round(f1, 9) AS f1, support FROM per",
     "agg3_summary": f"""{VERDICTS}{_PER}, m AS (SELECT split, avg(CASE WHEN support > 0 THEN f1 END) AS o, avg(f1) AS x, sum(f1 * support) / sum(support) AS w, avg(CASE WHEN support > 0 THEN r END) AS b FROM per GROUP BY split),

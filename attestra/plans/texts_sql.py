@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from attestra.functions import text as T
+from attestra.plans.claims import SEVERITY_LABEL, VERDICTS
 
 _SENT = "[trim(x) FOR x IN string_split(regexp_replace({0}, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) IF trim(x) <> '']"
 _DAYS = "SELECT o_custkey, date_diff('day', DATE '1990-01-01', CAST(o_orderdate AS DATE)) AS day, o_orderkey % 40 AS long, o_orderkey FROM orders"
@@ -15,13 +16,15 @@ _TOK = f"[lower(y) FOR y IN regexp_extract_all({{0}}, '{T.TOKEN}')]"
 _GRAMS = "list_concat(w, [w[k] || ' ' || w[k + 1] FOR k IN range(1, greatest(len(w), 1))])"
 
 SQL = {
+    "snk3_sarif": f"""{VERDICTS}, s AS (SELECT *, {SEVERITY_LABEL} AS severity, 'docs/' || case_id % 20 || '.md' AS file, CAST(case_id % 100 + 1 AS INT) AS line_start FROM final)
+      SELECT file, line_start, line_start AS line_end, 'claim/' || relation AS rule_id, CASE severity WHEN 'notice' THEN 'note' ELSE severity END AS level, sha256(CAST(concat(file, chr(0), line_start, chr(0), claim_text, chr(0), relation) AS BLOB)) AS fingerprint FROM s WHERE severity <> 'pass'""",
     "par1_line_index": """WITH l AS (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS k FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents)),
       o AS (SELECT doc_id, k, s[k] AS line, coalesce(sum(length(s[k]) + 1) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS st FROM l)
       SELECT doc_id, k AS line_no, CAST(st AS BIGINT) AS offset_start, CAST(st + length(line) AS BIGINT) AS offset_end, sha256(line) AS line_hash FROM o""",
     "src2_paragraphs": """WITH p AS (SELECT concat(conv_id, '-', turn) AS doc_id, [x FOR x IN [trim(y, ' ' || chr(9) || chr(10) || chr(13)) FOR y IN string_split(text, chr(10))] IF x <> ''] AS s FROM conversations)
       SELECT doc_id, printf('p_%04d', k) AS paragraph_id, length(s[k]) AS chars FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS k FROM p)""",
     "par14_sentence_chunks": f"WITH s AS (SELECT doc_id, unnest({_SENT.format('text')}) AS x FROM documents) SELECT doc_id, count(*) AS n_chunks, CAST(sum(length(x)) AS BIGINT) AS chars, max(length(x)) AS longest FROM s GROUP BY doc_id",
-    "par17_tokens": f"WITH t AS (SELECT unnest({_TOK.format('text')}) AS term FROM documents WHERE lang = 'en') SELECT term, count(*) AS n FROM t GROUP BY term",
+    "par17_tokens": f"WITH t AS (SELECT unnest({_TOK.format('text')}) AS term FROM documents) SELECT term, count(*) AS n FROM t GROUP BY term",
     "par19_char_ngrams": "WITH c AS (SELECT p_partkey, regexp_replace(lower(p_name), '[^\\p{L}\\p{N}]+', '', 'g') AS t FROM part) SELECT p_partkey, CASE WHEN length(t) >= 3 THEN array_to_string(list_sort(list_distinct([t[k:k + 2] FOR k IN range(1, length(t) - 1)])), ',') ELSE t END AS grams FROM c",
     "rnk1_bm25": f"""WITH {_CASES}, t AS (SELECT source_id, chunk_id, term, count(*) AS tf FROM (SELECT source_id, chunk_id, unnest({_TOK.format('text')}) AS term FROM ch) GROUP BY ALL),
       df AS (SELECT source_id, term, count(*) AS df FROM t GROUP BY ALL), n AS (SELECT source_id, count(*) AS n FROM ch GROUP BY ALL), w AS (SELECT source_id, query_id, term, count(*) AS qf FROM (SELECT source_id, query_id, unnest({_TOK.format('query_text')}) AS term FROM q) GROUP BY ALL),
@@ -53,8 +56,6 @@ SQL = {
     "jn15_next": "WITH c AS (SELECT user_id, ts, event_id FROM events WHERE event_type = 'click') SELECT e.event_id, e.user_id, arg_min(c.event_id, c.ts) AS next_click FROM events e LEFT JOIN c ON e.user_id = c.user_id AND c.ts >= e.ts WHERE e.event_type = 'error' GROUP BY e.event_id, e.user_id",
     "win1_minted_ids": "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, printf('c_%04d', row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey)) AS id FROM lineitem",
     "win8_running_budget": "WITH r AS (SELECT l_orderkey, sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity ROWS UNBOUNDED PRECEDING) AS running FROM lineitem) SELECT l_orderkey, count(*) AS n, max(running) AS used FROM r WHERE running <= 100 GROUP BY l_orderkey",
-    "grf1_components": """WITH RECURSIVE i AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem WHERE l_orderkey % 20 = 0), e AS (SELECT DISTINCT a.o AS a, b.o AS b FROM i a JOIN i b ON a.p = b.p),
-      r(o, c) AS (SELECT DISTINCT o, o FROM i UNION SELECT e.b, r.c FROM r JOIN e ON r.o = e.a) SELECT o AS l_orderkey, min(c) AS component FROM r GROUP BY o""",
     "grf3_leaks": "SELECT l_partkey, count(DISTINCT l_orderkey % 5) AS n_folds FROM lineitem GROUP BY l_partkey HAVING count(DISTINCT l_orderkey % 5) > 1",
     "agg16_telemetry": "WITH c AS (SELECT event_type, CASE WHEN event_type <> 'error' THEN CAST(regexp_extract(props, '\"k\": (\\d+)', 1) AS BIGINT) END AS tokens, event_type = 'error' AS failed, value FROM events) SELECT event_type, count(*) AS n_calls, CASE WHEN count(*) = count(tokens) THEN CAST(sum(tokens) AS BIGINT) END AS tokens, count(*) FILTER (failed) AS n_failed, round(quantile_cont(value, 0.5), 6) AS latency_p50 FROM c GROUP BY event_type",
     "agg_percentiles": """WITH s AS (SELECT event_type, list_sort(list(value)) AS v FROM events WHERE value IS NOT NULL GROUP BY event_type)
@@ -79,7 +80,7 @@ SQL = {
     "prj5_path_scope": """WITH p AS (SELECT doc_id, 'docs/' || lang || '/' || source || '/p' || doc_id || CASE WHEN doc_id % 3 = 0 THEN '.md' ELSE '.txt' END AS path FROM documents)
       SELECT doc_id, (regexp_matches(path, '^docs/(?:.*/)?[^/]*\\.md$') OR regexp_matches(path, '^docs/en/src[^/]/[^/]*$')) AND NOT (regexp_matches(path, '^(?:.*/)?src1/.*$') OR regexp_matches(path, '^docs/fr/[^/]*/p[^1-5][^/]*$')) AS in_scope FROM p""",
     "par8_target_kinds": "SELECT page_id, CASE WHEN page_id % 4 = 1 THEN 'email' WHEN page_id % 4 = 2 THEN 'anchor' WHEN page_id % 8 = 3 THEN 'relative' WHEN page_id % 8 = 7 THEN 'other' ELSE 'web' END AS kind FROM pages",
-    "par24_subsets": "WITH i AS (SELECT l_orderkey, list_sort(list_distinct(list(l_partkey)))[1:5] AS s FROM lineitem WHERE l_orderkey < 300 GROUP BY l_orderkey), m AS (SELECT l_orderkey, s, CAST(unnest(range(1, CAST(2 ** len(s) AS BIGINT))) AS INT) AS mask FROM i) SELECT l_orderkey, mask, array_to_string([s[k] FOR k IN range(1, len(s) + 1) IF (mask >> CAST(k - 1 AS INT)) & 1 = 1], ',') AS subset FROM m",
+    "par24_subsets": "WITH i AS (SELECT l_orderkey, list_sort(list_distinct(list(l_partkey)))[1:5] AS s FROM lineitem GROUP BY l_orderkey), m AS (SELECT l_orderkey, s, CAST(unnest(range(1, CAST(2 ** len(s) AS BIGINT))) AS INT) AS mask FROM i) SELECT l_orderkey, mask, array_to_string([s[k] FOR k IN range(1, len(s) + 1) IF (mask >> CAST(k - 1 AS INT)) & 1 = 1], ',') AS subset FROM m",
     "src8_cache": "SELECT c_custkey AS cache_key, c_mktsegment, c_custkey IN (SELECT o_custkey FROM orders) AS hit FROM customer",
     "src5_fixture_checks": "WITH s AS (SELECT CAST(doc_id - CASE WHEN doc_id % 50 = 1 THEN 1 ELSE 0 END AS VARCHAR) AS source_id, doc_id % 70 = 0 AS bad FROM documents) SELECT source_id, 'hash_mismatch' AS violation FROM s WHERE bad UNION ALL SELECT source_id, 'duplicate_id' FROM s GROUP BY source_id HAVING count(*) > 1",
     "msc9_nullable_sums": "SELECT o_custkey, CASE WHEN count(*) FILTER (o_orderstatus = 'P') = 0 THEN CAST(sum(o_orderkey) AS BIGINT) END AS total FROM orders GROUP BY o_custkey",

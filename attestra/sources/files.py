@@ -99,9 +99,9 @@ LEVELS = {"error": "error", "warning": "warning", "notice": "note"}
 
 
 def sarif_results(verdicts: DataFrame) -> DataFrame:
-    """(file, rule_id, level, fingerprint, result): one JSON result per finding with a severity, in report order.
+    """(file, rule_id, level, fingerprint, result): one JSON result per finding with a severity.
 
-    Needs file, line_start, line_end, claim_text, relation, severity. The fingerprint is the SHA-256 of
+    The report's order is file, line_start, line_end, rule_id, fingerprint. Needs file, line_start, line_end, claim_text, relation, severity. The fingerprint is the SHA-256 of
     file, line, claim and relation, parted by NUL.
     """
     level = F.element_at(F.create_map(*(F.lit(x) for pair in LEVELS.items() for x in pair)), F.col("severity"))
@@ -110,7 +110,7 @@ def sarif_results(verdicts: DataFrame) -> DataFrame:
     region = F.struct(F.col("line_start").alias("startLine"), F.col("line_end").alias("endLine"))
     place = F.array(F.struct(F.struct(F.struct(F.col("file").alias("uri")).alias("artifactLocation"), region.alias("region")).alias("physicalLocation")))
     result = F.to_json(F.struct(F.col("rule_id").alias("ruleId"), F.col("level"), F.struct(F.col("claim_text").alias("text")).alias("message"), place.alias("locations"), F.create_map(F.lit("claim/v1"), F.col("fingerprint")).alias("partialFingerprints")))
-    return base.withColumn("result", result).select("file", "line_start", "line_end", "rule_id", "level", "fingerprint", "result").orderBy("file", "line_start", "line_end", "rule_id", "fingerprint")
+    return base.withColumn("result", result).select("file", "line_start", "line_end", "rule_id", "level", "fingerprint", "result")
 
 
 def report_rows(verdicts: DataFrame) -> DataFrame:
