@@ -1,21 +1,29 @@
-"""Quality classifier: perplexity under an interpolated modified Kneser-Ney model of trusted text.
-
-The model is over classes of UTF-8 bytes (a-z each, upper case, digits, marks, lead and following
-bytes) and of order four, one for each language and one pooled. Counts of the highest order are
-summed per worker and then by (language, n-gram); lower orders are continuation counts. Discounts
-come from the counts of counts of each language and order. Context totals, back-off weights and
-lower-order probabilities are joined on (language, context) and (language, suffix), so the tables
-are sharded by these keys all the way.
-
-The alphabet bounds a language's table at CLASSES ** ORDER entries whatever the corpus; scoring
-takes the languages in shards of at most ``shard_rows`` rows, broadcasts one shard at a time and
-judges the documents of its languages with it, so no broadcast grows with the documents.
+"""Quality classifier: word perplexity under interpolated modified Kneser-Ney models of trusted text.
+
+The model is a bigram model over whole words (runs without ASCII white space) between a start and an
+end mark, one for each language and, where a language has too little trusted text, one of all. Its
+vocabulary is open: tables grow with the trusted text. Trusted texts are dealt into two folds by
+their hash and every document is scored by the model of the fold that its text is not in, so trusted
+documents are judged like any others and the language's quantile is a held-out one.
+
+The log probability of a text is a sum over its grams. With ``lo(v)`` the back-off weight of a
+context, ``p1`` the continuation probability and ``own`` the discounted share of a seen bigram,
+
+    log p(w | v) = log lo(v) + log p1(w) + [v w is seen] * log(1 + own / (lo(v) * p1(w)))
+
+so every word has one value, every seen bigram has one, and other bigrams add nothing. Scoring is a
+join of all grams of all documents with the table of values, sharded by the gram's key. What goes
+into it is packed: a task sorts the grams of some 10**6 words and sends each shard its distinct keys
+once, with two bytes for each place that has them; a shard sends back one sum for each document.
 """
 
 from __future__ import annotations
 
-from collections import OrderedDict
+import math
+import re
 from collections.abc import Iterator
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,251 +31,395 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestra.llm.common import field, utf8, written
+from attestra.sources.shared import drop_written, spread
 
-ORDER = 4
 POOLED = "*"
-#: Dense tables of languages that a worker holds at a time (25 MB each).
-LANGUAGES_HELD = 4
-
-
-def _classes() -> tuple[np.ndarray, int]:
-    """The class of every byte, and how many classes there are."""
-    groups = [b"\n", b" \t\v\f\r", *(bytes([c]) for c in range(97, 123)), bytes(range(65, 91)), b"0123456789", b".", b",", b"!?", b"'\"`", b"-", b":;", b"()[]{}", b"#*$%&|<>@^~_=+\\/"]
-    of = np.full(256, len(groups), np.uint32)  # control characters
-    for k, some in enumerate(groups):
-        of[list(some)] = k
-    at = len(groups) + 1
-    for k, (low, high) in enumerate([(0xC0, 0xE0), (0xE0, 0xF0), (0xF0, 0x100)]):
-        of[low:high] = at + k
-    of[0x80:0xC0] = at + 3 + (np.arange(64) & 7)
-    return of, at + 11
-
-
-CLASS_OF, CLASSES = _classes()
-
-
-def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of the n-grams that end at each byte of the texts (one run), and the texts' lengths. A text starts after line ends."""
-    sizes = np.array([len(x) for x in texts], np.int64)
-    lead = b"\n" * (ORDER - 1)
-    run = CLASS_OF[np.frombuffer(lead + lead.join(texts), np.uint8)] if texts else np.zeros(0, np.uint32)
-    codes = np.zeros(max(0, len(run) - ORDER + 1), np.uint32)
-    for k in range(ORDER):
-        codes *= np.uint32(CLASSES)
-        codes += run[k : len(run) - ORDER + 1 + k]
-    keep = np.ones(len(codes), bool)  # n-grams that end in the lead of a text
-    starts = (np.cumsum(sizes) + np.arange(len(sizes)) * (ORDER - 1))[:-1]
-    for k in range(ORDER - 1):
-        keep[starts + k] = False
-    return codes[keep], sizes
-
-
-def count(trusted: DataFrame) -> DataFrame:
-    """(lang, gram, c) of all n-grams in ``trusted`` (lang, text); the pooled model counts as a language."""
+#: Marks at the ends of a text; words hold no space.
+START, END = b" <", b" >"
+#: Words counted or sent together, texts that two bytes can number, distinct words a worker keeps.
+TOGETHER, MOST_TEXTS, WORDS_KEPT = 1 << 20, 1 << 15, 700_000
+#: 64-bit words of the filter that keeps most untrusted texts out of the shuffle: one megabyte, whatever the labels.
+FILTER_WORDS = 1 << 17
+_LONG = 1 << 20
+_SPACE = re.compile(rb"[\t-\r ]")
+
+
+def _mixed(value: np.ndarray, seed: np.ndarray | int) -> np.ndarray:
+    """xxhash64 of 64-bit numbers, as the SQL function of that name has it."""
+    rotate = lambda x, k: x << np.uint64(k) | x >> np.uint64(64 - k)
+    one, two, three, four, five = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    h = np.asarray(seed, np.uint64) + (five + np.uint64(8))
+    h = rotate(h ^ rotate(value * two, 31) * one, 27) * one + four
+    h = (h ^ h >> np.uint64(33)) * two
+    h = (h ^ h >> np.uint64(29)) * three
+    return h ^ h >> np.uint64(32)
+
+
+def pair_keys(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Keys of bigrams; ``xxhash64(v, w)`` in SQL."""
+    with np.errstate(over="ignore"):
+        return _mixed(w, _mixed(v, np.full(1, 42, np.uint64)))
+
+
+def word_key(lang: str, word: bytes) -> int:
+    from xxhash import xxh3_64_intdigest
+
+    return xxh3_64_intdigest(word, xxh3_64_intdigest(lang.encode()))
+
+
+class Words:
+    """Keys of the words of texts; a worker keeps the keys of words that it has met."""
+
+    def __init__(self) -> None:
+        self.known: dict[str, dict[bytes, int]] = {}
+        self.held = 0
+
+    def _keys(self, lang: str, words: list[bytes]) -> np.ndarray:
+        known = self.known.setdefault(lang, {})
+        found = [*map(known.get, words)]
+        if None in found:
+            if self.held > WORDS_KEPT:
+                self.known, self.held, known = {}, 0, {}
+                self.known[lang] = known
+                found = [None] * len(words)
+            fresh = {w: word_key(lang, w) for w, k in zip(words, found, strict=True) if k is None}
+            known.update(fresh)
+            self.held += len(fresh)
+            found = [*map(known.__getitem__, words)]
+        return np.array(found, np.uint64)
+
+    def of(self, lang: str, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The keys of all words of the texts in one run, and how many words each text has. A long text is split piece by piece."""
+        if any(len(x) > _LONG for x in texts):
+            parts = [(k, part) for k, x in enumerate(texts) for part in _pieces(x)]
+            some = [self._keys(lang, part.split()) for _, part in parts]
+            sizes = np.bincount([k for k, _ in parts], [len(x) for x in some], minlength=len(texts)).astype(np.int64)
+            return np.concatenate(some), sizes
+        split = [x.split() for x in texts]
+        return self._keys(lang, [*chain.from_iterable(split)]), np.array([len(x) for x in split], np.int64)
+
+
+def _pieces(text: bytes) -> Iterator[bytes]:
+    at = 0
+    while at < len(text):
+        cut = _SPACE.search(text, at + _LONG)
+        end = cut.end() if cut else len(text)
+        yield text[at:end]
+        at = end
+
+
+def bigrams(lang: str, keys: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Contexts and words of all bigrams of texts, marks included: a text of n words has n + 1."""
+    ends = np.cumsum(sizes + 1)
+    v, w = np.empty(int(ends[-1]) if len(ends) else 0, np.uint64), np.empty(int(ends[-1]) if len(ends) else 0, np.uint64)
+    last, first = np.zeros(len(w), bool), np.zeros(len(w), bool)
+    last[ends - 1], first[ends - 1 - sizes] = True, True
+    w[~last], w[last] = keys, word_key(lang, END)
+    v[~first], v[first] = keys, word_key(lang, START)
+    return v, w
+
+
+def count(trusted: DataFrame, order: list[str]) -> DataFrame:
+    """(l, v, w, c): the bigrams of ``trusted`` (l: number of the language in ``order``, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: OrderedDict[str, np.ndarray] = OrderedDict()
-
-        def out(lang: str) -> pa.RecordBatch:
-            found = sums.pop(lang)
-            at = np.flatnonzero(found)
-            return pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int64)), pa.array(found[at])], names=["lang", "gram", "c"])
+        code = Words()
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        size = 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for l, some in held.items():
+                v, w = (np.concatenate(x) for x in zip(*some, strict=True))
+                _, at, many = np.unique(pair_keys(v, w), return_index=True, return_counts=True)
+                for k in range(0, len(at), 100_000):
+                    here = at[k : k + 100_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(here), l, np.int32)), pa.array(v[here].view(np.int64)), pa.array(w[here].view(np.int64)), pa.array(many[k : k + 100_000].astype(np.int64))], names=["l", "v", "w", "c"])
+            held.clear()
 
         for batch in batches:
-            for lang, _, texts in _by_language(batch):
-                if lang not in sums:
-                    if len(sums) >= LANGUAGES_HELD:
-                        yield out(next(iter(sums)))
-                    sums[lang] = np.zeros(CLASSES**ORDER, np.int64)
-                for k in range(0, len(texts), 256):
-                    sums[lang] += np.bincount(grams(texts[k : k + 256])[0], minlength=CLASSES**ORDER)
-                sums.move_to_end(lang)
-        for lang in list(sums):
-            yield out(lang)
-
-    each = trusted.mapInArrow(run, "lang string, gram bigint, c bigint").groupBy("lang", "gram").agg(F.sum("c").alias("c"))
-    each = written(each, "gram-counts")
-    return each.unionByName(each.groupBy("gram").agg(F.sum("c").alias("c")).withColumn("lang", F.lit(POOLED)))
-
-
-def _by_language(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray, list[bytes]]]:
-    """(language, rows, texts) for each language of a batch with columns lang, text."""
-    langs, texts = batch.column(0).to_pylist(), utf8(batch.column(1))
-    rows: dict[str, list[int]] = {}
-    for k, lang in enumerate(langs):
-        rows.setdefault(lang, []).append(k)
-    for lang, some in rows.items():
-        yield lang, np.array(some), [texts[k] or b"" for k in some]
-
-
-def estimate(counts: DataFrame) -> DataFrame:
-    """(lang, kind, size, gram, value): kind p is the probability of an n-gram of ``size`` classes, kind b the back-off weight of a context that ``size`` classes follow up to."""
-    orders = {ORDER: counts}
-    for k in range(ORDER - 1, 0, -1):
-        orders[k] = orders[k + 1].groupBy("lang", (F.col("gram") % CLASSES**k).alias("gram")).agg(F.count("*").alias("c"))
-    lower, made = None, []
-    for k in range(1, ORDER + 1):
-        table = written(orders[k].withColumn("ctx", F.floor(F.col("gram") / CLASSES).cast("bigint")), f"order-{k}")
-        n = table.groupBy("lang").agg(*(F.count_if(F.col("c") == j).cast("double").alias(f"n{j}") for j in range(1, 5)))
-        y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
-        usual = lambda j: F.when((F.col("n1") > 0) & (F.col(f"n{j}") > 0), j - (j + 1) * y * F.col(f"n{j + 1}") / F.col(f"n{j}"))
+            for l, _, texts in _by_language(batch.column(0), batch.column(1)):
+                for some in _some(texts):
+                    held.setdefault(l, []).append(bigrams(order[l], *code.of(order[l], some)))
+                    size += len(held[l][-1][0])
+                    if size >= TOGETHER:
+                        yield from out()
+                        size = 0
+        yield from out()
+
+    each = trusted.select("l", "text").mapInArrow(run, "l int, v bigint, w bigint, c bigint")
+    return each.groupBy("l", "v", "w").agg(F.sum("c").alias("c"))
+
+
+def _by_language(langs: pa.Array, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, list[bytes]]]:
+    """(language, rows, texts) for each language of a batch."""
+    of, all_texts = langs.to_numpy(zero_copy_only=False), utf8(texts)
+    for l in np.unique(of).tolist():
+        rows = np.flatnonzero(of == l)
+        yield l, rows, [all_texts[k] for k in rows]
+
+
+def _some(texts: list[bytes]) -> Iterator[list[bytes]]:
+    """Texts in groups of bounded size."""
+    at = size = 0
+    for k, x in enumerate(texts):
+        size += len(x)
+        if size >= 4 * _LONG or k + 1 - at >= MOST_TEXTS // 2:
+            yield texts[at : k + 1]
+            at, size = k + 1, 0
+    if at < len(texts):
+        yield texts[at:]
+
+
+def _cuts(n: list[int]) -> list[float]:
+    """The three discounts, from the numbers of entries that were counted once, twice, three and four times."""
+    y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0.0
+    out = []
+    for j in (1, 2, 3):
+        value = j - (j + 1) * y * n[j] / n[j - 1] if n[0] and n[j - 1] else -1.0
         # where a count of counts is zero, or the estimate leaves its range, a middle value serves
-        cuts = n.select("lang", *(F.when((usual(j) > 0) & (usual(j) < j), usual(j)).otherwise(j / 2).alias(f"d{j}") for j in (1, 2, 3)))
-        c = F.col("c")
-        table = table.join(F.broadcast(cuts), "lang").withColumn("d", F.when(c == 1, F.col("d1")).when(c == 2, F.col("d2")).otherwise(F.col("d3")))
-        ctx = table.groupBy("lang", "ctx").agg(F.sum("c").alias("total"), (F.sum("d") / F.sum("c")).alias("left_over"))
-        table = table.join(ctx, ["lang", "ctx"]).select("lang", "gram", ((c - F.col("d")) / F.col("total")).alias("own"), "left_over")
-        if lower is None:
-            table = table.select("lang", "gram", (F.col("own") + F.col("left_over") / CLASSES).alias("value"))
-        else:
-            below = lower.select("lang", F.col("gram").alias("suffix"), F.col("value").alias("below"))
-            table = table.withColumn("suffix", F.col("gram") % CLASSES ** (k - 1)).join(below, ["lang", "suffix"]).select("lang", "gram", (F.col("own") + F.col("left_over") * F.col("below")).alias("value"))
-        lower = written(table, f"probabilities-{k}")
-        made.append(lower.select("lang", F.lit("p").alias("kind"), F.lit(k).alias("size"), "gram", "value"))
-        made.append(ctx.select("lang", F.lit("b").alias("kind"), F.lit(k).alias("size"), F.col("ctx").alias("gram"), F.col("left_over").alias("value")))
-    whole = made[0]
-    for part in made[1:]:
-        whole = whole.unionByName(part)
-    return whole
-
-
-def dense(rows: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """The log probability of every n-gram of the highest order, from one language's rows by (kind, size)."""
-    prob = np.full(1, 1.0 / CLASSES)
-    for k in range(1, ORDER + 1):
-        weight = np.ones(CLASSES ** (k - 1))
-        at, value = rows.get(("b", k), (np.zeros(0, np.int64), np.zeros(0)))
-        weight[at] = value
-        if k == 1:
-            full = np.repeat(prob * weight, CLASSES)
-        else:
-            ctx = np.arange(CLASSES ** (k - 1)) % CLASSES ** (k - 2)
-            full = (weight[:, None] * prob.reshape(-1, CLASSES)[ctx]).ravel()
-        at, value = rows.get(("p", k), (np.zeros(0, np.int64), np.zeros(0)))
-        full[at] = value
-        prob = full
-    return np.log(prob).astype(np.float32)
-
-
-_TABLES: OrderedDict[tuple[str, str], np.ndarray] = OrderedDict()
-
-
-def _table_of(model: dict, name: str, lang: str) -> np.ndarray:
-    key = (name, lang)
-    if key not in _TABLES:
-        while len(_TABLES) >= LANGUAGES_HELD:
-            _TABLES.popitem(last=False)
-        _TABLES[key] = dense(model[lang])
-    _TABLES.move_to_end(key)
-    return _TABLES[key]
-
-
-class Model:
-    """Estimated tables, ready to score: languages in shards, each shard a broadcast of its own."""
-
-    def __init__(self, estimated: DataFrame, trusted_docs: dict[str, int], least_docs: int, shard_rows: int) -> None:
-        import uuid
-
-        spark, self.name = estimated.sparkSession, uuid.uuid4().hex
-        estimated = written(estimated, "model")
-        sizes = {r.lang: r["count"] for r in estimated.groupBy("lang").count().collect()}
-        self.known = sorted(x for x in sizes if x == POOLED or trusted_docs.get(x, 0) >= least_docs)
-        shards: list[list[str]] = []
-        room = 0
-        for lang in self.known:
-            if not shards or sizes[lang] > room:
-                shards.append([])
-                room = shard_rows
-            shards[-1].append(lang)
-            room -= sizes[lang]
-        self.shards = []
-        for langs in shards:
-            table = estimated.where(F.col("lang").isin(langs)).toArrow()
-            self.shards.append((langs, spark.sparkContext.broadcast(_nested(table))))
-
-    def score(self, docs: DataFrame, text: Column, lang: Column, name: str) -> DataFrame:
-        """``docs`` with the mean log probability of a byte of their text (null without text) in column ``name``."""
-        own = F.when(lang.isin([x for x in self.known if x != POOLED]), lang).otherwise(POOLED)
-        parts = [docs.where(own.isin(langs)).withColumn(name, _scorer(table, self.name)(own, text)) for langs, table in self.shards]
-        out = parts[0] if parts else docs.withColumn(name, F.lit(None).cast("double"))
-        for part in parts[1:]:
-            out = out.unionByName(part)
-        return out
-
-
-def _nested(table: pa.Table) -> dict:
-    langs, kinds, sizes, at, value = (np.array(table.column(n)) for n in ("lang", "kind", "size", "gram", "value"))
-    out: dict = {}
-    for lang in set(langs.tolist()):
-        for kind in "pb":
-            for size in range(1, ORDER + 1):
-                some = (langs == lang) & (kinds == kind) & (sizes == size)
-                out.setdefault(lang, {})[kind, size] = (at[some], value[some])
+        out.append(value if 0 < value < j else j / 2)
     return out
 
 
-def _scorer(table, name: str):
-    @F.arrow_udf("double")
-    def score(langs: pa.Array, texts: pa.Array) -> pa.Array:
-        batch = pa.RecordBatch.from_arrays([langs, texts], names=["lang", "text"])
-        out = np.full(len(langs), np.nan)
-        for lang, rows, some in _by_language(batch):
-            logs = _table_of(table.value, name, lang)
-            for k in range(0, len(rows), 256):
-                codes, sizes = grams(some[k : k + 256])
-                ends = np.cumsum(sizes)
-                sums = np.concatenate([[0.0], np.cumsum(logs[codes], dtype=np.float64)])
-                out[rows[k : k + 256]] = np.divide(sums[ends] - sums[ends - sizes], sizes, out=np.full(len(sizes), np.nan), where=sizes > 0)
-        return pa.array(out, mask=np.isnan(out))
+def _counts_of(table: DataFrame, c: str) -> dict[int, tuple[list[int], int, int]]:
+    """For each language: entries by count (1 to 4), entries, sum of counts."""
+    rows = table.groupBy("l").agg(*(F.count_if(F.col(c) == j).alias(f"n{j}") for j in range(1, 5)), F.count(F.lit(1)).alias("entries"), F.sum(c).alias("total")).collect()  # a row for each language
+    return {r.l: ([r.n1, r.n2, r.n3, r.n4], r.entries, r.total) for r in rows}
 
-    return score
 
+def _cut(l: Column, c: Column, cuts: dict[int, list[float]]) -> Column:
+    """The discount of a count."""
+    table = F.create_map(*(x for k, d in sorted(cuts.items()) for x in (F.lit(k), F.array(*map(F.lit, d)))))
+    return F.get(F.element_at(table, l), F.least(c, F.lit(3)).cast("int") - 1)
 
-def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality", least_docs: int = 20, shard_rows: int = 7_000_000) -> Model:
-    """Fit the model on every document whose labels all say ``label_col`` = 1.
 
-    Languages with fewer than ``least_docs`` trusted documents take the pooled model, null languages
-    too. Documents without text add nothing. ``shard_rows`` must hold one language's table.
+class Model:
+    """Values of words and seen bigrams (key, value), and each language's terms for unseen words and the marks."""
+
+    def __init__(self, counts: DataFrame, order: list[str]) -> None:
+        counts = written(counts, "bigrams")
+        high = _counts_of(counts, "c")
+        self.values: DataFrame | None = None
+        self.unseen: dict[int, float] = {}
+        self.marks: dict[int, float] = {}
+        if not high:
+            return
+        counted = counts.withColumn("d", _cut(F.col("l"), F.col("c"), {l: _cuts(n) for l, (n, *_) in high.items()}))
+        after = counted.groupBy("l", "v").agg(F.sum("c").alias("total"), (F.sum("d") / F.sum("c")).alias("lo"))
+        before = written(counts.groupBy("l", "w").agg(F.count(F.lit(1)).alias("c1")), "continuations")
+        low = _counts_of(before, "c1")
+        cuts, base = {}, {}
+        for l, (n, entries, total) in low.items():
+            cuts[l] = _cuts(n)
+            left = sum(d * k for d, k in zip(cuts[l], [n[0], n[1], entries - n[0] - n[1]], strict=True)) / total
+            base[l] = left / (entries + 1)
+        self.unseen = {l: math.log(x) for l, x in base.items()}
+        number = lambda some: F.element_at(F.create_map(*(x for k, value in sorted(some.items()) for x in (F.lit(k), F.lit(value)))), F.col("l"))
+        words = before.select("l", "w", ((F.col("c1") - _cut(F.col("l"), F.col("c1"), cuts)) / number({l: total for l, (_, _, total) in low.items()}) + number(base)).alias("p1"))
+        both = words.join(after.select("l", F.col("v").alias("w"), "lo", "total"), ["l", "w"], "full")
+        words = written(both.withColumn("value", F.coalesce(F.ln("p1") - number(self.unseen), F.lit(0.0)) + F.coalesce(F.ln("lo"), F.lit(0.0))), "word-values")
+        ends = {l: [np.uint64(word_key(order[l], x)).astype(np.int64).item() for x in (START, END)] for l in high}
+        for r in words.where(reduce(lambda a, b: a | b, (F.col("w") == x for pair in ends.values() for x in pair))).select("l", "value").collect():  # two rows for each language
+            self.marks[r.l] = self.marks.get(r.l, 0.0) + r.value
+        self.marks = {l: x + self.unseen[l] for l, x in self.marks.items()}
+        seen = counted.join(words.select("l", F.col("w").alias("v"), "lo", "total"), ["l", "v"]).join(words.select("l", "w", "p1"), ["l", "w"])
+        own = (F.col("c") - F.col("d")) / F.col("total")
+        seen = seen.select(F.xxhash64("v", "w").alias("key"), F.log1p(own / (F.col("lo") * F.col("p1"))).alias("value"))
+        self.values = written(words.select(F.col("w").alias("key"), "value").unionByName(seen), "values")
+        drop_written(counts)
+        drop_written(before)
+        drop_written(words)
+
+    def drop(self) -> None:
+        if self.values is not None:
+            drop_written(self.values)
+
+
+def score(docs: DataFrame, model: Model, order: list[str]) -> DataFrame:
+    """(key, l, s, n) of every text of ``docs`` (key, l, text), once for each key: the sum of its grams' values, and its words. Texts without words are left out.
+
+    Rows of equal key must be equal.
     """
-    trusted = docs.select(field(id_col).alias("id"), F.coalesce(field(lang_col), F.lit("")).alias("lang"), field(text_col).cast("string").alias("text")).where("text != ''")
-    trusted = trusted.join(trusted_ids(labels, id_col, label_col).hint("merge"), "id")  # one plan at every size: labels grow with the documents
-    estimated = estimate(count(trusted.select("lang", "text")))
-    many = docs.select(field(id_col).alias("id"), F.coalesce(field(lang_col), F.lit("")).alias("lang")).join(trusted_ids(labels, id_col, label_col), "id").groupBy("lang").count()
-    return Model(estimated, {r.lang: r["count"] for r in many.collect()}, least_docs, shard_rows)
+    if model.values is None:
+        return docs.sparkSession.createDataFrame([], "key bigint, l int, s double, n double")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = model.values.count()
+    bits = max(1, (max(2 * parts, rows // 2_000_000) - 1).bit_length())  # a shard has some two million values at most
+    schema = "shard int, kind int, key bigint, value double, asked binary, places binary, owners binary, words binary"
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code = Words()
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # grams, the text of each, words and language of each text
+        owners: list[np.ndarray] = []
+        size = texts_held = 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            grams, places = (np.concatenate(x) for x in zip(*((g, p) for g, p, _ in held), strict=True))
+            keys, told = np.concatenate(owners), np.concatenate([n for _, _, n in held])
+            turn = np.argsort(grams)
+            grams, places = grams[turn], places[turn]
+            fresh = np.concatenate([[True], grams[1:] != grams[:-1]])
+            cuts = np.searchsorted(grams, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
+            columns: list[list] = [[] for _ in range(5)]
+            for shard, (a, b) in enumerate(zip([0, *cuts.tolist()], [*cuts.tolist(), len(grams)], strict=True)):
+                if a == b:
+                    continue
+                if not columns[0]:  # the words and languages of the texts, to one shard
+                    for column, x in zip(columns, [shard, b"", b"", keys.tobytes(), told.tobytes()], strict=True):
+                        column.append(x)
+                here, local = np.unique(places[a:b], return_inverse=True)
+                marked = local.astype(np.uint16) | fresh[a:b].astype(np.uint16) << np.uint16(15)
+                for column, x in zip(columns, [shard, grams[a:b][fresh[a:b]].tobytes(), marked.tobytes(), keys[here].tobytes(), None], strict=True):
+                    column.append(x)
+            many = len(columns[0])
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array([1] * many, pa.int32()), pa.nulls(many, pa.int64()), pa.nulls(many, pa.float64()), *(pa.array(x, pa.binary()) for x in columns[1:])], names=[x.split()[0] for x in schema.split(", ")])
+            held.clear()
+            owners.clear()
+
+        for batch in batches:
+            keys = batch.column(0).to_numpy()
+            for l, rows_, texts in _by_language(batch.column(1), batch.column(2)):
+                at = 0
+                for some in _some(texts):
+                    if texts_held + len(some) > MOST_TEXTS:
+                        yield from out()
+                        size = texts_held = 0
+                    words, sizes = code.of(order[l], some)
+                    v, w = bigrams(order[l], words, sizes)
+                    place = np.arange(texts_held, texts_held + len(some), dtype=np.uint16)
+                    held.append((np.concatenate([words, pair_keys(v, w)]), np.concatenate([np.repeat(place, sizes), np.repeat(place, sizes + 1)]), sizes << 16 | l))
+                    owners.append(keys[rows_[at : at + len(some)]])
+                    at += len(some)
+                    size += len(w)
+                    texts_held += len(some)
+                    if size >= TOGETHER:
+                        yield from out()
+                        size = texts_held = 0
+        if held:
+            yield from out()
+
+    def serve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, keys, values = None, [], []
+        table: tuple[np.ndarray, np.ndarray] | None = None
+        for batch in batches:
+            shards, kinds = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            edges = np.flatnonzero(np.diff(shards * 2 + kinds)) + 1
+            for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(shards)], strict=True):
+                if a == b:
+                    continue
+                if shards[a] != shard:
+                    shard, keys, values, table = shards[a], [], [], None
+                if kinds[a] == 0:
+                    keys.append(batch.column(2).slice(a, b - a).to_numpy().view(np.uint64).copy())
+                    values.append(batch.column(3).slice(a, b - a).to_numpy().copy())
+                    continue
+                if table is None:
+                    k, x = (np.concatenate(keys), np.concatenate(values)) if keys else (np.zeros(0, np.uint64), np.zeros(0))
+                    turn = np.argsort(k)
+                    table, keys, values = (k[turn], x[turn]), [], []
+                for row in range(a, b):
+                    asked, marked, owners, words = (batch.column(c)[row].as_py() for c in range(4, 8))
+                    owners = np.frombuffer(owners, np.int64)
+                    sums = _sums(np.frombuffer(asked, np.uint64), np.frombuffer(marked, np.uint16), len(owners), *table)
+                    told = np.zeros(len(owners), np.int64) if words is None else np.frombuffer(words, np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(owners), pa.array(sums), pa.array(told >> 16), pa.array((told & 0xFFFF).astype(np.int32))], names=["key", "s", "n", "l"])
+
+    asked = docs.select("key", "l", "text").mapInArrow(ask, schema)
+    known = model.values.select(F.shiftrightunsigned("key", 64 - bits).cast("int").alias("shard"), F.lit(0).alias("kind"), "key", "value", *(F.lit(None).cast("binary").alias(x) for x in ("asked", "places", "owners", "words")))
+    dealt = known.unionByName(asked).repartition(parts, "shard").sortWithinPartitions("shard", "kind")
+    sums = dealt.mapInArrow(serve, "key bigint, s double, n bigint, l int").groupBy("key").agg(F.sum("s").alias("s"), F.sum("n").alias("n"), F.max("l").alias("l"), F.count_if(F.col("n") > 0).alias("many"))
+    return sums.where("many > 0").select("key", "l", (F.col("s") / F.col("many")).alias("s"), (F.col("n") / F.col("many")).alias("n"))
+
+
+def _sums(asked: np.ndarray, marked: np.ndarray, texts: int, keys: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The sum of values for each text; a mark in the top bit of a place starts the next key."""
+    if not len(marked) or not len(keys):
+        return np.zeros(texts)
+    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+    found = np.where(keys[at] == asked, values[at], 0.0)
+    each = found[np.cumsum(marked >> np.uint16(15)) - 1]
+    return np.bincount(marked & np.uint16(0x7FFF), each, minlength=texts)
 
 
 def trusted_ids(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
+    """The ids all of whose labels are 1."""
     return labels.select(field(id_col).alias("id"), field(label_col).alias("good")).groupBy("id").agg(F.min("good").alias("low"), F.count_if(F.col("good").isNull()).alias("unknown")).where("low = 1 and unknown = 0 and id is not null").select("id")
 
 
-def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality", quantile: float = 0.99, slack: float = 1.0, **options) -> DataFrame:
+def _trusted(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose id is in ``ids``; a filter of fixed size keeps most others out of the shuffle."""
+    place = lambda: F.pmod(F.xxhash64("id"), F.lit(FILTER_WORDS * 64))
+    bit = lambda at: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(at, F.lit(64)).cast("int"))
+    word = lambda at: F.floor(at / 64).cast("int")
+    marked = ids.select(place().alias("at")).groupBy(word(F.col("at")).alias("word")).agg(F.bit_or(bit(F.col("at"))).alias("bits"))
+    likely = docs.withColumn("word", word(place())).join(F.broadcast(marked), "word").where(F.col("bits").bitwiseAND(bit(place())) != 0).drop("word", "bits")
+    return likely.join(ids.hint("merge"), "id")  # one plan at every size: labels grow with the documents
+
+
+def perplexities(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality", least_docs: int = 20, blocks: int = 2) -> tuple[DataFrame, list[str]]:
+    """(key, l, log): the mean log probability of a word, end mark included, of every text that has words and a model; and the languages by number.
+
+    ``key`` is that of ``text_key``. Each fold is scored in ``blocks`` blocks, one after the other,
+    so that what a join holds on disk is a part of the input.
+    """
+    narrow = spread(docs).select(field(id_col).alias("id"), F.coalesce(field(lang_col).cast("string"), F.lit("")).alias("lang"), field(text_col).cast("string").alias("text"), text_key(docs, id_col, text_col, lang_col).alias("key")).where("text != ''")
+    fold = F.xxhash64("text").bitwiseAND(1).cast("int")
+    ids = written(trusted_ids(labels, id_col, label_col), "trusted-ids")
+    mark = narrow.select("id", "lang", fold.alias("fold"))
+    many: dict[str, dict[int, int]] = {}
+    for r in _trusted(mark, ids).groupBy("lang", "fold").count().collect():  # two rows for each language
+        many.setdefault(r["lang"], {})[r["fold"]] = r["count"]
+    order = [POOLED, *sorted(x for x, n in many.items() if x != POOLED and sum(n.values()) >= least_docs and len(n) == 2)]
+    l = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for k, name in enumerate(order) for x in (name, k))), F.col("lang")), F.lit(0))
+    narrow = narrow.withColumn("l", l)
+    pooled = bool(narrow.where("l = 0").limit(1).count())
+    found = None
+    for f in (0, 1):
+        train = _trusted(narrow.where(fold != f).select("id", "l", "text"), ids)
+        numbers = F.array_distinct(F.array("l", F.lit(0))) if pooled else F.array("l")
+        model = Model(count(train.select(F.explode(numbers).alias("l"), "text"), order), order)
+        terms = narrow.sparkSession.createDataFrame([(k, model.unseen[k], model.marks[k]) for k in model.marks], "l int, unseen double, marks double")
+        for block in range(blocks):
+            part = narrow.where((fold == f) & (F.pmod(F.shiftright(F.xxhash64("text"), 1), F.lit(blocks)) == block))
+            sums = score(part, model, order).join(F.broadcast(terms), "l")
+            logs = (F.col("s") + F.col("n") * F.col("unseen") + F.col("marks")) / (F.col("n") + 1)
+            got = written(sums.select("key", "l", logs.alias("log")), "scores")
+            found = got if found is None else found.unionByName(got)
+        model.drop()
+    return found, order
+
+
+def text_key(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> Column:
+    return F.xxhash64(field(id_col), field(lang_col).cast("string"), field(text_col).cast("string"))
+
+
+def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality", quantile: float = 0.99, **options) -> DataFrame:
     """``docs`` with ``perplexity``, ``threshold`` and ``accepted`` (columns that must not clash).
 
-    Perplexity is per byte. The threshold of a language is ``slack`` times the ``quantile`` of its
-    trusted documents' perplexities, read from a histogram over all of them in steps of 0.001 of its
-    logarithm; languages without trusted documents take the one over all. Null and empty texts have
-    no perplexity and are not accepted. Without any trusted document nothing can be judged: perplexity
-    and threshold are null and every document with a text is accepted. Repeated rows stay.
+    Trusted are the documents whose labels all say ``label_col`` = 1. Perplexity is per word. The
+    threshold of a language is the ``quantile`` of its trusted documents' held-out perplexities, read
+    from a histogram over all of them in steps of 0.001 of its logarithm. Languages with fewer than
+    ``least_docs`` trusted documents, or with all of them in one fold, and null languages take the
+    model and the threshold of all trusted text. Texts without words (null and empty ones too) have no
+    perplexity and are not accepted. Where the other fold has no trusted text nothing can be judged:
+    perplexity is null and every document with words is accepted. Repeated rows stay.
     """
     if clash := {"perplexity", "threshold", "accepted"} & {c.lower() for c in docs.columns}:
         raise ValueError(f"documents already have {sorted(clash)}")
-    model = train(docs, labels, id_col=id_col, text_col=text_col, lang_col=lang_col, label_col=label_col, **options)
-    text, lang = F.nullif(field(text_col).cast("string"), F.lit("")), F.coalesce(field(lang_col), F.lit(""))
-    narrow = docs.select(field(id_col).alias("id"), lang.alias("lang"), text.alias("text"))
-    marks = written(model.score(narrow, F.col("text"), F.col("lang"), "log").select("id", "lang", "log"), "scores")
-    trusted = marks.join(trusted_ids(labels, id_col, label_col), "id").where("log is not null")
-    step = F.floor(-F.col("log") * 1000).cast("bigint")
-    steps = written(trusted.groupBy("lang", step.alias("step")).count(), "steps")
-    steps = steps.unionByName(steps.groupBy("step").agg(F.sum("count").alias("count")).withColumn("lang", F.lit(POOLED)))
-    upto = F.sum("count").over(Window.partitionBy("lang").orderBy("step"))
-    whole = F.sum("count").over(Window.partitionBy("lang"))
-    cuts = steps.withColumns({"upto": upto, "whole": whole}).where(F.col("upto") >= F.col("whole") * quantile).groupBy("lang").agg(F.min("step").alias("step"))
-    found = {r.lang: float(np.exp((r.step + 1) / 1000) * slack) for r in cuts.collect()}  # a row for each language
-    own = F.when(lang.isin([x for x in model.known if x != POOLED and x in found]), lang).otherwise(POOLED)
-    threshold = F.lit(None).cast("double")
-    for name in sorted(found):
-        threshold = F.when(own == name, F.lit(found[name])).otherwise(threshold)
-    perplexity = F.exp(-F.col("__log"))
-    accepted = text.isNotNull() & F.coalesce(perplexity <= threshold, F.lit(True))
-    scored = model.score(docs, text, lang, "__log")
-    return scored.select(*(field(c) for c in docs.columns), perplexity.alias("perplexity"), threshold.alias("threshold"), accepted.alias("accepted"))
+    logs, order = perplexities(docs, labels, id_col=id_col, text_col=text_col, lang_col=lang_col, label_col=label_col, **options)
+    given = [field(c) for c in docs.columns]
+    base = docs.select(F.struct(*given).alias("row"), text_key(docs, id_col, text_col, lang_col).alias("key"), field(id_col).alias("id"), F.coalesce(field(lang_col).cast("string"), F.lit("")).alias("lang"), field(text_col).cast("string").alias("text"))
+    ids = trusted_ids(labels, id_col, label_col)
+    trusted = base.select("id", "key").join(ids, "id").join(logs, "key")
+    steps = written(trusted.groupBy("l", F.floor(-F.col("log") * 1000).cast("bigint").alias("step")).count(), "steps")
+    steps = steps.where("l != 0").unionByName(steps.groupBy("step").agg(F.sum("count").alias("count")).withColumn("l", F.lit(0)))
+    upto, whole = F.sum("count").over(Window.partitionBy("l").orderBy("step")), F.sum("count").over(Window.partitionBy("l"))
+    cuts = steps.withColumns({"upto": upto, "whole": whole}).where(F.col("upto") >= F.col("whole") * quantile).groupBy("l").agg(F.min("step").alias("step")).collect()  # a row for each language
+    found = {r.l: math.exp((r.step + 1) / 1000) for r in cuts}
+    own = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for k, name in enumerate(order) if k in found or k == 0 for x in (name, k))), F.col("lang")), F.lit(0))
+    threshold = F.element_at(F.create_map(*(F.lit(x) for k in sorted(found) for x in (k, found[k]))), own) if found else F.lit(None).cast("double")
+    perplexity = F.exp(-F.col("log"))
+    words = F.coalesce(F.regexp_like("text", F.lit("[^\\x09-\\x0D\\x20]")), F.lit(False))
+    judged = base.withColumns({"threshold": threshold, "words": words}).join(logs.select("key", "log"), "key", "left")
+    accepted = F.col("words") & F.coalesce(perplexity <= F.col("threshold"), F.lit(True))
+    return judged.select("row.*", perplexity.alias("perplexity"), "threshold", accepted.alias("accepted"))
