@@ -12,10 +12,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from attestra.llm.common import field, type_of
+from attestra.llm.common import field, type_of, written
+from attestra.sources.shared import drop_written
 
 _ROUNDS = 8
 _MASK = (1 << 64) - 1
@@ -75,26 +76,35 @@ class Feistel:
         return self._walk(self._back, place)
 
 
+#: What fixes a row's number: its bucket, then these.
+ORDER = ["id", "size", "text_crc32", "text_hash"]
+#: Equal rows numbered from one generated array.
+_TOGETHER = 65_536
+
+
+def _keys(docs: DataFrame, id_col: str, text_col: str, buckets: int, *more: Column) -> DataFrame:
+    text = F.coalesce(field(text_col).cast("string"), F.lit(""))
+    rows = docs.select(field(id_col).alias("id"), (F.octet_length(text) + 1).cast("bigint").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("text_hash"), *more)
+    return rows.withColumn("b", F.pmod(F.xxhash64("id", "text_hash"), F.lit(buckets)).cast("int"))  # null ids too are dealt by their texts
+
+
 def shard(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shards: int = 16, seed: int = 42, buckets: int = 4096) -> DataFrame:
     """(id, size, text_crc32, text_hash, row, shard, slot) for every row.
 
-    ``size`` is the text's UTF-8 bytes plus one. Row numbers go by a hash bucket of the id, then id,
-    size and checksums; rows equal in all of these are counted before they meet and numbered in a
+    ``size`` is the text's UTF-8 bytes plus one. Row numbers go by a hash bucket of id and text, then
+    id, size and checksums; rows equal in all of these are counted before they meet and numbered in a
     row. The driver reads one count for each bucket. Null text has size 1 and the checksum of no
     bytes; null ids are a value like any other; no rows give no rows; other columns are not carried.
     """
-    bucket = F.pmod(F.xxhash64(F.col("id")), F.lit(buckets)).cast("int")
-    text = F.coalesce(field(text_col).cast("string"), F.lit(""))
-    rows = docs.select(field(id_col).alias("id"), (F.octet_length(text) + 1).cast("bigint").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("text_hash"))
+    each = written(_keys(docs, id_col, text_col, buckets).groupBy("b", *ORDER).agg(F.count(F.lit(1)).alias("many")), "shard-rows")
     counts = np.zeros(buckets, np.int64)
-    for r in docs.select(field(id_col).alias("id")).groupBy(bucket.alias("b")).count().collect():
-        counts[r.b] = r["count"]
+    for r in each.groupBy("b").agg(F.sum("many").alias("n")).collect():
+        counts[r.b] = r.n
     total, bases = int(counts.sum()), np.cumsum(counts) - counts
-    order = ["id", "size", "text_crc32", "text_hash"]
-    each = rows.groupBy(*order).agg(F.count("*").alias("many")).withColumn("b", bucket)
-    upto = F.sum("many").over(Window.partitionBy("b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    numbered = each.withColumn("upto", upto).select(*order, "b", F.explode(F.sequence(F.col("upto") - F.col("many"), F.col("upto") - 1)).alias("within"))
-    names = [*order, "row", "shard", "slot"]
+    upto = F.sum("many").over(Window.partitionBy("b").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0))
+    numbered = each.withColumn("upto", upto).withColumn("from", F.explode(F.sequence(F.col("upto") - F.col("many"), F.col("upto") - 1, F.lit(_TOGETHER).cast("bigint"))))
+    numbered = numbered.select(*ORDER, "b", F.explode(F.sequence("from", F.least(F.col("from") + _TOGETHER, F.col("upto")) - 1)).alias("within"))
+    names = [*ORDER, "row", "shard", "slot"]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         permuted = Feistel(max(1, total), seed)
@@ -107,20 +117,34 @@ def shard(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sh
     return made.withColumnRenamed("id", id_col)
 
 
-def write_shards(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", shards: int = 16, rows_a_file: int = 1_000_000, **options) -> None:
+def write_shards(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", shards: int = 16, seed: int = 42, buckets: int = 4096, rows_a_file: int = 1_000_000) -> None:
     """Write the rows to ``path`` as Parquet, one folder per shard, files and rows in slot order.
 
-    All columns are kept, ``shard`` and ``slot`` added; they must not clash.
+    All rows and columns are kept, ``shard`` and ``slot`` added; they must not clash. Rows are sorted
+    over all tasks in the order of ``shard``'s row numbers, so they get the places that it gives;
+    rows equal in id and text share theirs in the order they are read in.
     """
     if clash := {"shard", "slot"} & {c.lower() for c in docs.columns}:
         raise ValueError(f"documents already have {sorted(clash)}")
-    plan = shard(docs, id_col=id_col, text_col=text_col, shards=shards, **options)
-    text = F.coalesce(field(text_col).cast("string"), F.lit(""))
-    marked = docs.withColumns({"__size": (F.octet_length(text) + 1).cast("bigint"), "__crc": F.crc32(text), "__hash": F.xxhash64(text)})
-    marked = marked.dropDuplicates([id_col, "__size", "__crc", "__hash"])
-    plan = plan.select(field(id_col).alias("__id"), "size", "text_crc32", "text_hash", F.col("shard").alias("__shard"), F.col("slot").alias("__slot"))
-    placed = marked.alias("d").join(plan.withColumnsRenamed({"size": "__s", "text_crc32": "__c", "text_hash": "__h"}), field(id_col).eqNullSafe(F.col("__id")) & (F.col("__size") == F.col("__s")) & (F.col("__crc") == F.col("__c")) & (F.col("__hash") == F.col("__h")))
-    out = placed.select(*(field(c) for c in docs.columns), F.col("__shard").alias("shard"), F.col("__slot").alias("slot"))
-    part = F.floor(F.col("slot") / rows_a_file)
-    out = out.repartition(max(shards, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "shard", part)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = ["b", *ORDER, "read"]
+    rows = _keys(docs, id_col, text_col, buckets, F.struct(*(field(c) for c in docs.columns)).alias("data"), F.monotonically_increasing_id().alias("read"))
+    dealt = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("data", F.monotonically_increasing_id().alias("at"))
+    dealt = written(dealt, "shard-sorted")  # the upper bits of ``at`` number the partition, the lower 33 the row in it
+    part = F.shiftright("at", 33)
+    counts = {r.part: r.n for r in dealt.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    bases = np.zeros(max(counts, default=0) + 1, np.int64)
+    for k in sorted(counts)[:-1]:
+        bases[k + 1 :] += counts[k]
+    total = sum(counts.values())
+
+    @F.arrow_udf("shard int, slot bigint")
+    def place(at: pa.Array) -> pa.Array:
+        found = at.to_numpy()
+        where = Feistel(max(1, total), seed).place(bases[found >> 33] + (found & ((1 << 33) - 1)))
+        return pa.StructArray.from_arrays([pa.array((where % shards).astype(np.int32)), pa.array(where // shards)], names=["shard", "slot"])
+
+    out = dealt.withColumn("place", place("at")).select("data.*", "place.shard", "place.slot")
+    out = out.repartition(max(shards, parts), "shard", F.floor(F.col("slot") / rows_a_file))
     out.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    drop_written(dealt)

@@ -57,3 +57,25 @@ def test_written_shards(spark, tmp_path):
     back = spark.read.parquet(str(tmp_path / "b")).collect()
     assert sorted(((r.doc_id, r.text) for r in back), key=str) == sorted(((d, t) for d, t, *_ in rows()), key=str)
     assert {r.shard for r in back} == {0, 1, 2, 3}
+
+
+def test_written_shards_lose_no_row(spark, tmp_path):
+    """Rows of equal id and text but other columns all stay, at the places that ``shard`` gives."""
+    given = [(5, "same", "a"), (5, "same", "b"), (5, "same", "b"), (None, None, "c"), (None, None, "d"), (6, "x", None), *((k, f"t{k}", "e") for k in range(50))]
+    docs = spark.createDataFrame(given, "doc_id bigint, text string, id string")
+    sharding.write_shards(docs, str(tmp_path / "w"), shards=4)
+    back = spark.read.parquet(str(tmp_path / "w")).collect()
+    assert sorted(((r.doc_id, r.text, r.id) for r in back), key=str) == sorted(given, key=str)
+    placed = sharding.shard(docs, shards=4).collect()
+    assert sorted(((r.doc_id, r.shard, r.slot) for r in back), key=str) == sorted(((r.doc_id, r.shard, r.slot) for r in placed), key=str)
+
+
+def test_many_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "_TOGETHER", 7)
+    docs = spark.range(0, 200).selectExpr("CAST(id % 3 AS bigint) AS doc_id", "CASE WHEN id < 100 THEN 'same' ELSE 'other' END AS text")
+    got = sharding.shard(docs, shards=16).collect()
+    assert sorted(r.row for r in got) == list(range(200))
+
+
+def test_empty_is_written(spark, tmp_path):
+    sharding.write_shards(spark.createDataFrame([], "doc_id bigint, text string"), str(tmp_path / "w"))
