@@ -13,17 +13,19 @@ context, ``p1`` the continuation probability and ``own`` the discounted share of
 
 so every word has one value, every seen bigram has one, and other bigrams add nothing. Scoring is a
 join of all grams of all documents with the table of values, sharded by the gram's key. What goes
-into it is packed: a task sorts the grams of some 10**6 words and sends each shard its distinct keys
-once, with two bytes for each place that has them; a shard sends back one sum for each document.
+into it is packed: a task sorts the grams of some 10**6 words (a group) and sends each shard the distinct
+keys once, six bytes each, with two bytes for each place that has them; a shard sends back one row
+for each group, with a sum for each of its texts.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections.abc import Iterator
 from functools import reduce
-from itertools import chain
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -36,11 +38,10 @@ from attestra.sources.shared import drop_written, spread
 POOLED = "*"
 #: Marks at the ends of a text; words hold no space.
 START, END = b" <", b" >"
-#: Words counted or sent together, texts that two bytes can number, distinct words a worker keeps.
-TOGETHER, MOST_TEXTS, WORDS_KEPT = 1 << 20, 1 << 15, 700_000
+#: Words counted or sent together, and texts that fifteen bits can number.
+TOGETHER, MOST_TEXTS = 1 << 20, 1 << 15
 #: 64-bit words of the filter that keeps most untrusted texts out of the shuffle: one megabyte, whatever the labels.
 FILTER_WORDS = 1 << 17
-_LONG = 1 << 20
 _SPACE = re.compile(rb"[\t-\r ]")
 
 
@@ -61,48 +62,64 @@ def pair_keys(v: np.ndarray, w: np.ndarray) -> np.ndarray:
         return _mixed(w, _mixed(v, np.full(1, 42, np.uint64)))
 
 
+#: Bytes hashed together; longer texts are split at a space.
+_SPAN = 1 << 20
+_ODD = 0x9E3779B97F4A7C15
+_BYTES = _mixed(np.arange(256, dtype=np.uint64), np.full(1, 7, np.uint64))
+_GAPS = np.zeros(256, bool)
+_GAPS[[9, 10, 11, 12, 13, 32]] = True
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(many: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number modulo 2**64, and those of its inverse."""
+    if not _POWERS or len(_POWERS[0]) < many:
+        size = max(many, _SPAN + (1 << 16))
+        with np.errstate(over="ignore"):
+            _POWERS[:] = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, x, np.uint64)])) for x in (_ODD, pow(_ODD, -1, 1 << 64))]
+    return _POWERS[0], _POWERS[1]
+
+
+def _hashes(raw: bytes, lang: str) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the words in a run of bytes that ends in a space, and where they start: polynomials of their bytes, read off running sums."""
+    codes = np.frombuffer(raw, np.uint8)
+    gap = _GAPS[codes]
+    edge = gap[1:] != gap[:-1]
+    starts = np.flatnonzero(edge & gap[:-1]) + 1
+    ends = np.flatnonzero(edge & gap[1:]) + 1
+    if len(codes) and not gap[0]:
+        starts = np.concatenate([[0], starts])
+    up, down = _powers(len(codes) + 1)
+    with np.errstate(over="ignore"):
+        upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[codes] * up[: len(codes)])])
+        keys = _mixed((upto[ends] - upto[starts]) * down[starts], np.uint64(zlib.crc32(lang.encode())))
+    return keys, starts
+
+
 def word_key(lang: str, word: bytes) -> int:
-    from xxhash import xxh3_64_intdigest
-
-    return xxh3_64_intdigest(word, xxh3_64_intdigest(lang.encode()))
-
-
-class Words:
-    """Keys of the words of texts; a worker keeps the keys of words that it has met."""
-
-    def __init__(self) -> None:
-        self.known: dict[str, dict[bytes, int]] = {}
-        self.held = 0
-
-    def _keys(self, lang: str, words: list[bytes]) -> np.ndarray:
-        known = self.known.setdefault(lang, {})
-        found = [*map(known.get, words)]
-        if None in found:
-            if self.held > WORDS_KEPT:
-                self.known, self.held, known = {}, 0, {}
-                self.known[lang] = known
-                found = [None] * len(words)
-            fresh = {w: word_key(lang, w) for w, k in zip(words, found, strict=True) if k is None}
-            known.update(fresh)
-            self.held += len(fresh)
-            found = [*map(known.__getitem__, words)]
-        return np.array(found, np.uint64)
-
-    def of(self, lang: str, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The keys of all words of the texts in one run, and how many words each text has. A long text is split piece by piece."""
-        if any(len(x) > _LONG for x in texts):
-            parts = [(k, part) for k, x in enumerate(texts) for part in _pieces(x)]
-            some = [self._keys(lang, part.split()) for _, part in parts]
-            sizes = np.bincount([k for k, _ in parts], [len(x) for x in some], minlength=len(texts)).astype(np.int64)
-            return np.concatenate(some), sizes
-        split = [x.split() for x in texts]
-        return self._keys(lang, [*chain.from_iterable(split)]), np.array([len(x) for x in split], np.int64)
+    """The key of a word, or of a mark: bytes with a space in front, which no word has."""
+    if word[:1] == b" ":
+        with np.errstate(over="ignore"):
+            return int(_mixed(_mixed(np.frombuffer(word.ljust(8), "<u8"), np.full(1, 11, np.uint64)), np.uint64(zlib.crc32(lang.encode())))[0])
+    return int(_hashes(word + b" ", lang)[0][0])
+
+
+def word_keys(lang: str, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of all words of the texts in one run, and how many words each text has."""
+    if any(len(x) > _SPAN for x in texts):
+        parts = [(k, part) for k, x in enumerate(texts) for part in _pieces(x)]
+        some = [_hashes(part + b" ", lang)[0] for _, part in parts]
+        sizes = np.bincount([k for k, _ in parts], [len(x) for x in some], minlength=len(texts)).astype(np.int64)
+        return np.concatenate(some), sizes
+    keys, starts = _hashes(b" ".join([*texts, b""]), lang)
+    ends = np.cumsum([len(x) + 1 for x in texts])
+    return keys, np.diff(np.searchsorted(starts, ends), prepend=0)
 
 
 def _pieces(text: bytes) -> Iterator[bytes]:
     at = 0
     while at < len(text):
-        cut = _SPACE.search(text, at + _LONG)
+        cut = _SPACE.search(text, at + _SPAN)
         end = cut.end() if cut else len(text)
         yield text[at:end]
         at = end
@@ -123,7 +140,6 @@ def count(trusted: DataFrame, order: list[str]) -> DataFrame:
     """(l, v, w, c): the bigrams of ``trusted`` (l: number of the language in ``order``, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = Words()
         held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         size = 0
 
@@ -139,7 +155,7 @@ def count(trusted: DataFrame, order: list[str]) -> DataFrame:
         for batch in batches:
             for l, _, texts in _by_language(batch.column(0), batch.column(1)):
                 for some in _some(texts):
-                    held.setdefault(l, []).append(bigrams(order[l], *code.of(order[l], some)))
+                    held.setdefault(l, []).append(bigrams(order[l], *word_keys(order[l], some)))
                     size += len(held[l][-1][0])
                     if size >= TOGETHER:
                         yield from out()
@@ -163,7 +179,7 @@ def _some(texts: list[bytes]) -> Iterator[list[bytes]]:
     at = size = 0
     for k, x in enumerate(texts):
         size += len(x)
-        if size >= 4 * _LONG or k + 1 - at >= MOST_TEXTS // 2:
+        if size >= _SPAN or k + 1 - at >= MOST_TEXTS // 2:
             yield texts[at : k + 1]
             at, size = k + 1, 0
     if at < len(texts):
@@ -222,59 +238,96 @@ class Model:
         for r in words.where(reduce(lambda a, b: a | b, (F.col("w") == x for pair in ends.values() for x in pair))).select("l", "value").collect():  # two rows for each language
             self.marks[r.l] = self.marks.get(r.l, 0.0) + r.value
         self.marks = {l: x + self.unseen[l] for l, x in self.marks.items()}
-        seen = counted.join(words.select("l", F.col("w").alias("v"), "lo", "total"), ["l", "v"]).join(words.select("l", "w", "p1"), ["l", "w"])
+        of_context, of_word = words.select("l", F.col("w").alias("v"), "lo", "total"), words.select("l", "w", "p1")
+        seen = counted.join(of_context.hint("shuffle_hash"), ["l", "v"]).join(of_word.hint("shuffle_hash"), ["l", "w"])  # a part of the words fits a task
         own = (F.col("c") - F.col("d")) / F.col("total")
         seen = seen.select(F.xxhash64("v", "w").alias("key"), F.log1p(own / (F.col("lo") * F.col("p1"))).alias("value"))
-        self.values = written(words.select(F.col("w").alias("key"), "value").unionByName(seen), "values")
+        self._pack(words.select(F.col("w").alias("key"), "value").unionByName(seen), sum(entries for some in (high, low) for _, entries, _ in some.values()))
         drop_written(counts)
         drop_written(before)
         drop_written(words)
 
+    def _pack(self, values: DataFrame, many: int) -> None:
+        """Write the values shard by shard: (shard, keys, values), a million or so a row. A shard has some two million values at most."""
+        self.bits = bits = max(6, (many // 2_000_000).bit_length())
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            shard, held, size = -1, [], 0
+
+            def out() -> pa.RecordBatch:
+                keys, some = (np.concatenate(x) for x in zip(*held, strict=True))
+                return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([_packed(keys, bits)], pa.binary()), pa.array([some.astype("<f4").tobytes()], pa.binary())], names=["shard", "keys", "some"])
+
+            for batch in batches:
+                shards = batch.column(0).to_numpy()
+                edges = np.flatnonzero(np.diff(shards)) + 1
+                for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(shards)], strict=True):
+                    if a == b:
+                        continue
+                    if held and (shards[a] != shard or size >= 1 << 20):
+                        yield out()
+                        held, size = [], 0
+                    shard = int(shards[a])
+                    held.append((batch.column(1).slice(a, b - a).to_numpy().view(np.uint64).copy(), batch.column(2).slice(a, b - a).to_numpy().copy()))
+                    size += b - a
+            if held:
+                yield out()
+
+        parts = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        dealt = values.select(F.shiftrightunsigned("key", 64 - bits).cast("int").alias("shard"), "key", "value").repartition(parts, "shard").sortWithinPartitions("shard")
+        self.values = written(dealt.mapInArrow(run, "shard int, keys binary, some binary"), "values")
+
     def drop(self) -> None:
         if self.values is not None:
             drop_written(self.values)
 
 
+def _packed(keys: np.ndarray, bits: int) -> bytes:
+    """Six bytes of each key, from below the bits that name its shard."""
+    low = keys << np.uint64(bits) >> np.uint64(16)
+    return low.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
 def score(docs: DataFrame, model: Model, order: list[str]) -> DataFrame:
     """(key, l, s, n) of every text of ``docs`` (key, l, text), once for each key: the sum of its grams' values, and its words. Texts without words are left out.
 
-    Rows of equal key must be equal.
+    Rows of equal key must be equal. Two keys of a shard that agree in six bytes share a value, about
+    once in 10**8 lookups.
     """
     if model.values is None:
-        return docs.sparkSession.createDataFrame([], "key bigint, l int, s double, n double")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = model.values.count()
-    bits = max(1, (max(2 * parts, rows // 2_000_000) - 1).bit_length())  # a shard has some two million values at most
-    schema = "shard int, kind int, key bigint, value double, asked binary, places binary, owners binary, words binary"
+        return docs.sparkSession.createDataFrame([], "key bigint, l int, s double, n bigint")
+    parts, bits = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), model.bits
+    # kind 0: keys and values of a shard; 1: keys that a group asks for, and the places of each; 2: keys, words and languages of the group's texts
+    schema = "shard int, kind int, team bigint, one binary, two binary"
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = Words()
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # grams, the text of each, words and language of each text
+        from pyspark import TaskContext
+
+        team = TaskContext.get().partitionId() << 32
+        held: list[tuple[np.ndarray, np.ndarray]] = []  # grams, and the text of each
         owners: list[np.ndarray] = []
+        told: list[np.ndarray] = []
         size = texts_held = 0
 
-        def out() -> Iterator[pa.RecordBatch]:
-            grams, places = (np.concatenate(x) for x in zip(*((g, p) for g, p, _ in held), strict=True))
-            keys, told = np.concatenate(owners), np.concatenate([n for _, _, n in held])
+        def out() -> pa.RecordBatch:
+            grams, places = (np.concatenate(x) for x in zip(*held, strict=True))
             turn = np.argsort(grams)
             grams, places = grams[turn], places[turn]
             fresh = np.concatenate([[True], grams[1:] != grams[:-1]])
-            cuts = np.searchsorted(grams, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
-            columns: list[list] = [[] for _ in range(5)]
-            for shard, (a, b) in enumerate(zip([0, *cuts.tolist()], [*cuts.tolist(), len(grams)], strict=True)):
-                if a == b:
-                    continue
-                if not columns[0]:  # the words and languages of the texts, to one shard
-                    for column, x in zip(columns, [shard, b"", b"", keys.tobytes(), told.tobytes()], strict=True):
-                        column.append(x)
-                here, local = np.unique(places[a:b], return_inverse=True)
-                marked = local.astype(np.uint16) | fresh[a:b].astype(np.uint16) << np.uint16(15)
-                for column, x in zip(columns, [shard, grams[a:b][fresh[a:b]].tobytes(), marked.tobytes(), keys[here].tobytes(), None], strict=True):
-                    column.append(x)
-            many = len(columns[0])
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array([1] * many, pa.int32()), pa.nulls(many, pa.int64()), pa.nulls(many, pa.float64()), *(pa.array(x, pa.binary()) for x in columns[1:])], names=[x.split()[0] for x in schema.split(", ")])
-            held.clear()
-            owners.clear()
+            places |= fresh.astype(np.uint16) << np.uint16(15)  # the top bit starts the next key
+            cuts = np.searchsorted(grams, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)).tolist()
+            rows = [(hash(team) & ((1 << bits) - 1), 2, team, np.concatenate(owners).tobytes(), np.concatenate(told).tobytes())]
+            rows += [(shard, 1, team, _packed(grams[a:b][fresh[a:b]], bits), places[a:b].tobytes()) for shard, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(grams)], strict=True)) if a < b]
+            for x in (held, owners, told):
+                x.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=names)
 
         for batch in batches:
             keys = batch.column(0).to_numpy()
@@ -282,63 +335,71 @@ def score(docs: DataFrame, model: Model, order: list[str]) -> DataFrame:
                 at = 0
                 for some in _some(texts):
                     if texts_held + len(some) > MOST_TEXTS:
-                        yield from out()
-                        size = texts_held = 0
-                    words, sizes = code.of(order[l], some)
+                        yield out()
+                        team, size, texts_held = team + 1, 0, 0
+                    words, sizes = word_keys(order[l], some)
                     v, w = bigrams(order[l], words, sizes)
                     place = np.arange(texts_held, texts_held + len(some), dtype=np.uint16)
-                    held.append((np.concatenate([words, pair_keys(v, w)]), np.concatenate([np.repeat(place, sizes), np.repeat(place, sizes + 1)]), sizes << 16 | l))
+                    held.append((np.concatenate([words, pair_keys(v, w)]), np.concatenate([np.repeat(place, sizes), np.repeat(place, sizes + 1)])))
                     owners.append(keys[rows_[at : at + len(some)]])
+                    told.append(sizes << 16 | l)
                     at += len(some)
                     size += len(w)
                     texts_held += len(some)
                     if size >= TOGETHER:
-                        yield from out()
-                        size = texts_held = 0
+                        yield out()
+                        team, size, texts_held = team + 1, 0, 0
         if held:
-            yield from out()
+            yield out()
 
     def serve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, keys, values = None, [], []
+        shard, held = None, []
         table: tuple[np.ndarray, np.ndarray] | None = None
         for batch in batches:
-            shards, kinds = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            edges = np.flatnonzero(np.diff(shards * 2 + kinds)) + 1
-            for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(shards)], strict=True):
-                if a == b:
-                    continue
-                if shards[a] != shard:
-                    shard, keys, values, table = shards[a], [], [], None
-                if kinds[a] == 0:
-                    keys.append(batch.column(2).slice(a, b - a).to_numpy().view(np.uint64).copy())
-                    values.append(batch.column(3).slice(a, b - a).to_numpy().copy())
+            for row in range(batch.num_rows):
+                where, kind, team, one, two = (batch.column(c)[row].as_py() for c in range(5))
+                if where != shard:
+                    shard, held, table = where, [], None
+                if kind == 0:
+                    held.append((_unpacked(one), np.frombuffer(two, "<f4")))
                     continue
-                if table is None:
-                    k, x = (np.concatenate(keys), np.concatenate(values)) if keys else (np.zeros(0, np.uint64), np.zeros(0))
-                    turn = np.argsort(k)
-                    table, keys, values = (k[turn], x[turn]), [], []
-                for row in range(a, b):
-                    asked, marked, owners, words = (batch.column(c)[row].as_py() for c in range(4, 8))
-                    owners = np.frombuffer(owners, np.int64)
-                    sums = _sums(np.frombuffer(asked, np.uint64), np.frombuffer(marked, np.uint16), len(owners), *table)
-                    told = np.zeros(len(owners), np.int64) if words is None else np.frombuffer(words, np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(owners), pa.array(sums), pa.array(told >> 16), pa.array((told & 0xFFFF).astype(np.int32))], names=["key", "s", "n", "l"])
+                if kind == 1:
+                    if table is None:
+                        keys, values = (np.concatenate(x) for x in zip(*held, strict=True)) if held else (np.zeros(0, np.uint64), np.zeros(0, np.float32))
+                        turn = np.argsort(keys)
+                        table, held = (keys[turn], values[turn]), []
+                    one, two = _sums(_unpacked(one), np.frombuffer(two, np.uint16), *table)
+                yield pa.RecordBatch.from_arrays([pa.array([team]), pa.array([kind], pa.int32()), pa.array([one], pa.binary()), pa.array([two], pa.binary())], names=["team", "kind", "one", "two"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (tuple(batch.column(c)[k].as_py() for c in range(4)) for batch in batches for k in range(batch.num_rows))
+        for _, some in groupby(rows, key=lambda x: x[0]):
+            sums = np.zeros(MOST_TEXTS)
+            for _, kind, one, two in some:
+                if kind == 1:
+                    sums[np.frombuffer(one, np.uint16)] += np.frombuffer(two, "<f8")
+                else:
+                    keys, told = np.frombuffer(one, np.int64), np.frombuffer(two, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array((told & 0xFFFF).astype(np.int32)), pa.array(sums[: len(keys)]), pa.array(told >> 16)], names=["key", "l", "s", "n"])
 
     asked = docs.select("key", "l", "text").mapInArrow(ask, schema)
-    known = model.values.select(F.shiftrightunsigned("key", 64 - bits).cast("int").alias("shard"), F.lit(0).alias("kind"), "key", "value", *(F.lit(None).cast("binary").alias(x) for x in ("asked", "places", "owners", "words")))
+    known = model.values.select("shard", F.lit(0).alias("kind"), F.lit(0).cast("bigint").alias("team"), F.col("keys").alias("one"), F.col("some").alias("two"))
     dealt = known.unionByName(asked).repartition(parts, "shard").sortWithinPartitions("shard", "kind")
-    sums = dealt.mapInArrow(serve, "key bigint, s double, n bigint, l int").groupBy("key").agg(F.sum("s").alias("s"), F.sum("n").alias("n"), F.max("l").alias("l"), F.count_if(F.col("n") > 0).alias("many"))
-    return sums.where("many > 0").select("key", "l", (F.col("s") / F.col("many")).alias("s"), (F.col("n") / F.col("many")).alias("n"))
+    answers = dealt.mapInArrow(serve, "team bigint, kind int, one binary, two binary").repartition(parts, "team").sortWithinPartitions("team")
+    sums = answers.mapInArrow(add, "key bigint, l int, s double, n bigint").where("n > 0")
+    return sums.groupBy("key").agg(F.max("l").alias("l"), F.max("s").alias("s"), F.max("n").alias("n"))
 
 
-def _sums(asked: np.ndarray, marked: np.ndarray, texts: int, keys: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """The sum of values for each text; a mark in the top bit of a place starts the next key."""
-    if not len(marked) or not len(keys):
-        return np.zeros(texts)
+def _sums(asked: np.ndarray, marked: np.ndarray, keys: np.ndarray, values: np.ndarray) -> tuple[bytes, bytes]:
+    """The texts that have any of the keys, and the sum of values for each; a mark in the top bit of a place starts the next key."""
+    places = marked & np.uint16(0x7FFF)
+    if not len(keys):
+        return b"", b""
     at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
     found = np.where(keys[at] == asked, values[at], 0.0)
-    each = found[np.cumsum(marked >> np.uint16(15)) - 1]
-    return np.bincount(marked & np.uint16(0x7FFF), each, minlength=texts)
+    sums = np.bincount(places, found[np.cumsum(marked >> np.uint16(15)) - 1])
+    here = np.flatnonzero(sums)
+    return here.astype(np.uint16).tobytes(), sums[here].tobytes()
 
 
 def trusted_ids(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:

@@ -69,12 +69,27 @@ def test_keys_equal_those_of_sql(spark):
     assert perplexity.pair_keys(v, w).view(np.int64).tolist() == expected
 
 
-def test_long_texts_are_split_alike(monkeypatch):
-    text = " ".join(sample(1, 30)).replace("w7 ", "w7 \n\t").encode()
-    plain = perplexity.Words().of("en", [text, b"", b"a  b"])
-    monkeypatch.setattr(perplexity, "_LONG", 50)
-    cut = perplexity.Words().of("en", [text, b"", b"a  b"])
-    assert (plain[0] == cut[0]).all() and plain[1].tolist() == cut[1].tolist() and plain[1].tolist()[1:] == [0, 2]
+def test_word_keys(monkeypatch):
+    texts = [b" one\ttwo  one", b"", b"\n", "zwei\x0bdrei\x1cx é".encode(), b"two"]
+    keys, sizes = perplexity.word_keys("en", texts)
+    split = [x.split(None) for x in texts]
+    words = [w for x in texts for w in x.replace(b"\x1c", b"\x01").split()]
+    assert sizes.tolist() == [3, 0, 0, 3, 1] and len(split) == 5
+    by = {}
+    for w, k in zip(words, keys.tolist(), strict=True):
+        assert by.setdefault(w, k) == k
+    assert len({*by.values()}) == len(by) and by[b"two"] == perplexity.word_key("en", b"two") != perplexity.word_key("de", b"two")
+    text = " ".join(sample(1, 300)).replace("w7 ", "w7 \n\t").encode()
+    plain = perplexity.word_keys("en", [text, b"", b"a  b"])
+    monkeypatch.setattr(perplexity, "_SPAN", 50)
+    cut = perplexity.word_keys("en", [text, b"", b"a  b"])
+    assert (plain[0] == cut[0]).all() and plain[1].tolist() == cut[1].tolist()
+    assert len({*perplexity.word_keys("en", [" ".join(f"w{k}" for k in range(200_000)).encode()])[0].tolist()}) == 200_000
+
+
+def test_packed_keys():
+    keys = np.array([0, 2**64 - 1, 0x0123456789ABCDEF], np.uint64)
+    assert perplexity._unpacked(perplexity._packed(keys, 8)).tolist() == [0, 2**48 - 1, 0x23456789ABCD]
 
 
 def test_perplexity_equals_the_textbook_recursion(spark):
@@ -85,7 +100,7 @@ def test_perplexity_equals_the_textbook_recursion(spark):
     folds = fold_of(spark, texts)
     models = [brute_model([t for t in texts[:140] if folds[t] != f])[0] for f in (0, 1)]
     for k, text in enumerate(texts):
-        assert got[k].perplexity == pytest.approx(math.exp(-models[folds[text]](text)), rel=1e-9)
+        assert got[k].perplexity == pytest.approx(math.exp(-models[folds[text]](text)), rel=1e-5)  # values are kept as 32-bit numbers
 
 
 def test_probabilities_sum_to_one():
@@ -100,7 +115,7 @@ def test_groups_and_blocks_do_not_matter(spark, monkeypatch, small):
     labels = docs.selectExpr("doc_id", "1 AS quality")
     whole = {r.key: r.log for r in perplexity.perplexities(docs, labels, blocks=1)[0].collect()}
     other = {r.key: r.log for r in perplexity.perplexities(docs.repartition(9 if small else 1), labels, blocks=3)[0].collect()}
-    assert whole.keys() == other.keys() and all(whole[k] == pytest.approx(other[k]) for k in whole)
+    assert whole.keys() == other.keys() and all(whole[k] == pytest.approx(other[k], rel=1e-6) for k in whole)
 
 
 def test_threshold_is_the_quantile_of_the_trusted(spark):
