@@ -2,21 +2,25 @@
 
 A tree builder reads the markup, closes the elements whose end tags HTML lets authors leave out, and
 keeps the rest as a tree. The renderer walks it as a browser lays it out: what is not visible is
-left out; white space collapses outside ``pre``; blocks start new lines and paragraphs, headings and
-the like are set apart by one blank line; list items carry their marker and indent; table cells are
-aligned in columns. All visible text is emitted, navigation and footers too.
+left out (by the kind of element, its ``hidden`` attribute, its own style and style sheets); white
+space collapses outside ``pre``; blocks start new lines and paragraphs, headings and the like are set
+apart by one blank line; list items carry their marker and indent; table cells are aligned in columns,
+wide ones wrapped. All visible text is emitted, navigation and footers too.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from attestra.llm.common import field, type_of
+from attestra.sources.shared import spread
 
 # Fixed values of the HTML standard: kinds of elements by their names.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -38,22 +42,29 @@ FENCES = {"table", "td", "th", "caption", "template", "button", "object"}
 
 #: Elements nested deeper than this become siblings; their text stays.
 DEEPEST = 120
-#: A table with a cell wider than this is laid out cell by cell and not in columns.
+#: Cells that others follow in their row are wrapped at this width, so that columns stay aligned side by side.
 WIDEST = 60
+#: Columns that begin farther to the right than this are no longer padded to their place, which bounds a line's padding.
+FARTHEST = 1000
 
 _MARKUP = re.compile(r"<(?:!--(?s:.*?)(?:--!?>|\Z)|(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|[!?/][^>]*+>)")
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]*)))?")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
-_DISPLAY_NONE = re.compile(r"display\s*:\s*none", re.I)
-_VISIBILITY = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.I)
+_DISPLAY = re.compile(r"(?:^|[;\s])display\s*:\s*([a-z-]+)", re.I)
+_VISIBILITY = re.compile(r"(?:^|[;\s])visibility\s*:\s*(hidden|collapse|visible)", re.I)
+_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
+_RULE = re.compile(r"@([a-z-]+)([^{};]*+)(?:;|\{((?:[^{}]++|\{[^{}]*+\})*+)\})|([^{}@;]++)\{([^{}]*+)\}", re.I)
+_SHOWS = re.compile(r"(display|visibility)\s*:\s*([a-z-]+)\s*(!\s*important)?", re.I)
+_SELECTOR = re.compile(r"([a-z][\w-]*|\*)?((?:[.#][\w-]+)*)", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "kids")
+    __slots__ = ("tag", "attrs", "kids", "sheet")
 
     def __init__(self, tag: str, attrs: str) -> None:
         self.tag, self.attrs, self.kids = tag, attrs, []
+        self.sheet: tuple[str, str] | None = None  # what style sheets say: declarations before and after the element's own
 
     def get(self, name: str) -> str | None:
         """An attribute's value, empty where it has none; null where it is not there."""
@@ -65,9 +76,55 @@ class Node:
         return None
 
 
+def _rules(css: str) -> Iterator[tuple[str, str]]:
+    """Selectors and declarations; of conditional blocks only those for all or for screens."""
+    for found in _RULE.finditer(css):
+        if found[4] is not None:
+            yield found[4], found[5]
+        elif found[1].lower() == "media" and found[3] and {x.strip().lower() for x in found[2].split(",")} & {"all", "screen", "only screen"}:
+            yield from _rules(found[3])
+
+
+def _apply_sheets(root: Node, sheets: list[str]) -> None:
+    """Note on each element what style sheets say about its display and visibility.
+
+    Selectors of a tag name, classes and an id without combinators are followed; more specific ones
+    win, then later ones, and important declarations win over the element's own.
+    """
+    wanted: list[tuple[tuple, str, set[str], set[str], str, bool]] = []
+    for order, (selectors, body) in enumerate(x for css in sheets for x in _rules(_COMMENT.sub(" ", css))):
+        shows = _SHOWS.findall(body)
+        for selector in selectors.split(",") if shows else []:
+            if not (parts := _SELECTOR.fullmatch(selector.strip())) or not parts[0]:
+                continue
+            tag, names = (parts[1] or "*").lower(), re.findall(r"([.#])([\w-]+)", parts[2])
+            ids, classes = {n for kind, n in names if kind == "#"}, {n for kind, n in names if kind == "."}
+            for name, value, important in shows:
+                wanted.append(((len(ids), len(classes), tag != "*", order), tag, ids, classes, f"{name}:{value}", bool(important)))
+    if not wanted:
+        return
+    by: dict[str, list] = {}
+    for rule in sorted(wanted, key=lambda x: x[0]):
+        by.setdefault(next((f"#{x}" for x in sorted(rule[2])), None) or next((f".{x}" for x in sorted(rule[3])), rule[1]), []).append(rule)
+    stack = [root]
+    while stack:
+        node = stack.pop()
+        classes, own = {*(node.get("class") or "").split()}, node.get("id")
+        some = [r for key in (node.tag, "*", *(f".{x}" for x in classes), f"#{own}") if key in by for r in by[key]]
+        some = sorted((r for r in some if r[1] in ("*", node.tag) and r[2] <= {own} and r[3] <= classes), key=lambda x: x[0])
+        if some:
+            node.sheet = ";".join(r[4] for r in some if not r[5]), ";".join(r[4] for r in some if r[5])
+        stack += [k for k in node.kids if isinstance(k, Node)]
+
+
+def _style(node: Node) -> str:
+    own = node.get("style") or "" if node.attrs else ""
+    return f"{node.sheet[0]};{own};{node.sheet[1]}" if node.sheet else own
+
+
 def tree(markup: str) -> Node:
     """Parse markup; tags that fit nowhere are dropped, their text stays."""
-    root = Node("html", "")
+    root, sheets = Node("html", ""), []
     stack, at, end = [root], 0, len(markup)
     while at < end:
         mark = markup.find("<", at)
@@ -96,6 +153,10 @@ def tree(markup: str) -> Node:
             inner = markup[at : stop.start() if stop else end]
             node.kids.append(_plain(inner) if tag in ("textarea", "title") else inner)
             at = stop.start() if stop else end
+            if tag == "style" and ("display" in inner.lower() or "visibility" in inner.lower()):
+                sheets.append(inner)
+    if sheets:
+        _apply_sheets(root, sheets)
     return root
 
 
@@ -252,12 +313,11 @@ def _element(node: Node, page: _Page, seen: bool, pre: bool, depth: int) -> None
     tag = node.tag
     if tag in UNSEEN:
         return
-    if node.attrs:
-        style = node.get("style") or ""
-        if node.get("hidden") is not None or (style and _DISPLAY_NONE.search(style)):
+    if node.attrs or node.sheet:
+        if _gone(node):
             return
-        if style and (shown := _VISIBILITY.search(style)):
-            seen = shown[1].lower() == "visible"
+        if shown := _VISIBILITY.findall(_style(node)):
+            seen = shown[-1].lower() == "visible"
     if tag == "br":
         if seen:
             page.line_end()
@@ -384,44 +444,38 @@ def _table(node: Node, seen: bool, depth: int) -> list[str]:
                 if isinstance(kid, str) or kid.tag not in ("td", "th"):
                     stray(kid)
     grid: list[dict[int, list[str]]] = []
-    spans: list[dict[int, int]] = []
-    taken: dict[int, int] = {}  # column: rows that a cell from above still fills
+    width: dict[int, int] = {}  # of the columns that hold a cell of their own
+    taken: list[tuple[int, int, int]] = []  # (first column, column after the last, rows) that cells from above still fill, ascending
     for row in rows:
         if _gone(row):
             continue
-        cells, wide, at = {}, {}, 0
-        for cell in [row] if row.tag in ("td", "th") else [k for k in row.kids if isinstance(k, Node)]:
-            if cell.tag not in ("td", "th") or _gone(cell):
-                continue
-            while taken.get(at, 0) > 0:
-                at += 1
+        given = [k for k in ([row] if row.tag in ("td", "th") else row.kids) if isinstance(k, Node) and k.tag in ("td", "th") and not _gone(k)]
+        cells, at, above, fresh = {}, 0, 0, []
+        for place, cell in enumerate(given):
+            while above < len(taken) and taken[above][0] <= at:
+                at = max(at, taken[above][1])
+                above += 1
             across, down = _number(cell.get("colspan"), 1, 1, 1000), _number(cell.get("rowspan"), 1, 1, 65534)
             holder = Node("div", "")
             holder.kids.append(cell)
-            cells[at], wide[at] = _lines(holder, seen, False, depth + 1), across
-            for k in range(at, at + across):
-                taken[k] = down
+            lines = _lines(holder, seen, False, depth + 1)
+            cells[at] = lines if place + 1 == len(given) else _wrapped(lines)
+            if across == 1:
+                width[at] = max(width.get(at, 0), *(min(len(x), WIDEST) for x in cells[at]), 0)
+            if down > 1:
+                fresh.append((at, at + across, down))
             at += across
-        taken = {k: v - 1 for k, v in taken.items() if v > 1}
+        taken = sorted([(a, b, n - 1) for a, b, n in taken if n > 2] + [(a, b, n) for a, b, n in fresh])
+        taken = [(a, b, n) for a, b, n in taken if n > 1]
         grid.append(cells)
-        spans.append(wide)
-    if any(len(x) > WIDEST or len(lines) > 8 for cells in grid for lines in cells.values() for x in lines):
-        for cells in grid:
-            for lines in cells.values():
-                out += lines
-        return out
-    width: dict[int, int] = {}
-    for cells, wide in zip(grid, spans, strict=True):
-        for at, lines in cells.items():
-            if wide[at] == 1:
-                width[at] = max(width.get(at, 0), *map(len, lines), 0)
+    columns = sorted(c for c, x in width.items() if x)
+    left_of = [0, *accumulate(width[c] + 2 for c in columns)]
     for cells in grid:
         for k in range(max(map(len, cells.values()), default=0)):
             line = ""
             for at, lines in cells.items():
-                left = sum(width.get(c, 0) + 2 for c in range(at))
-                text = lines[k] if k < len(lines) else ""
-                if text:
+                if k < len(lines) and (text := lines[k]):
+                    left = min(left_of[bisect_left(columns, at)], FARTHEST)
                     line = line.ljust(left) if len(line) <= left else line + "  "
                     line += text
             out.append(line)
@@ -429,7 +483,26 @@ def _table(node: Node, seen: bool, depth: int) -> list[str]:
 
 
 def _gone(node: Node) -> bool:
-    return bool(node.attrs) and (node.get("hidden") is not None or bool(_DISPLAY_NONE.search(node.get("style") or "")))
+    """Whether an element is not displayed: by the last declaration that counts, else by its ``hidden`` attribute."""
+    if not node.attrs and not node.sheet:
+        return False
+    told = _DISPLAY.findall(_style(node))
+    return told[-1].lower() == "none" if told else node.get("hidden") is not None
+
+
+def _wrapped(lines: list[str]) -> list[str]:
+    """Lines broken at spaces where they are wider than a column may be; a longer word stays whole."""
+    out: list[str] = []
+    for line in lines:
+        while len(line) > WIDEST:
+            cut = line.rfind(" ", 1, WIDEST + 1)
+            cut = cut if cut > 0 else line.find(" ", WIDEST)
+            if cut < 0 or not line[:cut].strip():
+                break
+            out.append(line[:cut])
+            line = line[cut + 1 :]
+        out.append(line)
+    return out
 
 
 def title_of(root: Node) -> str | None:
@@ -466,5 +539,5 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html"
             sizes, lines = [len(x or "") for x in texts], [x.count("\n") + 1 if x else 0 for x in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(titles, pa.string()), pa.array(texts, pa.string()), pa.array(sizes, pa.int64()), pa.array(lines, pa.int64())], names=["id", "title", "text", "n_chars", "n_lines"])
 
-    made = pages.select(field(id_col).alias("id"), field(html_col).cast("string").alias("html")).mapInArrow(run, f"id {type_of(pages, id_col)}, title string, text string, n_chars bigint, n_lines bigint")
+    made = spread(pages).select(field(id_col).alias("id"), field(html_col).cast("string").alias("html")).mapInArrow(run, f"id {type_of(pages, id_col)}, title string, text string, n_chars bigint, n_lines bigint")
     return made.withColumnRenamed("id", id_col)

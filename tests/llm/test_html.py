@@ -12,6 +12,10 @@ CASES = [
     ("<div style='display: none'>a</div>b", "b"), ("<div style='visibility:hidden'>a<i style='visibility:visible'>b</i></div>", "b"), ("<details><summary>s</summary>x</details><details open><summary>t</summary>y</details>", "s\nt\ny"),
     ("&lt;a&gt; &amp;amp; &copy; &nbsp;x", "<a> &amp; ©  x"), ("<!-- a --><!DOCTYPE html>b<!-- c", "b"), ("<head><title>t</title></head><body>b", "b"), ("<title>t</title>b", "b"), ("a < b <3 <", "a < b <3 <"),
     ("<blockquote>q</blockquote>r", "  q\n\nr"), ("<dl><dt>t<dd>d</dl>", "t\n  d"), ("<select><option>a<option selected>b</select>", "b"), ("<textarea> x\n y</textarea>", " x\n y".lstrip("\n")), ("<input type=submit value=Go> <input value=no>", "Go"),
+    ("<style>.x{display:none}</style><p class='a x'>a</p>b", "b"), ("<style>/* c */ p.x, #k { color:red; display : none } @media print{b{display:none}}</style><p class=x>a</p><i id=k>c</i><b>d</b><p>e", "d\n\ne"),
+    ("<style>p{display:none}.y{display:block}</style><p class=y>a<p>b", "a"), ("<style>.x{display:none!important}.z{display:none}</style><i class=x style='display:inline'>a</i><i class=z style='display:inline'>b</i>", "b"),
+    ("<style>.x{visibility:hidden}@media screen{.q{display:none}}div .r{display:none}</style><i class=x>a<b style='visibility:visible'>b</b></i><i class=q>c</i><i class=r>d</i>", "bd"), ("<p hidden style='display:block'>a</p>b", "a\n\nb"),
+    ("<table><tr><td rowspan=3>a<td>b<tr><td>c<tr><td>d<tr><td>e<td>f</table>", "a  b\n   c\n   d\ne  f"), ("<table><tr><td colspan=900>x<td>y<tr><td>1<td>2</table>", "x     y\n1  2"),
     ("<p>a</div>b</p>c", "ab\n\nc"), ("</p>x", "x"), ("<a href='x>y'>z</a>", "z"), ("<p>a<table><tr><td>b</table>c", "a\n\nb\n\nc"), ("<nav>n</nav><footer>f</footer>", "n\nf"), ("<template>x</template><noscript>y</noscript>z", "z"), ("<table hidden><tr><td>x</table>y", "y"),
 ]
 
@@ -27,6 +31,22 @@ def test_deep_nesting_keeps_text():
     assert "x" in html_text.to_text("<table><tr><td>" * 3000 + "x")
 
 
+def test_wide_cells_stay_aligned():
+    long, word = " ".join(["word"] * 40), "x" * 90
+    got = html_text.to_text(f"<table><tr><td>a<td>{long}<td>end<tr><td>b<td>short<td>{long}<tr><td>c<td>{word}<td>e</table>").split("\n")
+    assert max(len(x) for x in got[:4]) <= 3 + html_text.WIDEST + 2 + 3 and " ".join(" ".join(got).split()).count("word") == 80
+    assert got[0].index("end") == 3 + max(len(x[3:]) for x in got[1:4]) + 2 or got[0].endswith("end")
+    starts = {x.index("word", 4) for x in got if x.startswith("b")} | {got[0].index("end")}
+    assert len(starts) == 1  # the third column begins at one place in both rows
+    assert got[-1] == f"c  {word}  e"
+
+
+@pytest.mark.parametrize("cell", ["<td colspan=1000 rowspan=65534>x", "<td colspan=1000>x", "<tr><td colspan=999><td>y", "<td>x", "<tr><td>x<td>y"])
+def test_spans_do_not_blow_up(cell):
+    markup = "<table><tr>" + cell * 3000 + "</table>"
+    assert len(html_text.to_text(markup)) < 40 * len(markup)
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.sampled_from(["<p>", "</p>", "<div>", "</div>", "<ul>", "<li>", "</ul>", "<table>", "<tr>", "<td>", "</table>", "<b>", "</b>", "<br>", "<pre>", "</pre>", "<", ">", "<!--x-->", "&amp;", "w1", " w2 ", "\n", "<td colspan=3 rowspan=0>", "<h2>", "<select>", "<option>", "'", '"', "<a b='"]), max_size=40))
 def test_any_markup_renders(parts):
