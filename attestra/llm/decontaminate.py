@@ -9,14 +9,14 @@ patterns that end with it, and a direct comparison of all words confirms each oc
 
 from __future__ import annotations
 
-import hashlib
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestra.llm.common import field, utf8
+from attestra.llm.common import field, utf8, written
 
 HITS = "n_words bigint, spans array<array<int>>, items array<string>"
 
@@ -93,47 +93,53 @@ def _merged(spans: list[list[int]]) -> list[list[int]]:
     return out
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = 13, block_bytes: int = 64 << 20) -> Column:
-    """A column of ``docs``: (n_words, merged word ``spans`` (start, end) that benchmark windows cover, the ``items`` they come from).
-
-    The benchmark is read in blocks of at most ``block_bytes`` of text (one item at least); each block
-    is broadcast alone, and the searches of all blocks follow each other in one scan, so a larger
-    benchmark means more searches, not a larger broadcast. Whole texts are searched.
-
-    Null or empty text and text without words: no words, no spans. Null or wordless items match
-    nothing; items with equal words all count.
-    """
-    sc = docs.sparkSession.sparkContext
-    source = benchmark.select(field(item_col).cast("string").alias("item"), field(item_text_col).alias("text")).where("item is not null and text is not null")
-    text = field(text_col).cast("string")
-    found = None
-    for names, texts in _blocks(source, block_bytes):
-        search = _search_block(sc.broadcast((names, texts)), width)
-        found = search(text) if found is None else search(text, found)
-    return found if found is not None else _search_block(sc.broadcast(([], [])), width)(text)
-
-
-def _blocks(source: DataFrame, most: int) -> Iterator[tuple[list[str], list[bytes]]]:
+def _blocks(source: DataFrame, width: int, most: int) -> Iterator[tuple[list[str], list[bytes]]]:
+    """Items in blocks of at most ``most`` windows (one item at least)."""
     names, texts, held = [], [], 0
     for row in source.toLocalIterator():
         text = row.text.encode()
-        if names and held + len(text) > most:
+        size = max(1, len(words_of(text)) - width + 1)
+        if names and held + size > most:
             yield names, texts
             names, texts, held = [], [], 0
         names.append(row.item)
         texts.append(text)
-        held += len(text)
+        held += size
     if names:
         yield names, texts
 
 
-def _search_block(block, width: int):
+def with_hits(rows: DataFrame, benchmark: DataFrame, *, item_col: str = "item_id", item_text_col: str = "text", width: int = 13, block_windows: int = 100_000, blocks_a_scan: int = 4) -> DataFrame:
+    """``rows`` (row, text) with ``hits``: (n_words, merged word ``spans`` (start, end) that benchmark windows cover, the ``items`` they come from).
+
+    The benchmark is read in blocks of ``block_windows`` windows, each a broadcast of its own, and a scan
+    of the rows searches ``blocks_a_scan`` blocks one after the other; a worker builds each block's
+    tables once and holds those of one scan (a window takes about half a kilobyte). A larger benchmark
+    takes more scans, between which rows and hits are written, not more memory. Whole texts are searched.
+
+    Null or empty text and text without words: no words, no spans. Null or wordless items match
+    nothing; items with equal words all count.
+    """
+    sc = rows.sparkSession.sparkContext
+    source = benchmark.select(field(item_col).cast("string").alias("item"), field(item_text_col).alias("text")).where("item is not null and text is not null")
+    found, many = None, 0
+    for names, texts in _blocks(source, width, block_windows):
+        if found is not None and many % blocks_a_scan == 0:
+            rows = written(rows.withColumn("hits", found), "hits")
+            found = F.col("hits")
+        search = _search_block(sc.broadcast((names, texts)), width, blocks_a_scan)
+        found = search("text") if found is None else search("text", found)
+        many += 1
+    return rows.withColumn("hits", _search_block(sc.broadcast(([], [])), width, 1)("text") if found is None else found)
+
+
+def _search_block(block, width: int, kept: int):
     """A function of text and, where there are any, the hits of the blocks before."""
 
     @F.arrow_udf(HITS)
     def search(*given: pa.Array) -> pa.Array:
         names = block.value[0]
-        tables = _tables(block, width)
+        tables = _tables(block, width, kept)
         texts = utf8(given[0])
         before = given[1].to_pylist() if len(given) > 1 else [None] * len(texts)
         counts, spans, items = [], [], []
@@ -155,42 +161,44 @@ def _search_block(block, width: int):
     return search
 
 
-_HELD: dict[tuple, list[WuManber]] = {}
+#: The search tables that a worker holds, by block.
+_HELD: OrderedDict[tuple, tuple[object, list[WuManber]]] = OrderedDict()
 
 
-def _tables(block, width: int) -> list[WuManber]:
-    """The search tables of a broadcast block, built once in a worker and kept for the next batches."""
+def _tables(block, width: int, kept: int) -> list[WuManber]:
+    """The search tables of a broadcast block, built once in a worker and held while ``kept`` blocks are in use."""
     key = (id(block), width)
     if key not in _HELD:
-        if len(_HELD) >= 4:
-            _HELD.clear()
-        _HELD[key] = [block, searchers(list(enumerate(block.value[1])), width)]
+        while len(_HELD) >= kept:
+            _HELD.popitem(last=False)
+        _HELD[key] = block, searchers(list(enumerate(block.value[1])), width)
+    _HELD.move_to_end(key)
     return _HELD[key][1]
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, *, least_share: int = 20, **options) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", least_share: int = 20, **options) -> DataFrame:
     """``docs`` with n_words, n_hit, n_items, items_sha256 and contaminated (columns that must not clash), and ``spans`` and ``items``.
 
     Contaminated: any word is hit and ``least_share * n_hit >= n_words``. ``items_sha256`` is the
     digest of the items' ids, sorted as strings and joined by commas (of the empty string where
-    there are none). Nulls as in ``hits``; repeated rows stay; an empty benchmark leaves all clean.
+    there are none). Nulls as in ``with_hits``; repeated rows stay; an empty benchmark leaves all clean.
     """
     new = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans", "items"]
     if clash := {c.lower() for c in docs.columns} & {*new}:
         raise ValueError(f"documents already have {sorted(clash)}")
-    found = docs.withColumn("__hits", hits(docs, benchmark, **options))
-    n_hit = F.aggregate("__hits.spans", F.lit(0).cast("bigint"), lambda s, x: s + (x[1] - x[0]))
+    return _judged(docs, benchmark, text_col, least_share, options).select("row.*", *new)
+
+
+def _judged(docs: DataFrame, benchmark: DataFrame, text_col: str, least_share: int, options: dict) -> DataFrame:
+    rows = docs.select(F.struct(*(field(c) for c in docs.columns)).alias("row"), field(text_col).cast("string").alias("text"))
+    found = with_hits(rows, benchmark, **options)
+    n_hit = F.aggregate("hits.spans", F.lit(0).cast("bigint"), lambda s, x: s + (x[1] - x[0]))
     # Spark compares strings by their UTF-8 bytes, which is the order of code points
-    items = F.array_sort("__hits.items")
-    out = found.select(*(field(c) for c in docs.columns), F.col("__hits.n_words").alias("n_words"), n_hit.alias("n_hit"), F.size(items).cast("bigint").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), F.col("__hits.spans").alias("spans"), items.alias("items"))
+    items = F.array_sort("hits.items")
+    out = found.select("row", F.col("hits.n_words").alias("n_words"), n_hit.alias("n_hit"), F.size(items).cast("bigint").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), F.col("hits.spans").alias("spans"), items.alias("items"))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * least_share >= F.col("n_words")))
 
 
-def without_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", least_share: int = 20, **options) -> DataFrame:
     """``docs`` without its contaminated rows, all columns as they are; nothing is shuffled."""
-    renamed = docs.select(F.struct(*(field(c) for c in docs.columns)).alias("row"), field(options.pop("text_col", "text")).alias("text"))
-    return contamination(renamed, benchmark, **options).where("not contaminated").select("row.*")
-
-
-def empty_digest() -> str:
-    return hashlib.sha256(b"").hexdigest()
+    return _judged(docs, benchmark, text_col, least_share, options).where("not contaminated").select("row.*")

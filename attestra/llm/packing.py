@@ -81,23 +81,25 @@ def pack(items: DataFrame, *, length_col: str = "length", order: list[str], capa
     """
     if clash := {"sequence_id", "offset"} & {c.lower() for c in items.columns}:
         raise ValueError(f"items already have {sorted(clash)}")
-    items = written(items, "pack-items")
-    length = field(length_col)
-    total, bad = items.agg(F.count("*"), F.count_if(length.isNull() | (length < 1) | (length > capacity))).first()
+    names, schema = items.columns, items.schema
+    packed = items.select(F.struct(*(field(c) for c in names)).alias("row"), field(length_col).alias("length"), *(field(c).alias(f"key{k}") for k, c in enumerate(order)))
+    packed = written(packed, "pack-items")
+    keys, length = [f"key{k}" for k in range(len(order))], F.col("length")
+    total, bad = packed.agg(F.count(F.lit(1)), F.count_if(length.isNull() | (length < 1) | (length > capacity))).first()
     if bad:
         raise ValueError(f"{bad} items have no length from 1 to {capacity}")
     parts = max(16, -(-total // RANKED_TOGETHER))
-    part = F.pmod(F.xxhash64(*(field(c) for c in order)), F.lit(parts))
-    sizes = items.groupBy(length.alias("__len"), part.alias("__part")).count()
-    sizes = written(sizes.withColumn("__base", F.sum("count").over(Window.partitionBy("__len").orderBy("__part")) - F.col("count")), "pack-sizes")
-    counts = {r["__len"]: r["n"] for r in sizes.groupBy("__len").agg(F.sum("count").alias("n")).collect()}  # a row for each length
+    part = F.pmod(F.xxhash64(*keys), F.lit(parts))
+    sizes = packed.groupBy("length", part.alias("part")).count()
+    sizes = written(sizes.withColumn("base", F.sum("count").over(Window.partitionBy("length").orderBy("part")) - F.col("count")), "pack-sizes")
+    counts = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("count").alias("n")).collect()}  # a row for each length
     place = items.sparkSession.sparkContext.broadcast(_table(best_fit_runs(counts, capacity)))  # bounded by capacity
 
-    names, schema = items.columns, items.schema
-    ranked = items.withColumns({"__len": length, "__part": part})
-    window = Window.partitionBy("__len", "__part").orderBy(*(field(c) for c in order))
-    ranked = ranked.withColumn("__rank", F.row_number().over(window) - 1).join(sizes.drop("count"), ["__len", "__part"])
-    ranked = ranked.select(*(field(c) for c in names), F.col("__len").cast("bigint").alias("__len"), (F.col("__base") + F.col("__rank")).alias("__rank"))
+    ranked = packed.withColumn("part", part)
+    window = Window.partitionBy("length", "part").orderBy(*keys)
+    ranked = ranked.withColumn("rank", F.row_number().over(window) - 1).join(sizes.drop("count"), ["length", "part"])
+    ranked = ranked.select("row.*", F.col("length").cast("bigint").alias("length"), (F.col("base") + F.col("rank")).alias("rank"))
+    ranked = ranked.toDF(*(f"c{k}" for k in range(len(names) + 2)))  # the items' own columns can have any names
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs = place.value

@@ -1,8 +1,8 @@
 """Line-first quality rules, with DataFrame functions alone.
 
 Every line is judged by itself: a line fails by punctuation (no sentence end in it, or runs of
-marks), navigation (separators between most words), symbols or boilerplate (a short line with one
-of a list of phrases). Failing lines are removed; a document that loses too much text that way, or
+marks), navigation (separators or addresses for a quarter of its words), symbols or boilerplate (a
+short line with one of a list of phrases). Failing lines are removed; a document that loses too much text that way, or
 fails the base rules on word count and repeats, is rejected. Whole texts are judged and nothing is
 shuffled: repeats are found by sorting a text's own window hashes.
 """
@@ -22,10 +22,15 @@ SYMBOLS = "[#*$%&|<>]"
 SENTENCE_END = "[.!?…。！？][\\)\\]\"'»”’]*( |$)"
 MARK_RUN = "[!?]{2,}|\\.{4,}"
 SEPARATORS = "[|»›·•→]"
-#: Phrases of lines that belong to a page and not to its text.
+#: Addresses; a line of which they make up a quarter is navigation.
+ADDRESS = "https?://|www\\."
+#: Phrases of lines that belong to a page and not to its text, in the corpus's four languages.
 BOILERPLATE = [
     "all rights reserved", "accept cookies", "cookie policy", "privacy policy", "terms of use", "terms of service", "enable javascript", "lorem ipsum", "sign up for our newsletter",
-    "click here to", "skip to content", "share this", "licensed under", "released under the",
+    "click here to", "skip to content", "licensed under the", "released under the terms", "released under the mit", "released under the apache",
+    "alle rechte vorbehalten", "cookies akzeptieren", "datenschutzerklärung", "nutzungsbedingungen", "zum inhalt springen", "newsletter anmelden",
+    "tous droits réservés", "accepter les cookies", "politique de confidentialité", "conditions générales d’utilisation", "aller au contenu", "mentions légales",
+    "todos los derechos reservados", "aceptar cookies", "política de privacidad", "términos de uso", "saltar al contenido", "aviso legal",
 ]
 WINDOW = 8
 
@@ -49,7 +54,7 @@ def _line_passes(line: Column) -> Column:
     phrase = lambda low: reduce(or_, (low.contains(x) for x in BOILERPLATE))
     boilerplate = (F.length(line) <= 200) & _let(F.lower(line), phrase)
     ends = line.rlike(SENTENCE_END)
-    return ends & _let(words, lambda n: (F.regexp_count(line, F.lit(MARK_RUN)) * 4 <= n) & (F.regexp_count(line, F.lit(SEPARATORS)) * 4 <= n)) & (F.regexp_count(line, F.lit(SYMBOLS)) * 10 <= F.length(line)) & ~boilerplate
+    return ends & _let(words, lambda n: (F.regexp_count(line, F.lit(MARK_RUN)) * 4 <= n) & (F.regexp_count(line, F.lit(SEPARATORS)) * 4 <= n) & (F.regexp_count(line, F.lit(ADDRESS)) * 4 <= n)) & (F.regexp_count(line, F.lit(SYMBOLS)) * 10 <= F.length(line)) & ~boilerplate
 
 
 def _repeat_positions(words: Column, hashes: Column) -> Column:
@@ -101,12 +106,13 @@ def judge(docs: DataFrame, *, text_col: str = "text", least_words: int = 20, mos
     stays = lambda x: _let(bare(x), lambda line: (line == "") | _line_passes(line))
     doubled = lambda full: (F.size(full) - F.size(F.array_distinct(full))).cast("bigint")
     of_lines = _let(F.split(text, "\n"), lambda lines: F.struct(_let(F.filter(lines, lambda x: bare(x) != ""), doubled).alias("doubled"), F.array_join(F.filter(lines, stays), "\n").alias("clean")))
-    counted = docs.withColumns({"__words": of_words, "__lines": of_lines}).select(
-        *(field(c) for c in docs.columns), F.col("__words.n").alias("n_words"), F.col("__words.chars").alias("word_chars"), F.regexp_count(text, F.lit(SYMBOLS)).cast("bigint").alias("n_symbols"),
-        F.col("__lines.doubled").alias("n_dup_lines"), F.col("__words.repeated").alias("n_repeat_words"), F.length(F.regexp_replace("__lines.clean", WORD_GAP, "")).alias("__left"), F.when(field(text_col).isNotNull(), F.col("__lines.clean")).alias("__clean"),
+    rows = docs.select(F.struct(*(field(c) for c in docs.columns)).alias("row"), of_words.alias("words"), of_lines.alias("lines"), F.regexp_count(text, F.lit(SYMBOLS)).cast("bigint").alias("n_symbols"), field(text_col).isNotNull().alias("given"))
+    counted = rows.select(
+        "row", F.col("words.n").alias("n_words"), F.col("words.chars").alias("word_chars"), "n_symbols", F.col("lines.doubled").alias("n_dup_lines"), F.col("words.repeated").alias("n_repeat_words"),
+        F.length(F.regexp_replace("lines.clean", WORD_GAP, "")).alias("left"), F.when(F.col("given"), F.col("lines.clean")).alias("cleaned_text"),
     )
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words"))
     judged = counted.withColumn("base_failed", failed)
-    lost = F.col("word_chars") - F.col("__left")
-    judged = judged.withColumns({"kept": ~F.col("base_failed") & (100 * lost <= most_lost * F.col("word_chars")), "cleaned_text": F.col("__clean")})
-    return judged.select(*(field(c) for c in docs.columns), *new)
+    lost = F.col("word_chars") - F.col("left")
+    judged = judged.withColumn("kept", ~F.col("base_failed") & (100 * lost <= most_lost * F.col("word_chars")))
+    return judged.select("row.*", *new)

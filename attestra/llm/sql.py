@@ -17,7 +17,7 @@ r AS (SELECT doc_id, sum(least(8, coalesce(nxt - pos, 8))) AS covered FROM (SELE
 l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS raw FROM d),
 k AS (SELECT doc_id, raw, trim(raw, {_TRIM}) AS line FROM l),
 f AS (SELECT doc_id, raw, line, length(regexp_replace(line, '{_GAP}', '', 'g')) AS chars, len(string_split_regex(line, '{_GAP}+')) AS n FROM k WHERE line <> ''),
-v AS (SELECT doc_id, raw, chars, regexp_matches(line, '[.!?…。！？][)\\]"''»”’]*( |$)') AND len(regexp_extract_all(line, '[!?]{{2,}}|\\.{{4,}}')) * 4 <= n AND len(regexp_extract_all(line, '[|»›·•→]')) * 4 <= n
+v AS (SELECT doc_id, raw, chars, regexp_matches(line, '[.!?…。！？][)\\]"''»”’]*( |$)') AND len(regexp_extract_all(line, '[!?]{{2,}}|\\.{{4,}}')) * 4 <= n AND len(regexp_extract_all(line, '[|»›·•→]')) * 4 <= n AND len(regexp_extract_all(line, 'https?://|www\\.')) * 4 <= n
     AND len(regexp_extract_all(line, '[#*$%&|<>]')) * 10 <= length(line) AND NOT (length(line) <= 200 AND ({_PHRASES})) AS good FROM f),
 s AS (SELECT doc_id, count(*) - count(DISTINCT raw) AS doubled, sum(CASE WHEN good THEN 0 ELSE chars END) AS lost FROM v GROUP BY doc_id),
 c AS (SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars, CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attestra.llm.common import field, table_path, type_of, utf8
+from attestra.sources.shared import spread
 
 #: Words whose ids a worker keeps; beyond it, its store is emptied and refilled.
 STEMS_KEPT, WORDS_KEPT = 500_000, 700_000
@@ -140,9 +141,11 @@ def pieces(docs: DataFrame, tokenizer: str, *, end_id: int = 0, capacity: int =
             yield pa.RecordBatch.from_arrays(out, names=["id", "piece", "start", "length", "ids_crc32", "ids"][: len(out)])
 
     schema = f"id {type_of(docs, id_col)}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids
-    return docs.select(field(id_col).alias("id"), field(text_col).cast("string").alias("text")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return spread(docs).select(field(id_col).alias("id"), field(text_col).cast("string").alias("text")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
+#: Bytes of text that go into one token file, about, where the session's partitions would make larger ones.
+FILE_TEXT = 256 << 20
 #: Settings of the token files: row groups, pages and rows a page are held small enough that the page
 #: index leads to a few pages; token ids take the dictionary, ordered numbers delta encoding.
 FILE_OPTIONS = {
@@ -165,7 +168,10 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, *, end_id: int
     text = F.coalesce(field(text_col).cast("string"), F.lit(""))
     base = docs.select(field(id_col).alias("id"), text.alias("text"), F.crc32(text).alias("crc"), F.octet_length(text).alias("size"))
     keys = ["id", "crc", "size"]
-    base = base.repartitionByRange(files or int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys)
+    if files is None:
+        whole = base.agg(F.sum("size")).first()[0] or 0
+        files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-whole // FILE_TEXT))
+    base = base.repartitionByRange(files, *keys).sortWithinPartitions(*keys)
     base.mapInArrow(_numbered_tokens(tokenizer, end_id), f"doc_id {kind}, file int, local_start bigint, n_tokens bigint, tokens array<int>").write.options(**FILE_OPTIONS).parquet(path)
 
 

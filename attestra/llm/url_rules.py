@@ -45,24 +45,29 @@ def judge(pages: DataFrame, rules: DataFrame, *, url_col: str = "url", default:
     if clash := {"host", "path", "rule", "verdict"} & {c.lower() for c in pages.columns}:
         raise ValueError(f"pages already have {sorted(clash)}")
     host, path = host_and_path(field(url_col).cast("string"))
-    pages = pages.withColumns({"host": host, "path": path})
+    given = F.struct(*(field(c) for c in pages.columns)).alias("row")
+    pages = pages.select(given, host.alias("host"), path.alias("path"))
     known = rules.select(F.lower("host").alias("r_host"), F.coalesce("path", F.lit("")).alias("r_path"), F.col("verdict").alias("r_verdict")).where("r_host != ''")
     known = known.groupBy("r_host", "r_path").agg(F.max("r_verdict").alias("r_verdict"))  # block after allow
     known = known.withColumn("rule", F.concat("r_host", "r_path")).withColumn("digest", F.sha2("rule", 256)).withColumn("prefix", F.left("digest", F.lit(8)))
-    many, shapes = known.count(), known.select(F.size(F.split("r_host", "\\.")).alias("labels"), F.length("r_path").alias("length")).distinct().collect()
+    shapes = known.groupBy(F.size(F.split("r_host", "\\.")).alias("labels")).agg(F.collect_set(F.length("r_path")).alias("lengths")).collect()  # a row for each label count, its path lengths
+    many = known.count()
     known = F.broadcast(known) if many <= BROADCAST_RULES else known
 
-    urls = pages.select("host", "path").distinct()
-    labels = F.size(F.split("host", "\\."))
-    expand = [
-        F.when((labels >= s.labels) & (F.length("path") >= s.length), F.concat(F.substring_index("host", ".", -s.labels), F.substring("path", 1, s.length)))
-        for s in sorted(shapes)
-    ]  # one for each pair of label count and path length in the rules
-    terms = urls.select("host", "path", F.explode(F.array_compact(F.array(*expand) if expand else F.array().cast("array<string>"))).alias("term"))
-    terms = terms.withColumn("t_digest", F.sha2("term", 256))
+    urls = pages.where("host != ''").select("host", "path").distinct()
+    whole = F.array(*(F.struct(F.lit(s.labels).alias("labels"), F.array(*(F.lit(x) for x in sorted(s.lengths))).alias("lengths")) for s in sorted(shapes))) if shapes else None
+    count, size = F.size(F.split("host", "\\.")), F.length("path")
+
+    def prefixes(s: Column) -> Column:
+        suffix = F.call_function("substring_index", F.col("host"), F.lit("."), -s["labels"])
+        return F.transform(F.filter(s["lengths"], lambda n: n <= size), lambda n: F.concat(suffix, F.substr(F.col("path"), F.lit(1), n)))
+
+    terms = F.flatten(F.transform(F.filter(whole, lambda s: s["labels"] <= count), prefixes)) if shapes else F.array().cast("array<string>")
+    terms = urls.select("host", "path", F.explode(terms).alias("term")).withColumn("t_digest", F.sha2("term", 256))
     fits = terms.join(known, (F.left("t_digest", F.lit(8)) == F.col("prefix")) & (F.col("t_digest") == F.col("digest")))
     order = F.struct(F.length("rule"), F.length("r_host"), F.col("r_verdict"))
     best = fits.groupBy("host", "path").agg(F.max_by(F.struct("rule", "r_verdict"), order).alias("best"))
-    judged = pages.join(best, ["host", "path"], "left")
-    kept = [field(c) for c in pages.columns]
-    return judged.select(*kept, F.col("best.rule").alias("rule"), F.coalesce("best.r_verdict", F.lit(default)).alias("verdict"))
+    judged = pages.where("host != ''").join(best, ["host", "path"], "left").select("row", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.r_verdict", F.lit(default)).alias("verdict"))
+    # without a host no rule can fit: these rows stay out of the join, where they would all share one key
+    rest = pages.where("host = ''").select("row", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
+    return judged.unionByName(rest).select("row.*", "host", "path", "rule", "verdict")

@@ -45,7 +45,7 @@ def test_against_brute_force(spark):
     expected = brute(docs, items)
     got = decontaminate.contamination(frame, bench)
     assert sorted((tuple(x) for x in got.select(COLUMNS).collect()), key=str) == expected
-    assert sorted((tuple(x) for x in decontaminate.contamination(frame, bench, block_bytes=60).select(COLUMNS).collect()), key=str) == expected
+    assert sorted((tuple(x) for x in decontaminate.contamination(frame, bench, block_windows=25, blocks_a_scan=2).select(COLUMNS).collect()), key=str) == expected
     clean = decontaminate.without_contaminated(frame, bench)
     assert clean.columns == frame.columns
     assert sorted((r.doc_id for r in clean.collect()), key=str) == sorted((x[0] for x in expected if not x[-1]), key=str)
@@ -58,7 +58,7 @@ def test_empty_tables(spark):
     bench = spark.createDataFrame([(1, "a b")], "item_id string, text string")
     assert decontaminate.contamination(docs.limit(0), bench).collect() == []
     row = decontaminate.contamination(docs, bench.limit(0)).first()
-    assert (row.n_words, row.n_hit, row.items_sha256, row.contaminated) == (2, 0, decontaminate.empty_digest(), False)
+    assert (row.n_words, row.n_hit, row.items_sha256, row.contaminated) == (2, 0, hashlib.sha256(b"").hexdigest(), False)
 
 
 def test_jumps_skip_words():
@@ -66,3 +66,27 @@ def test_jumps_skip_words():
     table.add((b"a", b"b", b"c", b"d"), 1)
     assert table.shift[(b"c", b"d")] == 0 and table.shift[(b"a", b"b")] == 2
     assert [s for s, _ in table.search([b"a", b"b", b"a", b"b", b"c", b"d", b"d"])] == [2]
+
+
+def test_tables_are_built_once_a_block(monkeypatch):
+    built = []
+    real = decontaminate.searchers
+    monkeypatch.setattr(decontaminate, "searchers", lambda items, width: built.append(len(items)) or real(items, width))
+    blocks = [type("Block", (), {"value": (["i"], [b"a b c"])})() for _ in range(6)]
+    for _ in range(3):
+        for block in blocks:
+            assert decontaminate._tables(block, 13, 6)[0].length == 3
+    assert built == [1] * 6
+
+
+def test_blocks_hold_windows(spark):
+    rows = [(1, "a " * 40), (2, "b"), (3, None), (4, "c " * 20)]
+    source = spark.createDataFrame(rows, "item bigint, text string").where("text is not null")
+    assert [len(names) for names, _ in decontaminate._blocks(source, 13, 29)] == [2, 1]
+
+
+def test_very_long_text(spark):
+    docs = spark.createDataFrame([(1, "x " * 300_000 + "one two three")], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(7, "one two three")], "item_id bigint, text string")
+    row = decontaminate.contamination(docs, bench).first()
+    assert (row.n_words, row.n_hit, row.contaminated, row.spans) == (300_003, 3, False, [[300_000, 300_003]])
