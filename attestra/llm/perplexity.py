@@ -163,7 +163,9 @@ def count(trusted: DataFrame, order: list[str]) -> DataFrame:
         yield from out()
 
     each = trusted.select("l", "text").mapInArrow(run, "l int, v bigint, w bigint, c bigint")
-    return each.groupBy("l", "v", "w").agg(F.sum("c").alias("c"))
+    parts = int(trusted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # most bigrams of a group are met once: they are summed after the exchange alone
+    return each.repartition(parts, "v", "w").groupBy("v", "w").agg(F.max("l").alias("l"), F.sum("c").alias("c"))
 
 
 def _by_language(langs: pa.Array, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, list[bytes]]]:
@@ -212,10 +214,11 @@ def _cut(l: Column, c: Column, cuts: dict[int, list[float]]) -> Column:
 class Model:
     """Values of words and seen bigrams (key, value), and each language's terms for unseen words and the marks."""
 
-    def __init__(self, counts: DataFrame, order: list[str]) -> None:
+    def __init__(self, counts: DataFrame, order: list[str], blocks: int) -> None:
+        """The values are worked out in ``blocks`` blocks of words, one after the other, so that the joins hold a part of the table on disk."""
         counts = written(counts, "bigrams")
         high = _counts_of(counts, "c")
-        self.values: DataFrame | None = None
+        self.values: list[DataFrame] = []
         self.unseen: dict[int, float] = {}
         self.marks: dict[int, float] = {}
         if not high:
@@ -238,18 +241,22 @@ class Model:
         for r in words.where(reduce(lambda a, b: a | b, (F.col("w") == x for pair in ends.values() for x in pair))).select("l", "value").collect():  # two rows for each language
             self.marks[r.l] = self.marks.get(r.l, 0.0) + r.value
         self.marks = {l: x + self.unseen[l] for l, x in self.marks.items()}
-        of_context, of_word = words.select("l", F.col("w").alias("v"), "lo", "total"), words.select("l", "w", "p1")
-        seen = counted.join(of_context.hint("shuffle_hash"), ["l", "v"]).join(of_word.hint("shuffle_hash"), ["l", "w"])  # a part of the words fits a task
-        own = (F.col("c") - F.col("d")) / F.col("total")
-        seen = seen.select(F.xxhash64("v", "w").alias("key"), F.log1p(own / (F.col("lo") * F.col("p1"))).alias("value"))
-        self._pack(words.select(F.col("w").alias("key"), "value").unionByName(seen), sum(entries for some in (high, low) for _, entries, _ in some.values()))
+        self.bits = max(6, (sum(entries for some in (high, low) for _, entries, _ in some.values()) // 2_000_000).bit_length())  # a shard has some two million values at most
+        of_context, of_word = words.select(F.col("w").alias("v"), "lo", "total"), words.select("w", "p1")
+        own = (F.col("c") - _cut(F.col("l"), F.col("c"), {l: _cuts(n) for l, (n, *_) in high.items()})) / F.col("total")
+        self._pack(words.select(F.col("w").alias("key"), "value"))
+        for block in range(blocks):
+            seen = counts.where(F.pmod(F.shiftright("w", 7), F.lit(blocks)) == block)
+            seen = seen.join(of_context.hint("shuffle_hash"), "v").select("v", "w", (own / F.col("lo")).alias("share"))  # a part of the words fits a task
+            seen = seen.join(of_word.hint("shuffle_hash"), "w")
+            self._pack(seen.select(F.xxhash64("v", "w").alias("key"), F.log1p(F.col("share") / F.col("p1")).alias("value")))
         drop_written(counts)
         drop_written(before)
         drop_written(words)
 
-    def _pack(self, values: DataFrame, many: int) -> None:
-        """Write the values shard by shard: (shard, keys, values), a million or so a row. A shard has some two million values at most."""
-        self.bits = bits = max(6, (many // 2_000_000).bit_length())
+    def _pack(self, values: DataFrame) -> None:
+        """Write values shard by shard: (shard, keys, values), a million or so a row."""
+        bits = self.bits
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             shard, held, size = -1, [], 0
@@ -274,12 +281,12 @@ class Model:
                 yield out()
 
         parts = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        dealt = values.select(F.shiftrightunsigned("key", 64 - bits).cast("int").alias("shard"), "key", "value").repartition(parts, "shard").sortWithinPartitions("shard")
-        self.values = written(dealt.mapInArrow(run, "shard int, keys binary, some binary"), "values")
+        dealt = values.select(F.shiftrightunsigned("key", 64 - bits).cast("int").alias("shard"), "key", F.col("value").cast("float").alias("value")).repartition(parts, "shard").sortWithinPartitions("shard")
+        self.values.append(written(dealt.mapInArrow(run, "shard int, keys binary, some binary"), "values"))
 
     def drop(self) -> None:
-        if self.values is not None:
-            drop_written(self.values)
+        for table in self.values:
+            drop_written(table)
 
 
 def _packed(keys: np.ndarray, bits: int) -> bytes:
@@ -300,7 +307,7 @@ def score(docs: DataFrame, model: Model, order: list[str]) -> DataFrame:
     Rows of equal key must be equal. Two keys of a shard that agree in six bytes share a value, about
     once in 10**8 lookups.
     """
-    if model.values is None:
+    if not model.values:
         return docs.sparkSession.createDataFrame([], "key bigint, l int, s double, n bigint")
     parts, bits = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), model.bits
     # kind 0: keys and values of a shard; 1: keys that a group asks for, and the places of each; 2: keys, words and languages of the group's texts
@@ -383,7 +390,7 @@ def score(docs: DataFrame, model: Model, order: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array((told & 0xFFFF).astype(np.int32)), pa.array(sums[: len(keys)]), pa.array(told >> 16)], names=["key", "l", "s", "n"])
 
     asked = docs.select("key", "l", "text").mapInArrow(ask, schema)
-    known = model.values.select("shard", F.lit(0).alias("kind"), F.lit(0).cast("bigint").alias("team"), F.col("keys").alias("one"), F.col("some").alias("two"))
+    known = reduce(DataFrame.unionByName, model.values).select("shard", F.lit(0).alias("kind"), F.lit(0).cast("bigint").alias("team"), F.col("keys").alias("one"), F.col("some").alias("two"))
     dealt = known.unionByName(asked).repartition(parts, "shard").sortWithinPartitions("shard", "kind")
     answers = dealt.mapInArrow(serve, "team bigint, kind int, one binary, two binary").repartition(parts, "team").sortWithinPartitions("team")
     sums = answers.mapInArrow(add, "key bigint, l int, s double, n bigint").where("n > 0")
@@ -417,11 +424,11 @@ def _trusted(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return likely.join(ids.hint("merge"), "id")  # one plan at every size: labels grow with the documents
 
 
-def perplexities(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality", least_docs: int = 20, blocks: int = 2) -> tuple[DataFrame, list[str]]:
+def perplexities(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality", least_docs: int = 20, blocks: int = 2, word_blocks: int = 4) -> tuple[DataFrame, list[str]]:
     """(key, l, log): the mean log probability of a word, end mark included, of every text that has words and a model; and the languages by number.
 
-    ``key`` is that of ``text_key``. Each fold is scored in ``blocks`` blocks, one after the other,
-    so that what a join holds on disk is a part of the input.
+    ``key`` is that of ``text_key``. Each fold is scored in ``blocks`` blocks, one after the other, and
+    its model made in ``word_blocks``, so that what a join holds on disk is a part of the input.
     """
     narrow = spread(docs).select(field(id_col).alias("id"), F.coalesce(field(lang_col).cast("string"), F.lit("")).alias("lang"), field(text_col).cast("string").alias("text"), text_key(docs, id_col, text_col, lang_col).alias("key")).where("text != ''")
     fold = F.xxhash64("text").bitwiseAND(1).cast("int")
@@ -438,7 +445,7 @@ def perplexities(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     for f in (0, 1):
         train = _trusted(narrow.where(fold != f).select("id", "l", "text"), ids)
         numbers = F.array_distinct(F.array("l", F.lit(0))) if pooled else F.array("l")
-        model = Model(count(train.select(F.explode(numbers).alias("l"), "text"), order), order)
+        model = Model(count(train.select(F.explode(numbers).alias("l"), "text"), order), order, word_blocks)
         terms = narrow.sparkSession.createDataFrame([(k, model.unseen[k], model.marks[k]) for k in model.marks], "l int, unseen double, marks double")
         for block in range(blocks):
             part = narrow.where((fold == f) & (F.pmod(F.shiftright(F.xxhash64("text"), 1), F.lit(blocks)) == block))
