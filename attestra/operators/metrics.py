@@ -78,6 +78,17 @@ def floor_percentiles(rows: DataFrame, value: str, quantiles: dict[str, float],
     return ranked.groupBy(*by).agg(*(F.min(F.when(F.col("upto") > at(q), F.col(value))).alias(name) for name, q in quantiles.items()))
 
 
+def linear_percentiles(rows: DataFrame, value: str, quantiles: dict[str, float], by: list[str] | None = None) -> DataFrame:
+    """Linear interpolation at (n-1)q between the elements of each group, from counts per distinct value."""
+    by = by or []
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
+    ranked = counts.withColumns({"upto": F.sum("n").over(Window.partitionBy(*by).orderBy(value)), "total": F.sum("n").over(Window.partitionBy(*by))})
+    at = lambda q: (F.col("total") - 1) * F.lit(q)
+    ends = [x for name, q in quantiles.items() for x in (F.min(F.when(F.col("upto") > F.floor(at(q)), F.col(value))).alias(f"{name}__a"), F.min(F.when(F.col("upto") > F.ceil(at(q)), F.col(value))).alias(f"{name}__b"), F.max(at(q) - F.floor(at(q))).alias(f"{name}__f"))]
+    line = lambda k: (F.col(f"{k}__a") + (F.col(f"{k}__b") - F.col(f"{k}__a")) * F.col(f"{k}__f")).alias(k)
+    return ranked.groupBy(*by).agg(*ends).select(*by, *(line(k) for k in quantiles))
+
+
 def nearest_rank_percentiles(rows: DataFrame, value: str, quantiles: dict[str, float], by: list[str] | None = None) -> DataFrame:
     """The element at rank ceil(n*q) of each group, from counts per distinct value."""
     by = by or []
@@ -157,18 +168,7 @@ def agreement(rows: DataFrame, case: str, run: str, predicted: str, runs: int) -
     return each.agg(F.count(F.lit(1)).alias("n_common"), ratio(F.count_if(F.col("answers") == 1), F.count(F.lit(1))).alias("agreement"))
 
 
-def bootstrap(rows: DataFrame, unit: str, value: str, draws: int, seed: int = 7) -> DataFrame:
-    """Mean of ``value`` in each of ``draws`` resamples of units, by Poisson(1) weights from a hash of (draw, unit, seed).
-
-    Each row meets each draw, so a resample is one grouped sum and needs no collection of rows.
-    """
-    u = (F.pmod(F.xxhash64("draw", F.col(unit), F.lit(seed)), F.lit(1 << 30)) + 0.5) / (1 << 30)
-    steps = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119]
-    weight = sum((F.when(u > s, 1).otherwise(0) for s in steps), F.lit(0))
-    each = rows.groupBy(unit).agg(F.sum(value).alias("total"), F.count(value).alias("n"))
-    drawn = each.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("w", weight)
-    return drawn.groupBy("draw").agg(ratio(F.sum(F.col("w") * F.col("total")), F.sum(F.col("w") * F.col("n"))).alias("mean"))
-
-
 def telemetry(calls: DataFrame, by: list[str]) -> DataFrame:
-    return calls.groupBy(*by).agg(F.count(F.lit(1)).alias("n_calls"), poisoned_sum(F.col("tokens")).alias("tokens"), F.count_if("failed").alias("n_failed"), F.percentile("latency_ms", F.lit(0.5)).alias("latency_p50"))
+    """Calls, tokens that null poisons, failures and the median latency per group."""
+    plain = calls.groupBy(*by).agg(F.count(F.lit(1)).alias("n_calls"), poisoned_sum(F.col("tokens")).alias("tokens"), F.count_if("failed").alias("n_failed"))
+    return plain.join(linear_percentiles(calls, "latency_ms", {"latency_p50": 0.5}, by), by, "left")

@@ -174,7 +174,7 @@ def percentiles(spark, sf_dir):
     rows = read(spark, sf_dir, "events")
     low = metrics.floor_percentiles(rows, "value", {"floor_p50": 0.5, "floor_p95": 0.95}, ["event_type"])
     near = metrics.nearest_rank_percentiles(rows, "value", {"rank_p50": 0.5, "rank_p95": 0.95}, ["event_type"])
-    line = rows.groupBy("event_type").agg(F.round(F.percentile("value", F.lit(0.95)), 6).alias("linear_p95"))
+    line = metrics.linear_percentiles(rows, "value", {"linear_p95": 0.95}, ["event_type"]).withColumn("linear_p95", F.round("linear_p95", 6))
     return low.join(near, "event_type").join(line, "event_type")
 
 
@@ -279,10 +279,6 @@ def title_jaccard(spark, sf_dir):
     return shared.select("a", "b", F.round(F.col("k") / (F.col("n") + F.col("nb") - F.col("k")), 9).alias("jaccard")).where("jaccard >= 0.1")
 
 
-def bootstrap_mean(spark, sf_dir):
-    return metrics.bootstrap(read(spark, sf_dir, "orders"), "o_custkey", "o_totalprice", 50)
-
-
 def markdown_of(spark, sf_dir):
     """Documents as Markdown with headings, links and definitions, to exercise the parser at volume."""
     docs = read(spark, sf_dir, "documents")
@@ -323,5 +319,5 @@ QUERIES = {
     "win7_clashes": clashes, "jn5_overlap": span_overlap, "jn19_enclosing": enclosing, "jn15_next": next_event, "win1_minted_ids": minted_ids, "jn14_greedy_match": greedy_match, "win8_running_budget": running_budget, "grf1_components": order_components, "grf3_leaks": leaking_parts,
     "agg16_telemetry": telemetry, "agg_percentiles": percentiles, "agg8_engineering": engineering, "agg6_extraction": extraction, "agg7_retrieval": retrieval_scores, "agg13_stability": stability, "agg13_agreement": agreement, "msc1_bundle_hash": bundle_hash, "msc6_hash_sample": hash_sample,
     "prj16_length_strata": length_strata, "prj5_path_scope": path_scope, "par8_target_kinds": target_kinds, "par24_subsets": subsets, "src8_cache": cache_split, "src5_fixture_checks": fixture_checks, "msc9_nullable_sums": nullable_sums, "win10_first_copies": exact_duplicates,
-    "jn13_full_coverage": full_coverage, "jn10_jaccard_pairs": title_jaccard, "agg28_bootstrap": bootstrap_mean, "par2_markdown": markdown_paragraphs, "par4_citations": markdown_citations, "par11_html_evidence": html_evidence, "ver8_scalar_outcomes": scalar_outcomes, "snk3_sarif": sarif,
+    "jn13_full_coverage": full_coverage, "jn10_jaccard_pairs": title_jaccard, "par2_markdown": markdown_paragraphs, "par4_citations": markdown_citations, "par11_html_evidence": html_evidence, "ver8_scalar_outcomes": scalar_outcomes, "snk3_sarif": sarif,
 }
