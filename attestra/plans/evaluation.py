@@ -333,7 +333,7 @@ def corpus_checks(spark, sf_dir):
 
 def collision_checks(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    left, right = docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 1").select((F.col("doc_id") + F.when(F.col("doc_id") % 9 == 0, 1).otherwise(0)).alias("doc_id"), F.when(F.col("doc_id") % 3 == 0, F.upper("text")).otherwise(F.col("text")).alias("text"))
+    left, right = docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 1").select((F.col("doc_id") + F.when(F.col("doc_id") % 9 == 0, 1).otherwise(0)).alias("doc_id"), F.when(F.col("doc_id") % 3 == 0, F.translate("text", "aeiou", "AEIOU")).otherwise(F.col("text")).alias("text"))
     return datasets.collisions(left, right, "doc_id", "text").groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -437,7 +437,7 @@ SQL = {
     "agg17_document_metrics": f"""WITH {_SIDES}, t AS (SELECT split, count(*) AS ng, count(*) FILTER (has) AS np, count(*) FILTER (exact) AS ne, sum(score) AS sc, count(*) FILTER (has AND s % 7 <> 0) AS nc, count(*) FILTER (has AND s % 4 <> 0) AS nl, count(*) FILTER (exact AND s % 11 <> 0) AS nw, avg(CASE WHEN k % 2 = 0 THEN CASE WHEN has THEN 0.8 ELSE 0.0 END END) AS ev FROM m GROUP BY split), x AS (SELECT t.*, coalesce(over.n, 0) AS nd FROM t LEFT JOIN over ON t.split = over.split)
       SELECT split, round(ne / np, 9) AS exact_precision, round(ne / ng, 9) AS exact_recall, round(2 * (ne / np) * (ne / ng) / (ne / np + ne / ng), 9) AS exact_f1, round(sc / np, 9) AS relaxed_precision, round(sc / ng, 9) AS relaxed_recall, round(2 * (sc / np) * (sc / ng) / (sc / np + sc / ng), 9) AS relaxed_f1, round(nw / np, 9) AS end_to_end_precision, round(nw / ng, 9) AS end_to_end_recall, round(2 * (nw / np) * (nw / ng) / (nw / np + nw / ng), 9) AS end_to_end_f1,
       round(nd / np, 9) AS atomicity_violation_rate, round(nc / ng, 9) AS citation_binding_accuracy, round(nl / ng, 9) AS line_locator_accuracy, round(ev, 9) AS evidence_span_f1 FROM x""",
-    "agg18_run_deltas": "WITH r AS (SELECT o_orderpriority, o_orderkey % 2 AS run, avg(o_totalprice) AS mean, CASE WHEN o_orderpriority <> '1-URGENT' THEN CAST(sum(o_custkey) AS BIGINT) END AS tokens FROM orders GROUP BY ALL) SELECT a.o_orderpriority, round(b.mean - a.mean, 4) AS mean_delta, b.tokens - a.tokens AS tokens_delta FROM r a JOIN r b ON a.o_orderpriority = b.o_orderpriority AND a.run = 0 AND b.run = 1",
+    "agg18_run_deltas": "WITH r AS (SELECT o_orderpriority, o_orderkey % 2 AS run, avg(o_totalprice) AS mean, CASE WHEN o_orderpriority <> '1-URGENT' THEN CAST(sum(o_custkey) AS BIGINT) END AS tokens FROM orders GROUP BY o_orderpriority, o_orderkey % 2) SELECT a.o_orderpriority, round(b.mean - a.mean, 4) AS mean_delta, b.tokens - a.tokens AS tokens_delta FROM r a JOIN r b ON a.o_orderpriority = b.o_orderpriority AND a.run = 0 AND b.run = 1",
     "agg22_three_way": f"WITH {_FLAGS}, {_FLAG_SCORES}, m AS (SELECT split, sum(f1) / 3 AS macro FROM s GROUP BY split) SELECT r.split, count(*) AS n, round(avg(CAST(gold = predicted AS DOUBLE)), 9) AS accuracy, round(any_value(macro), 9) AS macro_f1, round(count(*) FILTER (predicted = 'X') / count(*), 9) AS off_taxonomy_rate FROM r JOIN m ON r.split = m.split GROUP BY r.split",
     "agg23_evidence_scores": f"""WITH {_EVIDENCE}, s AS (SELECT *, len(rs) > 0 AS e, list_max([{_F1} FOR x IN rs]) AS f1, len([x FOR x IN rs IF len([y FOR y IN x IF NOT list_contains(predicted, y)]) = 0]) > 0 AS done, list_min([i FOR i IN range(1, len(predicted) + 1) IF list_contains(flatten(rs), predicted[i])]) AS k FROM r)
       SELECT split, count(*) AS n, count(*) FILTER (e) AS n_eligible, round(avg(f1) FILTER (e), 9) AS sentence_f1, round(count(*) FILTER (e AND done) / count(*) FILTER (e), 9) AS complete_coverage, round(count(*) FILTER (e AND done AND gold = label) / count(*) FILTER (e), 9) AS joint, round(count(*) FILTER (NOT e AND len(predicted) = 0) / count(*) FILTER (NOT e), 9) AS empty_rate,
@@ -462,8 +462,8 @@ SQL = {
     "src14_evidence_pack": f"WITH c AS (SELECT c_custkey AS claim_id, CAST(unnest([0, 1]) AS INT) AS doc_rank, unnest([c_custkey % 200, c_custkey % 77]) AS doc_id FROM customer), d AS (SELECT doc_id, {_SENT.format('text')} AS s FROM documents) SELECT claim_id, doc_rank, c.doc_id, sha256(array_to_string(s, chr(10))) AS content_sha256, CAST(len(s) AS INT) AS n, CAST(length(array_to_string(s, chr(10))) AS INT) AS last_end FROM c JOIN d ON c.doc_id = d.doc_id",
     "msc7_sentence_groups": f"WITH s AS (SELECT doc_id, CAST(unnest(range(0, len(s))) AS INT) AS k, unnest(s) AS t FROM (SELECT doc_id, {_SENT.format('text')} AS s FROM documents)), f AS (SELECT *, k - row_number() OVER (PARTITION BY doc_id ORDER BY k) AS run FROM s WHERE (k * 7 + doc_id) % 4 <> 0), g AS (SELECT doc_id, min(k) AS first, max(k) AS last, string_agg(t, chr(10) ORDER BY k) AS c, arg_max(length(t), k) AS tail FROM f GROUP BY doc_id, run) SELECT doc_id, first, last, sha256(c) AS group_hash, CAST(length(c) - tail AS BIGINT) AS last_start FROM g",
     "msc17_budget_guard": "WITH r AS (SELECT o_orderkey, count(*) OVER w AS n, coalesce(sum(CASE WHEN o_orderkey % 40 <> 0 THEN o_orderkey % 100 END) OVER w, 0) AS t, count(CASE WHEN o_orderkey % 40 <> 0 THEN 1 END) OVER w AS k FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING)) SELECT o_orderkey, n <= 6 AND t <= 300 AND k = n AS allowed FROM r",
-    "msc18_bound_citations": "WITH l AS (SELECT l_orderkey AS p, l_linenumber AS n, min(l_partkey) AS k FROM lineitem GROUP BY ALL), c AS (SELECT p, n, n * 100 + 60 AS e, coalesce(lead(n * 100) OVER (PARTITION BY p ORDER BY n), 1001) AS u FROM l), t AS (SELECT p, n, n * 100 + k % 130 AS a FROM l WHERE k % 3 = 0), o AS (SELECT p, count(*) AS m, min(n) AS only FROM t GROUP BY p), f AS (SELECT c.p, c.n, string_agg(t.n, ',' ORDER BY t.n) AS own FROM c JOIN t ON c.p = t.p AND a >= e AND a < u GROUP BY ALL) SELECT c.p AS paragraph, c.n AS claim, coalesce(own, CASE WHEN m = 1 THEN CAST(only AS VARCHAR) END, '') AS citations FROM c LEFT JOIN f ON c.p = f.p AND c.n = f.n LEFT JOIN o ON c.p = o.p",
-    "set6_collisions": "WITH l AS (SELECT doc_id AS i, text AS t FROM documents WHERE doc_id % 2 = 0), r AS (SELECT doc_id + CASE WHEN doc_id % 9 = 0 THEN 1 ELSE 0 END AS i, CASE WHEN doc_id % 3 = 0 THEN upper(text) ELSE text END AS t FROM documents WHERE doc_id % 2 = 1), k AS (SELECT 'id' AS kind, count(DISTINCT i) AS n FROM l WHERE i IN (SELECT i FROM r) UNION ALL SELECT 'text', count(DISTINCT t) FROM l WHERE t IN (SELECT t FROM r) UNION ALL SELECT 'normalized', count(DISTINCT regexp_replace(lower(trim(t)), '\\s+', ' ', 'g')) FROM l WHERE regexp_replace(lower(trim(t)), '\\s+', ' ', 'g') IN (SELECT regexp_replace(lower(trim(t)), '\\s+', ' ', 'g') FROM r)) SELECT * FROM k WHERE n > 0",
+    "msc18_bound_citations": "WITH l AS (SELECT l_orderkey AS p, l_linenumber AS n, min(l_partkey) AS k FROM lineitem GROUP BY ALL), c AS (SELECT p, n, n * 100 + 60 AS e, coalesce(lead(n * 100) OVER (PARTITION BY p ORDER BY n), 1001) AS u FROM l), t AS (SELECT p, n, n * 100 + k % 130 AS a FROM l WHERE k % 3 = 0), o AS (SELECT p, count(*) AS m, min(n) AS sole FROM t GROUP BY p), f AS (SELECT c.p, c.n, string_agg(t.n, ',' ORDER BY t.n) AS own FROM c JOIN t ON c.p = t.p AND a >= e AND a < u GROUP BY ALL) SELECT c.p AS paragraph, c.n AS claim, coalesce(own, CASE WHEN m = 1 THEN CAST(sole AS VARCHAR) END, '') AS citations FROM c LEFT JOIN f ON c.p = f.p AND c.n = f.n LEFT JOIN o ON c.p = o.p",
+    "set6_collisions": "WITH l AS (SELECT doc_id AS i, text AS t FROM documents WHERE doc_id % 2 = 0), r AS (SELECT doc_id + CASE WHEN doc_id % 9 = 0 THEN 1 ELSE 0 END AS i, CASE WHEN doc_id % 3 = 0 THEN translate(text, 'aeiou', 'AEIOU') ELSE text END AS t FROM documents WHERE doc_id % 2 = 1), k AS (SELECT 'id' AS kind, count(DISTINCT i) AS n FROM l WHERE i IN (SELECT i FROM r) UNION ALL SELECT 'text', count(DISTINCT t) FROM l WHERE t IN (SELECT t FROM r) UNION ALL SELECT 'normalized', count(DISTINCT regexp_replace(lower(trim(t)), '\\s+', ' ', 'g')) FROM l WHERE regexp_replace(lower(trim(t)), '\\s+', ' ', 'g') IN (SELECT regexp_replace(lower(trim(t)), '\\s+', ' ', 'g') FROM r)) SELECT * FROM k WHERE n > 0",
     "win2_heading_counters": "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, printf('paragraph_%04d', row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber, l_partkey, l_suppkey)) AS label FROM lineitem",
     "set1_source_sets": "SELECT 'union' AS kind, doc_id FROM (SELECT doc_id FROM documents WHERE doc_id % 2 = 0 UNION SELECT doc_id FROM labels) UNION ALL SELECT 'intersect', doc_id FROM (SELECT doc_id FROM documents WHERE doc_id % 3 = 0 INTERSECT SELECT doc_id FROM labels) UNION ALL SELECT 'difference', doc_id FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels)",
     "src7_search_results": "WITH q AS (SELECT DISTINCT c_custkey % 100 AS user_id FROM customer) SELECT q.user_id, event_id, CAST(row_number() OVER (PARTITION BY q.user_id ORDER BY value DESC, event_id) AS INT) AS rank FROM q JOIN events e ON e.user_id = q.user_id WHERE value >= 0.0 QUALIFY row_number() OVER (PARTITION BY q.user_id ORDER BY value DESC, event_id) <= 5",
