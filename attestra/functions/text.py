@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import wraps
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -69,6 +70,23 @@ def let(value: Column, then) -> Column:
     return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
+def arrow(ddl: str):
+    """A function of Arrow arrays as a column function; the type is parsed at the first call, when a session is there."""
+
+    def of(run):
+        made = []
+
+        @wraps(run)
+        def call(*columns: Column) -> Column:
+            if not made:
+                made.append(F.arrow_udf(run, ddl))
+            return made[0](*columns)
+
+        return call
+
+    return of
+
+
 def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """``df`` with new columns that are worked out once a row, however often later columns use them.
 

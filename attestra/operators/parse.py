@@ -14,11 +14,13 @@ from html import unescape
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from attestra.functions import text as T
+from attestra.sources.shared import spread
 
 
 def lines(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -97,7 +99,8 @@ _FENCE = re.compile(r" {0,3}(`{3,}|~{3,})")
 _HEADING = re.compile(r" {0,3}(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$")
 _ITEM = re.compile(r"( *)(?:[-+*]|\d{1,9}[.)])[ \t]+(.*)$")
 _DEFINITION = re.compile(r" {0,3}\[(\^?[^\]\n]+)\]:[ \t]*(\S.*)?$")
-_DIRECTIVE = re.compile(r"<!--\s*suppress(?:-(next|line))?\s*(?::\s*(.*?))?\s*-->")
+_COMMENT = re.compile(r"<!--(.*?)-->", re.S)
+_REASON = re.compile(r"\breason\s*=\s*(?:\"([^\"]*)\"|'([^']*)')", re.S)
 _CODE = re.compile(r"(`+)(?:(?!\1).)+?\1", re.S)
 _INLINE = re.compile(r"(!?)\[((?:\\.|[^\[\]\\])*)\](?:\(\s*<?([^\s()<>]*(?:\([^\s()]*\)[^\s()<>]*)*)>?(?:\s+[\"'(].*?[\"')])?\s*\)|\[((?:\\.|[^\[\]\\])*)\])?")
 _AUTO = re.compile(r"<((?:https?|ftp)://[^\s<>]+|[\w.+-]+@[\w.-]+)>")
@@ -107,13 +110,10 @@ CITATION = "doc_id bigint, ordinal int, kind string, line int, label string, ref
 
 
 def trim_bare_url(url: str) -> str:
-    """Drop trailing punctuation and closers that have no opener inside."""
-    while url:
-        last = url[-1]
-        if last in ".,;:!?" or (last in ")]}" and url.count(last) > url.count({")": "(", "]": "[", "}": "{"}[last])):
-            url = url[:-1]
-        else:
-            break
+    """Drop trailing punctuation, then closers that have no opener inside; punctuation before a closer stays."""
+    url = url.rstrip(".,;:!?")
+    while url and (opener := {")": "(", "]": "[", "}": "{"}.get(url[-1])) and url.count(url[-1]) > url.count(opener):
+        url = url[:-1]
     return url
 
 
@@ -121,9 +121,9 @@ def reference_key(label: str) -> str:
     return re.sub(r"\s+", " ", unescape(re.sub(r"\\([!-/:-@\[-`{-~])", r"\1", label))).strip().casefold()
 
 
-def markdown_blocks(text: str) -> tuple[list[dict], list[dict], list[dict]]:
-    """Paragraphs, definitions and directives of a Markdown text; code blocks are skipped."""
-    rows, definitions, directives, path = [], [], [], []
+def markdown_blocks(text: str) -> tuple[list[dict], list[dict], list[int]]:
+    """Paragraphs, definitions and the lines in code blocks of a Markdown text; lines that are comments alone part paragraphs."""
+    rows, definitions, code, path = [], [], [], []
     held: list[tuple[int, str]] = []
     kind, fence = "paragraph", None
 
@@ -136,6 +136,7 @@ def markdown_blocks(text: str) -> tuple[list[dict], list[dict], list[dict]]:
 
     for number, line in enumerate(text.split("\n"), 1):
         if fence:
+            code.append(number)
             if re.match(rf" {{0,3}}{re.escape(fence[0])}{{{len(fence)},}}\s*$", line):
                 fence = None
             continue
@@ -149,11 +150,10 @@ def markdown_blocks(text: str) -> tuple[list[dict], list[dict], list[dict]]:
             path = [*path[: len(found[1]) - 1], (found[2] or "").strip()]
         elif not held and (found := _DEFINITION.match(line)):
             definitions.append({"kind": "footnote" if found[1].startswith("^") else "reference", "key": reference_key(found[1].lstrip("^")), "destination": (found[2] or "").strip(), "line": number})
-        elif found := _DIRECTIVE.fullmatch(line.strip()):
+        elif _COMMENT.fullmatch(line.strip()):
             close()
-            directives.append({"scope": found[1] or "next", "reason": found[2] or "", "line": number})
         elif not held and line.startswith("    "):
-            continue
+            code.append(number)
         elif found := _ITEM.match(line):
             close()
             kind = "list_item"
@@ -166,7 +166,127 @@ def markdown_blocks(text: str) -> tuple[list[dict], list[dict], list[dict]]:
         else:
             held.append((number, line.strip()))
     close()
-    return rows, definitions, directives
+    return rows, definitions, code
+
+
+SUPPRESSION = "doc_id bigint, suppression_id string, scope string, reason string, line int, target_start int, target_end int, problem string"
+
+
+def bind_directives(text: str, marker: str) -> list[dict]:
+    """Directives ``<!-- marker: ignore reason="..." -->`` with the lines they cover.
+
+    One alone on its line covers the next paragraph, if only blank lines and other directives stand
+    between; one beside text covers its line. Others carry a ``problem``: unsupported_action,
+    invalid_reason or orphan. Comments in code blocks are none.
+    """
+    rows, _, code = markdown_blocks(text)
+    lines, hidden = text.split("\n"), {*code}
+    found, alone = [], set()
+    for m in _COMMENT.finditer(text):
+        line = text.count("\n", 0, m.start()) + 1
+        inner = m[1].strip()
+        if line in hidden or not inner.startswith(f"{marker}:"):
+            continue
+        action, _, rest = inner[len(marker) + 1 :].strip().partition(" ")
+        given = _REASON.search(rest)
+        reason = ((given[1] if given[1] is not None else given[2]) or "").strip() if given else ""
+        row = {"scope": None, "reason": reason, "line": line, "target_start": None, "target_end": None, "problem": None}
+        if action != "ignore":
+            row["problem"] = "unsupported_action"
+        elif not reason:
+            row["problem"] = "invalid_reason"
+        elif lines[line - 1].strip() != m[0].strip():
+            row |= {"scope": "line", "target_start": line, "target_end": line}
+        else:
+            alone.add(line)
+            row["scope"] = "paragraph"
+        found.append(row)
+    for row in found:
+        if row["scope"] == "paragraph":
+            target = next((x for x in rows if x["line_start"] > row["line"]), None)
+            between = range(row["line"] + 1, target["line_start"]) if target else ()
+            if target is None or any(lines[k - 1].strip() and k not in alone for k in between):
+                row |= {"scope": None, "problem": "orphan"}
+            else:
+                row |= {"target_start": target["line_start"], "target_end": target["line_end"]}
+    good = [x for x in found if not x["problem"]]
+    return [x | {"suppression_id": f"sup_{good.index(x) + 1:04d}" if not x["problem"] else None} for x in found]
+
+
+def suppressions(docs: DataFrame, marker: str, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """All suppression directives of the documents, bound to their lines."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [{"doc_id": d, **x} for d, t in zip(batch.iloc[:, 0], batch.iloc[:, 1], strict=True) for x in bind_directives(t or "", marker)]
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in SUPPRESSION.split(", ")]).astype({"target_start": "Int32", "target_end": "Int32"})
+
+    return docs.select(F.col(doc).cast("bigint"), text).mapInPandas(run, SUPPRESSION)
+
+
+_BARE_URL = re.compile(r"https?://[^\s<>\"']+")
+_EMPHASIS = re.compile(r"(\*\*|__|\*|(?<!\w)_|~~)(?=\S)(.+?)(?<=\S)\1", re.S)
+
+
+def visible(raw: str, first_line: int) -> tuple[str, list[dict]]:
+    """The text a model is shown and its source map: runs (start, end, line) of characters from one source line.
+
+    Footnote marks, images, link targets, URLs, comments and marks of emphasis and code are left out;
+    white space collapses, and a space maps to the line where it begins.
+    """
+    keep = bytearray(b"\1" * len(raw))
+
+    def drop(a: int, b: int) -> None:
+        keep[a:b] = bytes(b - a)
+
+    code = [m.span() for m in _CODE.finditer(raw)]
+    inside = lambda at: any(a <= at < b for a, b in code)
+    for m in _CODE.finditer(raw):
+        drop(m.start(), m.start() + len(m[1]))
+        drop(m.end() - len(m[1]), m.end())
+    for m in _COMMENT.finditer(raw):
+        if not inside(m.start()):
+            drop(*m.span())
+    for m in _INLINE.finditer(raw):
+        if inside(m.start()):
+            continue
+        if m[1] or (m[2].startswith("^") and m[3] is None):
+            drop(*m.span())
+        else:
+            drop(m.start(), m.start(2))
+            drop(m.end(2), m.end())
+    for m in [*_AUTO.finditer(raw), *_BARE_URL.finditer(raw)]:
+        if not inside(m.start()):
+            drop(m.start(), m.start() + len(trim_bare_url(m[0])) if m.re is _BARE_URL else m.end())
+    for m in _EMPHASIS.finditer(raw):
+        if not inside(m.start()):
+            drop(m.start(), m.start(2))
+            drop(m.end(2), m.end())
+    out: list[tuple[str, int]] = []
+    line = first_line
+    for char, kept in zip(raw, keep, strict=True):
+        if kept or char == "\n":
+            if not char.isspace():
+                out.append((char, line))
+            elif out and out[-1][0] != " ":
+                out.append((" ", line))
+        line += char == "\n"
+    if out and out[-1][0] == " ":
+        out.pop()
+    segments: list[dict] = []
+    for at, (_, where) in enumerate(out):
+        if segments and segments[-1]["line"] == where:
+            segments[-1]["end"] = at + 1
+        else:
+            segments.append({"start": at, "end": at + 1, "line": where})
+    return "".join(c for c, _ in out), segments
+
+
+@T.arrow("text string, segments array<struct<start:int,end:int,line:int>>")
+def visible_text(raws: pa.Array, lines: pa.Array) -> pa.Array:
+    """Columns raw_text and line_start to the text a model is shown, with its source map."""
+    made = [visible(raw or "", line or 1) for raw, line in zip(raws.to_pylist(), lines.to_pylist(), strict=True)]
+    return pa.array([{"text": t, "segments": s} for t, s in made], pa.struct([("text", pa.string()), ("segments", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("line", pa.int32())])))]))
 
 
 def plain(raw: str) -> str:
@@ -259,88 +379,121 @@ def resolve(cites: DataFrame, definitions: DataFrame) -> DataFrame:
 
 # -- HTML evidence --------------------------------------------------------------
 
-_SKIP = {"script", "style", "noscript", "template", "svg", "nav", "footer", "header", "aside", "form", "iframe", "button"}
-_NOISE = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert|banner|cookie|popup|promo|sidebar|social)(?:$|[\s_-])", re.I)
-_TEXT_BLOCKS = {"p", "li", "blockquote", "pre", "td", "th", "dd", "dt", "figcaption", "h1", "h2", "h3", "h4", "h5", "h6", "div", "section", "article", "main", "body"}
-_VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+# Elements and attribute words that mark page furniture, elements without an end, text blocks.
+_SKIP = {"script", "style", "nav", "header", "footer", "aside", "form", "noscript", "template"}
+_VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
+_TEXT_BLOCKS = {"p", "li", "dt", "dd", "pre"}
+_NOISE = re.compile(r"(?<![A-Za-z0-9])(?:nav(?:bar|igation)?|sidebar|footer|header|advert(?:isement|ising)?|cookie|breadcrumb|social)(?![A-Za-z0-9])", re.I)
+_HEADING_TAG = re.compile(r"h\d")
+
+
+def _single_spaced(text: str) -> str:
+    return re.sub(r"\s+", " ", text).strip()
 
 
 class _Evidence(HTMLParser):
-    """Visible main-content blocks with their heading path."""
+    """Text blocks outside page furniture with their heading path.
+
+    A block's text counts when its own end tag comes; a new block's start drops what an unclosed one
+    held. Inside furniture every end tag goes one level up. Loose text serves where a page has no block.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.title, self.blocks, self.path = "", [], []
-        self.parts: list[str] = []
-        self.skip: list[str] = []
-        self.heading = 0
-        self.in_title = False
-
-    def flush(self) -> None:
-        text = re.sub(r"\s+", " ", "".join(self.parts)).strip()
-        self.parts = []
-        if not text:
-            return
-        if self.heading:
-            self.path = [*self.path[: self.heading - 1], text]
-        else:
-            self.blocks.append((list(self.path), text))
+        self.title, self.blocks, self.path, self.loose = "", [], [], []
+        self.open, self.held = "", ""
+        self.depth, self.in_title = 0, False
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        named = dict(attrs)
-        if self.skip:
-            if tag not in _VOID:
-                self.skip.append(tag)
+        if self.depth:
+            self.depth += tag not in _VOID
             return
-        noisy = tag in _SKIP or "hidden" in named or named.get("aria-hidden") == "true" or _NOISE.search(f"{named.get('class') or ''} {named.get('id') or ''}") or re.search(r"display\s*:\s*none", named.get("style") or "")
-        if noisy and tag not in _VOID:
-            self.flush()
-            self.skip.append(tag)
+        named = {k.lower(): v or "" for k, v in attrs}
+        furniture = tag in _SKIP or "hidden" in named or named.get("aria-hidden", "").lower() == "true" or _NOISE.search(" ".join(v or "" for _, v in attrs))
+        if furniture:
+            self.depth = int(tag not in _VOID)
         elif tag == "title":
             self.in_title = True
-        elif tag in _TEXT_BLOCKS:
-            self.flush()
-            self.heading = int(tag[1]) if re.fullmatch("h[1-6]", tag) else 0
-        elif tag == "br":
-            self.parts.append(" ")
+        elif tag in _TEXT_BLOCKS or _HEADING_TAG.fullmatch(tag):
+            self.open, self.held = tag, ""
 
     def handle_endtag(self, tag: str) -> None:
-        if self.skip:
-            if tag in self.skip:
-                while self.skip.pop() != tag:
-                    pass
-            return
-        if tag == "title":
+        if self.depth:
+            self.depth -= 1
+        elif tag == "title":
             self.in_title = False
-        elif tag in _TEXT_BLOCKS:
-            self.flush()
-            self.heading = 0
+        elif tag and tag == self.open:
+            text, self.open = _single_spaced(self.held), ""
+            if _HEADING_TAG.fullmatch(tag):
+                self.path = [*self.path[: int(tag[1]) - 1], *([text] if text else [])]
+            elif text:
+                self.blocks.append((list(self.path), text))
 
     def handle_data(self, data: str) -> None:
+        if self.depth:
+            return
         if self.in_title:
             self.title += data
-        elif not self.skip:
-            self.parts.append(data)
+        elif self.open:
+            self.held += data
+        elif data.strip():
+            self.loose.append(data)
 
+    def found(self) -> list[tuple[list[str], str]]:
+        loose = _single_spaced(" ".join(self.loose))
+        return self.blocks or ([([], loose)] if loose else [])
 
-def html_blocks(pages: DataFrame, page: str = "page_id", html: str = "html") -> DataFrame:
-    """(page_id, title, ordinal, heading_path, text, char_start): main-content blocks, running offsets with two characters between."""
+
+def bounded_ranges(text: str, chars: int = 2000, size: int = 8000) -> list[tuple[int, int]]:
+    """Trimmed ranges within both limits, cut at the last white space that still fits."""
+    out, at = [], 0
+    while at < len(text):
+        if text[at].isspace():
+            at += 1
+            continue
+        end = min(at + chars, len(text))
+        while len(text[at:end].encode()) > size:
+            end -= 1
+        if end < len(text):
+            cut = max(text.rfind(x, at + 1, end + 1) for x in " \n\t")
+            end = cut if cut > at else end
+        stop = at + len(text[at:end].rstrip())
+        out.append((at, stop))
+        at = max(end, at + 1)
+    return out
+
+
+EVIDENCE = "page_id bigint, title string, ordinal int, heading_path array<string>, locator string, text string, char_start int, char_end int"
+
+
+def html_blocks(pages: DataFrame, page: str = "page_id", html: str = "html", chars: int = 2000, size: int = 8000) -> DataFrame:
+    """Evidence chunks of pages: (page_id, title, ordinal, heading_path, locator, text, char_start, char_end).
+
+    Offsets run over the page's blocks with two characters between; the locator counts the paragraphs
+    of each heading path, and the parts of a long one.
+    """
+
+    def chunks(key: int, markup: str) -> Iterator[tuple]:
+        parser = _Evidence()
+        parser.feed(markup)
+        parser.close()
+        counts: dict[tuple, int] = {}
+        at, number, title = 0, 0, _single_spaced(parser.title)
+        for path, text in parser.found():
+            counts[tuple(path)] = paragraph = counts.get(tuple(path), 0) + 1
+            ranges = bounded_ranges(text, chars, size)
+            for part, (a, b) in enumerate(ranges, 1):
+                number += 1
+                name = " > ".join([*path, f"paragraph {paragraph}"]) + (f" part {part}" if len(ranges) > 1 else "") + f" [chars {at + a}-{at + b}]"
+                yield key, title, number, path, name, text[a:b], at + a, at + b
+            at += len(text) + 2
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for key, markup in zip(batch.iloc[:, 0], batch.iloc[:, 1], strict=True):
-                parser = _Evidence()
-                parser.feed(markup or "")
-                parser.close()
-                parser.flush()
-                at = 0
-                for k, (path, text) in enumerate(parser.blocks, 1):
-                    rows.append((key, re.sub(r"\s+", " ", parser.title).strip(), k, path, text, at))
-                    at += len(text) + 2
-            yield pd.DataFrame(rows, columns=["page_id", "title", "ordinal", "heading_path", "text", "char_start"])
-
-    return pages.select(F.col(page).cast("bigint"), html).mapInPandas(run, "page_id bigint, title string, ordinal int, heading_path array<string>, text string, char_start int")
+            rows = [x for key, markup in zip(batch.iloc[:, 0], batch.iloc[:, 1], strict=True) for x in chunks(key, markup or "")]
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in EVIDENCE.split(", ")])
+
+    return spread(pages).select(F.col(page).cast("bigint"), html).mapInPandas(run, EVIDENCE)
 
 
 # -- unified diffs --------------------------------------------------------------

@@ -102,3 +102,27 @@ def greedy_budget(options: DataFrame, group: str, size: str, order: list, most:
     start = F.struct(F.lit(0).cast("bigint").alias("used"), F.array().cast("array<bigint>").alias("taken"))
     step = lambda s, x: F.when(s["used"] + x["size"] <= most, F.struct((s["used"] + x["size"]).alias("used"), F.array_append(s["taken"], x["option_id"].cast("bigint")).alias("taken"))).otherwise(s)
     return options.groupBy(group).agg(F.aggregate(ordered, start, step).alias("r")).select(group, F.col("r.used").alias("used"), F.col("r.taken").alias("taken"))
+
+
+def best_similar(left: DataFrame, right: DataFrame, left_id: str, right_id: str, words: str, least: float) -> DataFrame:
+    """(left, right, jaccard): for each left row the right row of greatest Jaccard similarity of word sets, ``least`` or more; the smaller id of equals.
+
+    Prefix filtering: with words ordered from rare to frequent, two sets of similarity ``least`` share a
+    word among the first n - ceil(least * n) + 1 of each, so frequent words make no candidates. Each
+    candidate pair is compared once, on both whole sets.
+    """
+    sides = [f.select(F.col(i).alias("id"), F.col(words).alias("w")) for f, i in ((left, left_id), (right, right_id))]
+    df = sides[1].select(F.explode("w").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+
+    def prefixes(side: DataFrame, name: str) -> DataFrame:
+        each = side.select("id", F.size("w").alias("n"), F.explode("w").alias("word")).join(df, "word", "left")
+        place = F.row_number().over(Window.partitionBy("id").orderBy(F.coalesce("df", F.lit(0)), "word"))
+        return each.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * least) + 1).select(F.col("id").alias(name), "word", F.col("n").alias(f"{name}_n"))
+
+    found = prefixes(sides[0], "l").join(prefixes(sides[1], "r"), "word")
+    smaller, larger = F.least("l_n", "r_n"), F.greatest("l_n", "r_n")
+    pairs = found.where(smaller >= F.lit(least) * larger).select("l", "r").distinct()
+    whole = pairs.join(sides[0].select(F.col("id").alias("l"), F.col("w").alias("lw")), "l").join(sides[1].select(F.col("id").alias("r"), F.col("w").alias("rw")), "r")
+    scored = whole.select("l", "r", T.jaccard(F.col("lw"), F.col("rw")).alias("jaccard")).where(F.col("jaccard") >= least)
+    best = scored.groupBy("l").agg(F.max(F.struct("jaccard", (-F.col("r")).alias("r"))).alias("b"))
+    return best.select(F.col("l").alias(left_id), (-F.col("b.r")).alias(right_id), "b.jaccard")

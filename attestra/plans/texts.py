@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from attestra.functions import text as T
 from attestra.functions.numbers import poisoned_sum
-from attestra.operators import graph, metrics, parse, retrieval, spans
-from attestra.sources import files
+from attestra.operators import graph, metrics, parse, retrieval, spans, windows
+from attestra.sources import files, web
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,10 +46,9 @@ def bounded_chunks(spark, sf_dir):
 
 
 def bench_cases(spark, sf_dir):
-    """Benchmark passages as queries, their own sentences mixed with document openings as chunks."""
-    bench = read(spark, sf_dir, "benchmark")
-    queries = bench.select((F.col("item_id") % 5).alias("source_id"), F.col("item_id").alias("query_id"), F.concat(F.element_at(T.sentences(F.col("text")), 1), F.lit(" v1.2 50%")).alias("query_text"))
-    chunks = bench.select((F.col("item_id") % 5).alias("source_id"), (F.col("item_id") * 1000).alias("base"), F.posexplode(T.sentences(F.col("text"))).alias("k", "text"))
+    """The first sentences of benchmark passages as queries, every sentence of every document as a chunk; documents and queries are dealt into five sources."""
+    queries = read(spark, sf_dir, "benchmark").select((F.col("item_id") % 5).alias("source_id"), F.col("item_id").alias("query_id"), F.concat(F.element_at(T.sentences(F.col("text")), 1), F.lit(" v1.2 50%")).alias("query_text"))
+    chunks = read(spark, sf_dir, "documents").select((F.col("doc_id") % 5).alias("source_id"), (F.col("doc_id") * 100000).alias("base"), F.posexplode(T.sentences(F.col("text"))).alias("k", "text"))
     return queries, chunks.select("source_id", (F.col("base") + F.col("k")).alias("chunk_id"), "text")
 
 
@@ -62,7 +61,8 @@ def bm25(spark, sf_dir):
 def tfidf(spark, sf_dir):
     queries, chunks = bench_cases(spark, sf_dir)
     made = retrieval.tfidf_cosine(queries.withColumnRenamed("query_text", "text"), chunks)
-    return made.select("source_id", F.col("l_id").alias("query_id"), F.col("r_id").alias("chunk_id"), F.round("cosine", 6).alias("cosine"))
+    made = made.select("source_id", F.col("l_id").cast("bigint").alias("query_id"), F.col("r_id").cast("bigint").alias("chunk_id"), F.round("cosine", 6).alias("cosine"))
+    return retrieval.top_k(made, 5, ["source_id", "query_id"], score="cosine").select("source_id", "query_id", "chunk_id", "cosine")
 
 
 def budgets(spark, sf_dir):
@@ -270,13 +270,12 @@ def full_coverage(spark, sf_dir):
     return both.agg(F.count_if(F.col("other").isNull()).alias("unlabelled"), F.count_if(F.col("doc_id").isNull()).alias("unknown"), F.count(F.lit(1)).alias("n"))
 
 
-def title_jaccard(spark, sf_dir):
-    """Pairs of benchmark items by shared words: an equi-join on words, then the Jaccard score."""
-    words = read(spark, sf_dir, "benchmark").select("item_id", T.token_set(F.col("text")).alias("w"))
-    each = words.select("item_id", F.size("w").alias("n"), F.explode("w").alias("word"))
-    other = each.select(F.col("item_id").alias("b"), F.col("n").alias("nb"), "word")
-    shared = each.withColumnRenamed("item_id", "a").join(other, "word").where("a < b").groupBy("a", "b", "n", "nb").agg(F.count(F.lit(1)).alias("k"))
-    return shared.select("a", "b", F.round(F.col("k") / (F.col("n") + F.col("nb") - F.col("k")), 9).alias("jaccard")).where("jaccard >= 0.1")
+def best_similar(spark, sf_dir):
+    """For each benchmark passage the most similar document by shared words."""
+    items = read(spark, sf_dir, "benchmark").select("item_id", T.token_set(F.col("text")).alias("words"))
+    docs = read(spark, sf_dir, "documents").select("doc_id", T.token_set(F.col("text")).alias("words"))
+    made = retrieval.best_similar(items, docs, "item_id", "doc_id", "words", 0.1)
+    return made.select("item_id", "doc_id", F.round("jaccard", 9).alias("jaccard"))
 
 
 def markdown_of(spark, sf_dir):
@@ -299,6 +298,31 @@ def html_evidence(spark, sf_dir):
     return parse.html_blocks(read(spark, sf_dir, "pages"))
 
 
+def bound_directives(spark, sf_dir):
+    """Documents as one paragraph each under a directive, with one beside text and one that nothing follows."""
+    body = F.concat(F.lit("Body "), F.regexp_replace("text", r"[^A-Za-z ]+", " "))
+    note = F.concat(F.lit('<!-- audit: ignore reason="r'), F.col("doc_id").cast("string"), F.lit('" -->\n\n'), body, F.lit("\n\nTail <!-- audit: ignore reason='x' --> end\n<!-- audit: nope reason='x' -->\n<!-- audit: ignore reason='last' -->"))
+    return parse.suppressions(read(spark, sf_dir, "documents").select("doc_id", note.alias("text")), "audit")
+
+
+def visible_texts(spark, sf_dir):
+    raw = F.concat(F.lit("See [one](https://e.example/a) and `code` "), F.trim(F.regexp_replace("text", r"[^A-Za-z]+", " ")), F.lit(" x\nnext[^1] **line**"))
+    made = read(spark, sf_dir, "documents").select("doc_id", parse.visible_text(raw, F.lit(7)).alias("v"))
+    return made.select("doc_id", F.sha2("v.text", 256).alias("text_hash"), F.size("v.segments").alias("n_segments"), F.get("v.segments", F.lit(0))["end"].alias("first_end"), F.get("v.segments", F.lit(1))["line"].alias("last_line"))
+
+
+def text_windows(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("paragraph_id"), "text")
+    made = windows.plan_windows(docs, 400)
+    return made.groupBy("paragraph_id", "status").agg(F.count("window_id").alias("n"), F.max(F.length("text")).alias("longest"), F.count_if("oversized").alias("n_oversized"))
+
+
+def url_problems(spark, sf_dir):
+    k = F.col("page_id") % 7
+    url = F.when(k == 1, "http://127.0.0.1/x").when(k == 2, "ftp://a.example/").when(k == 3, "https://u:p@a.example/").when(k == 4, "http://2130706433/").when(k == 5, "http://a.example:8080/").when(k == 6, "http://printer.local/").otherwise("https://a.example/p")
+    return read(spark, sf_dir, "pages").select("page_id", web.url_problem(url).alias("problem"))
+
+
 def scalar_outcomes(spark, sf_dir):
     from attestra.plans.claims import pairs
 
@@ -319,5 +343,5 @@ QUERIES = {
     "win7_clashes": clashes, "jn5_overlap": span_overlap, "jn19_enclosing": enclosing, "jn15_next": next_event, "win1_minted_ids": minted_ids, "jn14_greedy_match": greedy_match, "win8_running_budget": running_budget, "grf1_components": order_components, "grf3_leaks": leaking_parts,
     "agg16_telemetry": telemetry, "agg_percentiles": percentiles, "agg8_engineering": engineering, "agg6_extraction": extraction, "agg7_retrieval": retrieval_scores, "agg13_stability": stability, "agg13_agreement": agreement, "msc1_bundle_hash": bundle_hash, "msc6_hash_sample": hash_sample,
     "prj16_length_strata": length_strata, "prj5_path_scope": path_scope, "par8_target_kinds": target_kinds, "par24_subsets": subsets, "src8_cache": cache_split, "src5_fixture_checks": fixture_checks, "msc9_nullable_sums": nullable_sums, "win10_first_copies": exact_duplicates,
-    "jn13_full_coverage": full_coverage, "jn10_jaccard_pairs": title_jaccard, "par2_markdown": markdown_paragraphs, "par4_citations": markdown_citations, "par11_html_evidence": html_evidence, "ver8_scalar_outcomes": scalar_outcomes, "snk3_sarif": sarif,
+    "jn13_full_coverage": full_coverage, "jn10_best_similar": best_similar, "par9_directives": bound_directives, "par10_visible": visible_texts, "par16_windows": text_windows, "src6_url_problems": url_problems, "par2_markdown": markdown_paragraphs, "par4_citations": markdown_citations, "par11_html_evidence": html_evidence, "ver8_scalar_outcomes": scalar_outcomes, "snk3_sarif": sarif,
 }

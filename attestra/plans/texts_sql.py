@@ -11,7 +11,7 @@ _F1 = "CASE WHEN len(p) = 0 AND len(g) = 0 THEN 1.0 WHEN len(list_intersect(p, g
 _WORDS = f"list_distinct([lower(y) FOR y IN regexp_extract_all({{0}}, '{T.WORD}')])"
 _CASES = f"""
 q AS (SELECT item_id % 5 AS source_id, item_id AS query_id, ({_SENT.format('text')})[1] || ' v1.2 50%' AS query_text FROM benchmark),
-ch AS (SELECT source_id, item_id * 1000 + k - 1 AS chunk_id, s[k] AS text FROM (SELECT item_id % 5 AS source_id, item_id, s, unnest(range(1, len(s) + 1)) AS k FROM (SELECT item_id, {_SENT.format('text')} AS s FROM benchmark)))"""
+ch AS (SELECT source_id, doc_id * 100000 + k - 1 AS chunk_id, s[k] AS text FROM (SELECT doc_id % 5 AS source_id, doc_id, s, unnest(range(1, len(s) + 1)) AS k FROM (SELECT doc_id, {_SENT.format('text')} AS s FROM documents)))"""
 _TOK = f"[lower(y) FOR y IN regexp_extract_all({{0}}, '{T.TOKEN}')]"
 _GRAMS = "list_concat(w, [w[k] || ' ' || w[k + 1] FOR k IN range(1, greatest(len(w), 1))])"
 
@@ -35,8 +35,9 @@ SQL = {
       g AS (SELECT source_id, side, id, term, 1 + ln(count(*)) AS tf FROM (SELECT source_id, side, id, unnest({_GRAMS}) AS term FROM (SELECT source_id, side, id, regexp_extract_all(lower(t), '[\\p{{L}}\\p{{N}}_]{{2,}}') AS w FROM a)) GROUP BY ALL),
       n AS (SELECT source_id, count(*) AS n FROM a GROUP BY ALL), df AS (SELECT source_id, term, count(*) AS df FROM g GROUP BY ALL),
       w AS (SELECT g.source_id, side, id, g.term, tf * (ln((1 + n) / (1 + df)) + 1) AS w FROM g JOIN df ON g.source_id = df.source_id AND g.term = df.term JOIN n ON g.source_id = n.source_id), m AS (SELECT source_id, side, id, sqrt(sum(w * w)) AS norm FROM w GROUP BY ALL),
-      u AS (SELECT w.source_id, w.side, w.id, term, w / norm AS w FROM w JOIN m ON w.source_id = m.source_id AND w.side = m.side AND w.id = m.id)
-      SELECT x.source_id, x.id AS query_id, y.id AS chunk_id, round(sum(x.w * y.w), 6) AS cosine FROM u x JOIN u y ON x.source_id = y.source_id AND x.term = y.term WHERE x.side = 'l' AND y.side = 'r' GROUP BY ALL""",
+      u AS (SELECT w.source_id, w.side, w.id, term, w / norm AS w FROM w JOIN m ON w.source_id = m.source_id AND w.side = m.side AND w.id = m.id),
+      c AS (SELECT x.source_id, CAST(x.id AS BIGINT) AS query_id, CAST(y.id AS BIGINT) AS chunk_id, round(sum(x.w * y.w), 6) AS cosine FROM u x JOIN u y ON x.source_id = y.source_id AND x.term = y.term WHERE x.side = 'l' AND y.side = 'r' GROUP BY ALL)
+      SELECT * FROM c WHERE cosine > 0 QUALIFY row_number() OVER (PARTITION BY source_id, query_id ORDER BY cosine DESC, chunk_id) <= 5""",
     "rnk5_budgets": "WITH r AS (SELECT conv_id, turn, CAST(sum(length(text)) OVER w AS BIGINT) AS running_chars, CAST(sum(strlen(text)) OVER w AS BIGINT) AS running_bytes FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)) SELECT * FROM r WHERE running_chars <= 1500 AND running_bytes <= 2000",
     "rnk6_neighbours": """WITH o AS (SELECT conv_id, turn, text, coalesce(sum(length(text) + 2) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS st FROM conversations),
       l AS (SELECT *, lag(text) OVER w AS b, lead(text) OVER w AS a FROM o WINDOW w AS (PARTITION BY conv_id ORDER BY turn)), x AS (SELECT *, CASE WHEN b IS NOT NULL AND length(b) + 2 + length(text) <= 3000 THEN b || chr(10) || chr(10) || text ELSE text END AS lt FROM l),
@@ -86,5 +87,15 @@ SQL = {
     "msc9_nullable_sums": "SELECT o_custkey, CASE WHEN count(*) FILTER (o_orderstatus = 'P') = 0 THEN CAST(sum(o_orderkey) AS BIGINT) END AS total FROM orders GROUP BY o_custkey",
     "win10_first_copies": "SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS first_doc FROM documents",
     "jn13_full_coverage": "SELECT count(*) FILTER (l.doc_id IS NULL) AS unlabelled, count(*) FILTER (d.doc_id IS NULL) AS unknown, count(*) AS n FROM documents d FULL JOIN labels l ON d.doc_id = l.doc_id",
-    "jn10_jaccard_pairs": f"WITH w AS (SELECT item_id, {_WORDS.format('text')} AS w FROM benchmark), j AS (SELECT a.item_id AS a, b.item_id AS b, len(list_intersect(a.w, b.w)) AS k, len(a.w) + len(b.w) AS n FROM w a JOIN w b ON a.item_id < b.item_id) SELECT a, b, round(k / (n - k), 9) AS jaccard FROM j WHERE round(k / (n - k), 9) >= 0.1",
+    "jn10_best_similar": f"WITH b AS (SELECT item_id, {_WORDS.format('text')} AS w FROM benchmark), d AS (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents), j AS (SELECT item_id, doc_id, len(list_intersect(b.w, d.w)) AS k, len(b.w) + len(d.w) AS n FROM b, d), s AS (SELECT item_id, doc_id, k / (n - k) AS j FROM j WHERE k / (n - k) >= 0.1) SELECT item_id, doc_id, round(j, 9) AS jaccard FROM s QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY j DESC, doc_id) = 1",
+    "par9_directives": """WITH d AS (SELECT doc_id, 'r' || doc_id AS r FROM documents) SELECT doc_id, 'sup_0001' AS suppression_id, 'paragraph' AS scope, r AS reason, 1 AS line, 3 AS target_start, 3 AS target_end, NULL AS problem FROM d
+      UNION ALL SELECT doc_id, 'sup_0002', 'line', 'x', 5, 5, 5, NULL FROM d UNION ALL SELECT doc_id, NULL, NULL, 'x', 6, NULL, NULL, 'unsupported_action' FROM d UNION ALL SELECT doc_id, NULL, NULL, 'last', 7, NULL, NULL, 'orphan' FROM d""",
+    "par10_visible": "WITH v AS (SELECT doc_id, concat('See one and code ', CASE WHEN b = '' THEN '' ELSE b || ' ' END, 'x ') AS a FROM (SELECT doc_id, trim(regexp_replace(text, '[^A-Za-z]+', ' ', 'g')) AS b FROM documents)) SELECT doc_id, sha256(a || 'next line') AS text_hash, 2 AS n_segments, CAST(length(a) AS INT) AS first_end, 8 AS last_line FROM v",
+    "par16_windows": r"""WITH f AS (SELECT doc_id, [trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) FOR x IN string_split(regexp_replace(regexp_replace(text, '([!?;])\s*', '\1' || chr(1), 'g'), '\.\s+', '.' || chr(1), 'g'), chr(1))] AS s FROM documents), w AS (SELECT doc_id, [x FOR x IN s IF x <> ''] AS s FROM f)
+      SELECT doc_id AS paragraph_id, CASE WHEN len([x FOR x IN s IF length(x) > 400]) > 0 THEN 'oversized' WHEN len(s) > 0 THEN 'ready' ELSE 'intentional_empty' END AS status, CAST(len(s) AS BIGINT) AS n, CAST(list_max([length(x) FOR x IN s]) AS INT) AS longest, CAST(len([x FOR x IN s IF length(x) > 400]) AS BIGINT) AS n_oversized FROM w""".replace("\\\\", "\\"),
+    "src6_url_problems": "SELECT page_id, [NULL, 'private_address', 'scheme', 'credentials', 'private_address', 'port', 'local_name'][page_id % 7 + 1] AS problem FROM pages",
+    "rnk10_greedy_options": """WITH RECURSIVE i AS (SELECT l_orderkey, CAST(l_quantity AS BIGINT) AS s, row_number() OVER (PARTITION BY l_orderkey ORDER BY -CAST(l_quantity AS BIGINT), l_linenumber * 1000000 + l_partkey) AS k FROM lineitem),
+      r(l_orderkey, k, used, n) AS (SELECT l_orderkey, CAST(0 AS BIGINT), CAST(0 AS BIGINT), 0 FROM i WHERE k = 1 UNION ALL SELECT i.l_orderkey, i.k, used + CASE WHEN used + s <= 60 THEN s ELSE 0 END, n + CASE WHEN used + s <= 60 THEN 1 ELSE 0 END FROM r JOIN i ON i.l_orderkey = r.l_orderkey AND i.k = r.k + 1)
+      SELECT l_orderkey, max(used) AS used, max(n) AS n_taken FROM r GROUP BY l_orderkey""",
+    "par4_citations": "SELECT doc_id, 1 AS ordinal, 'bare_url' AS kind, CAST(length(text) - length(replace(text, chr(10), '')) + 7 AS INT) AS line, NULL AS label, NULL AS reference_key, 'https://e.example/q' AS destination, true AS resolved FROM documents",
 }

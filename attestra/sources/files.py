@@ -25,7 +25,7 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def markdown_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, text) of whole files."""
-    return spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    return spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
 def reference_files(spark: SparkSession, path: str, suffixes: list[str], most_bytes: int = 5 << 20) -> DataFrame:

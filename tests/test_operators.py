@@ -117,9 +117,23 @@ def test_diffs(spark):
 
 
 def test_html_blocks(spark):
-    page = "<title> T </title><nav>n</nav><h1>A</h1><p>one <b>two</b><h3>B</h3><div class='ad'>x</div><ul><li>three</ul>"
-    rows = parse.html_blocks(spark.createDataFrame([(1, page), (2, None)], "page_id bigint, html string")).collect()
-    assert [(r.title, r.heading_path, r.text, r.char_start) for r in rows] == [("T", ["A"], "one two", 0), ("T", ["A", "B"], "three", 9)]
+    page = (
+        "<title> T </title><style>x</style><nav><img src=a><p>n</p></nav><h1>A</h1><p>one <b>two</b></p><div class='cookie-bar'><p>c</p></div><h2>B</h2><p>open<p>three</p><p hidden>h</p>"
+        "<p aria-hidden=TRUE>s</p><p class='ad'>four</p><script>w</script><footer><p>f</p></footer><li>five</li>"
+    )
+    loose = "<div>only <b>loose</b> text</div><script>x</script><table><td>cell</td></table>"
+    long = "<p>" + "word " * 900 + "</p><p>after</p>"
+    rows = parse.html_blocks(spark.createDataFrame([(1, page), (2, None), (3, loose), (4, long)], "page_id bigint, html string")).collect()
+    by = {k: [r for r in rows if r.page_id == k] for k in range(1, 5)}
+    assert [(r.title, r.heading_path, r.text, r.char_start) for r in by[1]] == [("T", ["A"], "one two", 0), ("T", ["A", "B"], "three", 9), ("T", ["A", "B"], "four", 16), ("T", ["A", "B"], "five", 22)]
+    assert [r.locator for r in by[1]] == ["A > paragraph 1 [chars 0-7]", "A > B > paragraph 1 [chars 9-14]", "A > B > paragraph 2 [chars 16-20]", "A > B > paragraph 3 [chars 22-26]"]
+    assert by[2] == [] and [r.text for r in by[3]] == ["only loose text cell"]
+    assert [len(r.text) <= 2000 for r in by[4]] == [True] * 4 and by[4][1].locator.startswith("paragraph 1 part 2 [chars ") and by[4][3].char_start == 900 * 5 - 1 + 2
+
+
+@pytest.mark.parametrize(("url", "left"), [("https://e.example/a,b;", "https://e.example/a,b"), ("https://e.example/a_(b).", "https://e.example/a_(b)"), ("https://e.example/x.)", "https://e.example/x."), ("https://e.example/x).", "https://e.example/x"), ("https://e.example/x)]", "https://e.example/x")])
+def test_bare_urls(url, left):
+    assert parse.trim_bare_url(url) == left
 
 
 def test_bounded_chunks(spark):
@@ -156,12 +170,6 @@ def test_metrics_bounds(spark):
     assert metrics.summary(rows.limit(0)).first().n == 0
 
 
-def test_bootstrap_centre(spark):
-    rows = spark.createDataFrame([(k, float(k % 10)) for k in range(500)], "u int, v double")
-    means = [x.mean for x in metrics.bootstrap(rows, "u", "v", 40).collect()]
-    assert len(means) == 40 and 4.2 < sum(means) / 40 < 4.8
-
-
 def test_spans_against_brute_force(spark):
     r = random.Random(3)
     some = [(k % 3, k, a, a + r.randint(0, 40)) for k in range(150) for a in [r.randrange(300)]]
