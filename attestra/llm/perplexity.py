@@ -21,7 +21,6 @@ for each group, with a sum for each of its texts.
 from __future__ import annotations
 
 import math
-import re
 import zlib
 from collections.abc import Iterator
 from functools import reduce
@@ -32,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from attestra.llm import words
 from attestra.llm.common import field, utf8, written
 from attestra.sources.shared import drop_written, spread
 
@@ -42,87 +42,29 @@ START, END = b" <", b" >"
 TOGETHER, MOST_TEXTS = 1 << 20, 1 << 15
 #: 64-bit words of the filter that keeps most untrusted texts out of the shuffle: one megabyte, whatever the labels.
 FILTER_WORDS = 1 << 17
-_SPACE = re.compile(rb"[\t-\r ]")
-
-
-def _mixed(value: np.ndarray, seed: np.ndarray | int) -> np.ndarray:
-    """xxhash64 of 64-bit numbers, as the SQL function of that name has it."""
-    rotate = lambda x, k: x << np.uint64(k) | x >> np.uint64(64 - k)
-    one, two, three, four, five = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
-    h = np.asarray(seed, np.uint64) + (five + np.uint64(8))
-    h = rotate(h ^ rotate(value * two, 31) * one, 27) * one + four
-    h = (h ^ h >> np.uint64(33)) * two
-    h = (h ^ h >> np.uint64(29)) * three
-    return h ^ h >> np.uint64(32)
 
 
 def pair_keys(v: np.ndarray, w: np.ndarray) -> np.ndarray:
     """Keys of bigrams; ``xxhash64(v, w)`` in SQL."""
     with np.errstate(over="ignore"):
-        return _mixed(w, _mixed(v, np.full(1, 42, np.uint64)))
-
-
-#: Bytes hashed together; longer texts are split at a space.
-_SPAN = 1 << 20
-_ODD = 0x9E3779B97F4A7C15
-_BYTES = _mixed(np.arange(256, dtype=np.uint64), np.full(1, 7, np.uint64))
-_GAPS = np.zeros(256, bool)
-_GAPS[[9, 10, 11, 12, 13, 32]] = True
-_POWERS: list[np.ndarray] = []
+        return words.mixed(w, words.mixed(v, np.full(1, 42, np.uint64)))
 
 
-def _powers(many: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number modulo 2**64, and those of its inverse."""
-    if not _POWERS or len(_POWERS[0]) < many:
-        size = max(many, _SPAN + (1 << 16))
-        with np.errstate(over="ignore"):
-            _POWERS[:] = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, x, np.uint64)])) for x in (_ODD, pow(_ODD, -1, 1 << 64))]
-    return _POWERS[0], _POWERS[1]
-
-
-def _hashes(raw: bytes, lang: str) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the words in a run of bytes that ends in a space, and where they start: polynomials of their bytes, read off running sums."""
-    codes = np.frombuffer(raw, np.uint8)
-    gap = _GAPS[codes]
-    edge = gap[1:] != gap[:-1]
-    starts = np.flatnonzero(edge & gap[:-1]) + 1
-    ends = np.flatnonzero(edge & gap[1:]) + 1
-    if len(codes) and not gap[0]:
-        starts = np.concatenate([[0], starts])
-    up, down = _powers(len(codes) + 1)
-    with np.errstate(over="ignore"):
-        upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[codes] * up[: len(codes)])])
-        keys = _mixed((upto[ends] - upto[starts]) * down[starts], np.uint64(zlib.crc32(lang.encode())))
-    return keys, starts
+def _seed(lang: str) -> int:
+    return zlib.crc32(lang.encode())
 
 
 def word_key(lang: str, word: bytes) -> int:
     """The key of a word, or of a mark: bytes with a space in front, which no word has."""
     if word[:1] == b" ":
         with np.errstate(over="ignore"):
-            return int(_mixed(_mixed(np.frombuffer(word.ljust(8), "<u8"), np.full(1, 11, np.uint64)), np.uint64(zlib.crc32(lang.encode())))[0])
-    return int(_hashes(word + b" ", lang)[0][0])
+            return int(words.mixed(words.mixed(np.frombuffer(word.ljust(8), "<u8"), np.full(1, 11, np.uint64)), np.uint64(_seed(lang)))[0])
+    return int(words.hashes(word + b" ", _seed(lang))[0][0])
 
 
 def word_keys(lang: str, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The keys of all words of the texts in one run, and how many words each text has."""
-    if any(len(x) > _SPAN for x in texts):
-        parts = [(k, part) for k, x in enumerate(texts) for part in _pieces(x)]
-        some = [_hashes(part + b" ", lang)[0] for _, part in parts]
-        sizes = np.bincount([k for k, _ in parts], [len(x) for x in some], minlength=len(texts)).astype(np.int64)
-        return np.concatenate(some), sizes
-    keys, starts = _hashes(b" ".join([*texts, b""]), lang)
-    ends = np.cumsum([len(x) + 1 for x in texts])
-    return keys, np.diff(np.searchsorted(starts, ends), prepend=0)
-
-
-def _pieces(text: bytes) -> Iterator[bytes]:
-    at = 0
-    while at < len(text):
-        cut = _SPACE.search(text, at + _SPAN)
-        end = cut.end() if cut else len(text)
-        yield text[at:end]
-        at = end
+    return words.of_texts(texts, _seed(lang))
 
 
 def bigrams(lang: str, keys: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -181,7 +123,7 @@ def _some(texts: list[bytes]) -> Iterator[list[bytes]]:
     at = size = 0
     for k, x in enumerate(texts):
         size += len(x)
-        if size >= _SPAN or k + 1 - at >= MOST_TEXTS // 2:
+        if size >= words.SPAN or k + 1 - at >= MOST_TEXTS // 2:
             yield texts[at : k + 1]
             at, size = k + 1, 0
     if at < len(texts):
@@ -234,17 +176,17 @@ class Model:
             base[l] = left / (entries + 1)
         self.unseen = {l: math.log(x) for l, x in base.items()}
         number = lambda some: F.element_at(F.create_map(*(x for k, value in sorted(some.items()) for x in (F.lit(k), F.lit(value)))), F.col("l"))
-        words = before.select("l", "w", ((F.col("c1") - _cut(F.col("l"), F.col("c1"), cuts)) / number({l: total for l, (_, _, total) in low.items()}) + number(base)).alias("p1"))
-        both = words.join(after.select("l", F.col("v").alias("w"), "lo", "total"), ["l", "w"], "full")
-        words = written(both.withColumn("value", F.coalesce(F.ln("p1") - number(self.unseen), F.lit(0.0)) + F.coalesce(F.ln("lo"), F.lit(0.0))), "word-values")
+        each = before.select("l", "w", ((F.col("c1") - _cut(F.col("l"), F.col("c1"), cuts)) / number({l: total for l, (_, _, total) in low.items()}) + number(base)).alias("p1"))
+        both = each.join(after.select("l", F.col("v").alias("w"), "lo", "total"), ["l", "w"], "full")
+        each = written(both.withColumn("value", F.coalesce(F.ln("p1") - number(self.unseen), F.lit(0.0)) + F.coalesce(F.ln("lo"), F.lit(0.0))), "word-values")
         ends = {l: [np.uint64(word_key(order[l], x)).astype(np.int64).item() for x in (START, END)] for l in high}
-        for r in words.where(reduce(lambda a, b: a | b, (F.col("w") == x for pair in ends.values() for x in pair))).select("l", "value").collect():  # two rows for each language
+        for r in each.where(reduce(lambda a, b: a | b, (F.col("w") == x for pair in ends.values() for x in pair))).select("l", "value").collect():  # two rows for each language
             self.marks[r.l] = self.marks.get(r.l, 0.0) + r.value
         self.marks = {l: x + self.unseen[l] for l, x in self.marks.items()}
         self.bits = max(6, (sum(entries for some in (high, low) for _, entries, _ in some.values()) // 2_000_000).bit_length())  # a shard has some two million values at most
-        of_context, of_word = words.select(F.col("w").alias("v"), "lo", "total"), words.select("w", "p1")
+        of_context, of_word = each.select(F.col("w").alias("v"), "lo", "total"), each.select("w", "p1")
         own = (F.col("c") - _cut(F.col("l"), F.col("c"), {l: _cuts(n) for l, (n, *_) in high.items()})) / F.col("total")
-        self._pack(words.select(F.col("w").alias("key"), "value"))
+        self._pack(each.select(F.col("w").alias("key"), "value"))
         for block in range(blocks):
             seen = counts.where(F.pmod(F.shiftright("w", 7), F.lit(blocks)) == block)
             seen = seen.join(of_context.hint("shuffle_hash"), "v").select("v", "w", (own / F.col("lo")).alias("share"))  # a part of the words fits a task
@@ -252,7 +194,7 @@ class Model:
             self._pack(seen.select(F.xxhash64("v", "w").alias("key"), F.log1p(F.col("share") / F.col("p1")).alias("value")))
         drop_written(counts)
         drop_written(before)
-        drop_written(words)
+        drop_written(each)
 
     def _pack(self, values: DataFrame) -> None:
         """Write values shard by shard: (shard, keys, values), a million or so a row."""
@@ -344,10 +286,10 @@ def score(docs: DataFrame, model: Model, order: list[str]) -> DataFrame:
                     if texts_held + len(some) > MOST_TEXTS:
                         yield out()
                         team, size, texts_held = team + 1, 0, 0
-                    words, sizes = word_keys(order[l], some)
-                    v, w = bigrams(order[l], words, sizes)
+                    grams, sizes = word_keys(order[l], some)
+                    v, w = bigrams(order[l], grams, sizes)
                     place = np.arange(texts_held, texts_held + len(some), dtype=np.uint16)
-                    held.append((np.concatenate([words, pair_keys(v, w)]), np.concatenate([np.repeat(place, sizes), np.repeat(place, sizes + 1)])))
+                    held.append((np.concatenate([grams, pair_keys(v, w)]), np.concatenate([np.repeat(place, sizes), np.repeat(place, sizes + 1)])))
                     owners.append(keys[rows_[at : at + len(some)]])
                     told.append(sizes << 16 | l)
                     at += len(some)
@@ -487,7 +429,7 @@ def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
     own = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for k, name in enumerate(order) if k in found or k == 0 for x in (name, k))), F.col("lang")), F.lit(0))
     threshold = F.element_at(F.create_map(*(F.lit(x) for k in sorted(found) for x in (k, found[k]))), own) if found else F.lit(None).cast("double")
     perplexity = F.exp(-F.col("log"))
-    words = F.coalesce(F.regexp_like("text", F.lit("[^\\x09-\\x0D\\x20]")), F.lit(False))
-    judged = base.withColumns({"threshold": threshold, "words": words}).join(logs.select("key", "log"), "key", "left")
-    accepted = F.col("words") & F.coalesce(perplexity <= F.col("threshold"), F.lit(True))
+    any_word = F.coalesce(F.regexp_like("text", F.lit("[^\\x09-\\x0D\\x20]")), F.lit(False))
+    judged = base.withColumns({"threshold": threshold, "any_word": any_word}).join(logs.select("key", "log"), "key", "left")
+    accepted = F.col("any_word") & F.coalesce(perplexity <= F.col("threshold"), F.lit(True))
     return judged.select("row.*", perplexity.alias("perplexity"), "threshold", accepted.alias("accepted"))

@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from attestra.llm import words
 from attestra.llm.common import components, field, link_roots, type_of, utf8, written
 from attestra.sources.shared import spread
 
@@ -44,24 +45,24 @@ LANES, TABLES = 16, 64
 SALTS = 64
 
 
-def fingerprint(text: bytes | None, words: int = 4, seed: int = 42) -> int:
+def fingerprint(text: bytes | None, width: int = 4, seed: int = 42) -> int:
     """Unsigned 64-bit SimHash of a text's word shingles; 0 without words."""
     from xxhash import xxh64_intdigest
 
     parts = text.lower().split() if text else []
     if not parts:
         return 0
-    if len(parts) <= words:
+    if len(parts) <= width:
         return xxh64_intdigest(b" ".join(parts), seed)
     line = b" ".join(parts)
     ends, at = [], -1
     for part in parts:
         at += len(part) + 1
         ends.append(at)
-    starts = [0, *(x + 1 for x in ends[: len(parts) - words])]
+    starts = [0, *(x + 1 for x in ends[: len(parts) - width])]
     total, votes = len(starts), np.zeros(64, np.int64)
     for k in range(0, total, _SLICE):
-        hashes = np.array([xxh64_intdigest(line[a:b], seed) for a, b in zip(starts[k : k + _SLICE], ends[k + words - 1 : k + words - 1 + _SLICE], strict=False)], np.uint64)
+        hashes = np.array([xxh64_intdigest(line[a:b], seed) for a, b in zip(starts[k : k + _SLICE], ends[k + width - 1 : k + width - 1 + _SLICE], strict=False)], np.uint64)
         votes += _votes(hashes.reshape(-1, 1))
     return int(sum(1 << i for i in np.flatnonzero(2 * votes > total).tolist()))
 
@@ -83,29 +84,22 @@ def _scrambled(x: np.ndarray) -> np.ndarray:
 
 
 class WideFingerprints:
-    """SimHashes of 64 * ``LANES`` bits over the set of a text's word shingles; a worker keeps the hashes of words that it has met."""
+    """SimHashes of 64 * ``LANES`` bits over the set of a text's word shingles."""
 
-    def __init__(self, words: int, kept: int = 700_000) -> None:
-        self.words, self.kept = words, kept
-        self.known: dict[bytes, int] = {}
+    def __init__(self, width: int) -> None:
+        self.width = width
         self.steps = np.arange(1, LANES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
     def shingles(self, text: bytes) -> np.ndarray:
         """Hashes of the distinct shingles; a text of fewer words is one shingle, one without words has none."""
-        from xxhash import xxh3_64_intdigest
-
-        parts = text.lower().split()
-        if len(self.known) > self.kept:
-            self.known.clear()
-        for part in {*parts}.difference(self.known):
-            self.known[part] = xxh3_64_intdigest(part)
-        codes = np.array([self.known[x] for x in parts], np.uint64)
-        width = min(self.words, len(codes))
+        codes, _ = words.of_texts([text.lower()], 5)
+        width = min(self.width, len(codes))
         if not width:
             return codes
         run = np.zeros(len(codes) - width + 1, np.uint64)
-        for k in range(width):
-            run = _scrambled(run * np.uint64(31) + codes[k : len(codes) - width + 1 + k])
+        with np.errstate(over="ignore"):
+            for k in range(width):
+                run = _scrambled(run * np.uint64(31) + codes[k : len(codes) - width + 1 + k])
         return np.unique(run)
 
     def of(self, text: bytes | None) -> bytes:
@@ -114,33 +108,33 @@ class WideFingerprints:
         if not len(shingles):
             return b""
         votes = np.zeros(64 * LANES, np.int64)
-        for k in range(0, len(shingles), _SLICE // LANES):
-            votes += _votes(_scrambled(shingles[k : k + _SLICE // LANES, None] + self.steps[None, :]))
+        for k in range(0, len(shingles), _SLICE // 8 // LANES):
+            votes += _votes(_scrambled(shingles[k : k + _SLICE // 8 // LANES, None] + self.steps[None, :]))
         return np.packbits(2 * votes > len(shingles), bitorder="little").tobytes()
 
 
-def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 4, seed: int = 42) -> DataFrame:
+def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4, seed: int = 42) -> DataFrame:
     """(id, text_hash, fp bigint: the fingerprint's bits as a signed number) of every row.
 
-    A-Z are lower-cased; words are parted by ASCII white space. Texts of fewer than ``words`` words
+    A-Z are lower-cased; words are parted by ASCII white space. Texts of fewer than ``width`` words
     are one shingle; null, empty and wordless texts have fingerprint 0.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(x, words, seed) for x in utf8(batch.column(2))], np.uint64)
+            found = np.array([fingerprint(x, width, seed) for x in utf8(batch.column(2))], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found.view(np.int64))], names=["id", "text_hash", "fp"])
 
     return _texts(docs, id_col, text_col).mapInArrow(run, f"id {type_of(docs, id_col)}, text_hash bigint, fp bigint")
 
 
-def wide_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
+def wide_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
     """(id, text_hash, fp bigint, code binary) of every row; ``fp`` numbers the codes and is 0 without words, as the code is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_64_intdigest
 
-        make = WideFingerprints(words)
+        make = WideFingerprints(width)
         for batch in batches:
             codes = [make.of(x) for x in utf8(batch.column(2))]
             names = np.array([xxh3_64_intdigest(x) if x else 0 for x in codes], np.uint64).view(np.int64)
@@ -343,7 +337,7 @@ def _rooted(each: DataFrame, found: DataFrame, best: str) -> DataFrame:
     return written(each.join(led, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("lowest", best).alias(best)), "rooted")
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 4, distance: int = 4, blocks: int = 6) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4, distance: int = 4, blocks: int = 6) -> DataFrame:
     """(id, fp, root, component_id) of every row.
 
     Rows are in one component if a chain of fingerprints at most ``distance`` bits apart joins them;
@@ -351,22 +345,22 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     smallest fingerprint as a signed number. Repeated rows stay and share a component; so do all
     texts without words. No rows give no rows; other columns are not carried.
     """
-    marked = written(fingerprints(docs, id_col=id_col, text_col=text_col, words=words).select("id", "fp"), "fingerprints")
+    marked = written(fingerprints(docs, id_col=id_col, text_col=text_col, width=width).select("id", "fp"), "fingerprints")
     each = marked.groupBy("fp").agg(F.min("id").alias("component_id"))
     found = components(written(links(each.select("fp"), distance=distance, blocks=blocks), "links"))
     rooted = _rooted(each, found, "component_id")
     return marked.join(rooted, "fp").select(F.col("id").alias(id_col), "fp", "root", "component_id")
 
 
-def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """Keep one document of each group of near copies, the one with the smallest id; all columns stay as they are.
 
-    Near copies are texts whose sets of ``words``-word shingles have a Jaccard similarity of
+    Near copies are texts whose sets of ``width``-word shingles have a Jaccard similarity of
     ``similarity`` or more by their fingerprints, and texts that a chain of such joins. Texts without
     words are one group. A null id comes after all others; of rows of one id in a group the one with
     the smallest hash of its text stays, and one of rows equal in id and text.
     """
-    marked = written(wide_fingerprints(docs, id_col=id_col, text_col=text_col, words=words), "fingerprints")
+    marked = written(wide_fingerprints(docs, id_col=id_col, text_col=text_col, width=width), "fingerprints")
     first = F.struct(F.col("id").isNull().alias("without"), "id", "text_hash")
     each = marked.groupBy("fp").agg(F.min(first).alias("best"))
     codes = marked.groupBy("fp").agg(F.first("code").alias("code"))

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from attestra.llm import perplexity
+from attestra.llm import perplexity, words
 
 
 def pairs(text):
@@ -73,15 +73,15 @@ def test_word_keys(monkeypatch):
     texts = [b" one\ttwo  one", b"", b"\n", "zwei\x0bdrei\x1cx é".encode(), b"two"]
     keys, sizes = perplexity.word_keys("en", texts)
     split = [x.split(None) for x in texts]
-    words = [w for x in texts for w in x.replace(b"\x1c", b"\x01").split()]
+    said = [w for x in texts for w in x.replace(b"\x1c", b"\x01").split()]
     assert sizes.tolist() == [3, 0, 0, 3, 1] and len(split) == 5
     by = {}
-    for w, k in zip(words, keys.tolist(), strict=True):
+    for w, k in zip(said, keys.tolist(), strict=True):
         assert by.setdefault(w, k) == k
     assert len({*by.values()}) == len(by) and by[b"two"] == perplexity.word_key("en", b"two") != perplexity.word_key("de", b"two")
     text = " ".join(sample(1, 300)).replace("w7 ", "w7 \n\t").encode()
     plain = perplexity.word_keys("en", [text, b"", b"a  b"])
-    monkeypatch.setattr(perplexity, "_SPAN", 50)
+    monkeypatch.setattr(words, "SPAN", 50)
     cut = perplexity.word_keys("en", [text, b"", b"a  b"])
     assert (plain[0] == cut[0]).all() and plain[1].tolist() == cut[1].tolist()
     assert len({*perplexity.word_keys("en", [" ".join(f"w{k}" for k in range(200_000)).encode()])[0].tolist()}) == 200_000

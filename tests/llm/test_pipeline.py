@@ -19,7 +19,7 @@ def tables(spark, path):
     docs += [(100, clean[3]), (101, clean[3].replace("alpha", "alpha")), (102, "short."), (103, "buy!! now!! " * 30), (104, passage), (105, None), (106, ""), (107, clean[5] + "\nHome | News | About | More")]
     rows = [(k, t, "en", "s", len(t or "")) for k, t in docs]
     spark.createDataFrame(rows, SCHEMA).repartition(3).write.parquet(f"{path}/documents.parquet")
-    spark.createDataFrame([(k, 1, 0) for k in range(40)], "doc_id bigint, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame([(k, 1, 0) for k in range(60)], "doc_id bigint, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
     spark.createDataFrame([(1, passage), (2, None)], "item_id bigint, text string").write.parquet(f"{path}/benchmark.parquet")
     return dict(docs)
 

@@ -129,8 +129,8 @@ def test_groups_of_blocks_lose_no_link(spark, distance, blocks):
     assert (settled(near) == settled(np.bitwise_count(codes[:, None] ^ codes[None, :]) <= distance)).all()
 
 
-def brute_wide(text, words=5):
-    make = simhash.WideFingerprints(words)
+def brute_wide(text, width=5):
+    make = simhash.WideFingerprints(width)
     hashes = make.shingles(text.encode())
     lanes = [[int(simhash._scrambled(np.array([h], np.uint64) + s)[0]) for s in make.steps] for h in hashes]
     bits = [2 * sum(row[k // 64] >> (k % 64) & 1 for row in lanes) > len(lanes) for k in range(64 * simhash.LANES)]
