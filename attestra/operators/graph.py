@@ -2,25 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attestra.sources.shared import drop_written, written
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges`` (a, b: bigint) as rows (node, root), root the smallest node.
 
     Alternating large-star and small-star rounds. Every round only takes minima per node and joins
     them back, so a node with very many neighbours is pre-aggregated on the map side and its join
-    can be split; each round is written to the shared folder. Nodes without a link are not listed;
+    can be split; each round is written to the shared folder. Rounds
+    go on until nothing changes, some log(n)**2 of them at most. Nodes without a link are not listed;
     no edges give no rows.
     """
     now = written(_oriented(edges), "edges")
     mark = _mark(now)
-    for _ in range(max_rounds):
-        if not mark[0]:
-            break
+    while mark[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = _oriented(both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")))
@@ -35,8 +34,6 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if new == mark:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
         mark = new
-    else:
-        raise RuntimeError("components did not settle")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
@@ -78,6 +75,16 @@ def leaking_items(rows: DataFrame, fold: str, item: str) -> DataFrame:
 
 
 def ranked_components(labels: DataFrame) -> DataFrame:
-    """Components by (size descending, id) with their rank."""
+    """Components by (size descending, id) with their rank.
+
+    They are sorted over all tasks; a task's ranks start after the components of those before it.
+    """
     sizes = labels.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    return sizes.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("size"), "component")))
+    parts = int(labels.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.desc("size"), F.asc("component")]
+    placed = written(sizes.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()), "ranked")
+    part, place = F.shiftright("at", 33), F.col("at").bitwiseAND((1 << 33) - 1)
+    counts = {r.part: r.n for r in placed.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a task
+    before = {k: sum(n for j, n in counts.items() if j < k) for k in counts}
+    base = F.element_at(F.create_map(*(x for k, n in sorted(before.items()) for x in (F.lit(k).cast("bigint"), F.lit(n).cast("bigint")))), part) if before else F.lit(0)
+    return placed.select("component", "size", (base + place + 1).alias("rank"))

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestra.functions import text as T
 from attestra.functions.numbers import ratio
+from attestra.operators.models import weighted_scaler
 
 FEATURES = ["jaccard", "claim_coverage", "number_match", "negation_match", "length_ratio"]
 
@@ -32,13 +33,22 @@ def balanced_weights(rows: DataFrame, claim: str = "claim_id", label: str = "lab
     return rows.withColumn("weight", 1.0 / (size * classes))
 
 
+def scaled(rows: DataFrame, moments: dict[str, tuple[float, float]]) -> DataFrame:
+    """``rows`` with each feature less its mean, in deviations."""
+    return rows.withColumns({f"scaled_{c}": (F.col(c) - F.lit(mean)) / F.lit(spread) for c, (mean, spread) in moments.items()})
+
+
 def fit(rows: DataFrame, label: str = "label"):
-    stages = [VectorAssembler(inputCols=FEATURES, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="scaled", withMean=True), LogisticRegression(featuresCol="scaled", labelCol=label, weightCol="weight", regParam=1e-3, maxIter=60)]
-    return Pipeline(stages=stages).fit(rows)
+    """A logistic regression on features standardised by the weights of the training rows: the moments and the fitted model."""
+    moments = weighted_scaler(rows, FEATURES)
+    stages = [VectorAssembler(inputCols=[f"scaled_{c}" for c in FEATURES], outputCol="scaled"), LogisticRegression(featuresCol="scaled", labelCol=label, weightCol="weight", standardization=False, regParam=1e-3, maxIter=60)]
+    return moments, Pipeline(stages=stages).fit(scaled(rows, moments))
 
 
 def score(model, rows: DataFrame) -> DataFrame:
-    return model.transform(rows).withColumn("score", vector_to_array("probability")[1]).drop("raw", "scaled", "rawPrediction", "probability", "prediction")
+    moments, fitted = model
+    made = fitted.transform(scaled(rows, moments)).withColumn("score", vector_to_array("probability")[1])
+    return made.select(*rows.columns, "score")
 
 
 def sweep(scored: DataFrame, thresholds: list[float], label: str = "label", least_recall: float = 0.0) -> DataFrame:

@@ -54,9 +54,13 @@ def overlapping(left: DataFrame, right: DataFrame, scope: str, size: int, l: tup
     return a.join(b, [scope, "__cell"]).where((F.col(l[0]) < F.col(r[1])) & (F.col(r[0]) < F.col(l[1])) & (F.col("__cell") == first)).drop("__cell")
 
 
-def first_enclosing(spans: DataFrame, parts: DataFrame, scope: str, span_id: str, order: str) -> DataFrame:
-    """Each span with the first part (by ``order``) that wholly encloses it, or none."""
-    inside = spans.join(parts, scope).where("p_start <= s_start and s_end <= p_end")
+def first_enclosing(spans: DataFrame, parts: DataFrame, scope: str, span_id: str, order: str, size: int = 256) -> DataFrame:
+    """Each span with the first part (by ``order``) that wholly encloses it, or none.
+
+    Parts go into every cell of ``size`` positions that they touch, a span into the one it starts in.
+    """
+    cells = F.explode(F.sequence(F.floor(F.col("p_start") / size), F.floor(F.col("p_end") / size)))
+    inside = spans.withColumn("__cell", F.floor(F.col("s_start") / size)).join(parts.withColumn("__cell", cells), [scope, "__cell"]).where("p_start <= s_start and s_end <= p_end")
     best = inside.groupBy(scope, span_id).agg(F.min(order).alias(order))
     return spans.join(best, [scope, span_id], "left")
 

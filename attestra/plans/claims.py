@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from attestra.functions import text as T
 from attestra.operators import metrics, signals, verdicts
+from attestra.sources.shared import spread
 
 #: One claim and one evidence text per order, with planted differences; the same SQL for both engines.
 PAIRS = """
@@ -77,7 +78,7 @@ final AS (SELECT *, CASE WHEN relation = 'not_checkable' THEN 0.95 WHEN relation
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    orders = spread(spark.read.parquet(f"{sf_dir}/orders.parquet"))
     return spark.sql(PAIRS.replace("FROM orders", "FROM {orders}"), orders=orders)
 
 
@@ -106,6 +107,16 @@ def verdict_rows(spark: SparkSession, sf_dir: str, carry: list[str] | None = Non
     return made.select("case_id", *(carry or []), "relation", F.round("confidence", 9).alias("confidence"), "lexical_relation", verdicts.severity(F.col("relation"), F.when(F.col("case_id") % 17 == 0, "disputed").otherwise("cited_only")).alias("severity"), verdicts.challenge(F.col("relation"), F.col("confidence")).alias("challenge"))
 
 
+def three_label_judge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = verdicts.lexical(signals.with_signals(pairs(spark, sf_dir)), partial=False)
+    return made.select("case_id", "lexical_relation", F.round("lexical_confidence", 9).alias("lexical_confidence"))
+
+
+def slot_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = signals.with_signals(pairs(spark, sf_dir))
+    return made.select("case_id", F.array_join(verdicts.changed_slots("c", "e"), ",").alias("changed"))
+
+
 def high_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Claims by relation, and the risky among them; every second claim is given without its version and figures, as wording alone makes many risky."""
     made = judged(spark, sf_dir)
@@ -196,10 +207,13 @@ _HARD = f"relation = 'contradicted' OR confidence < 0.65 OR s_date OR s_version
 _PROTECTED = T.PROTECTED.replace("(?<![A-Za-z0-9])", r"\b").replace("'", "''")
 
 QUERIES = {
-    "par20_slots": slots, "sig9_signals": signal_codes, "ver1_verdicts": verdict_rows, "prj12_high_risk": high_risk, "prj9_policy_rollup": policy_rollup, "agg1_confusion": confusion, "agg2_per_label": per_label,
+    "par20_slots": slots, "sig9_signals": signal_codes, "ver1_verdicts": verdict_rows, "prj12_high_risk": high_risk, "ver3_three_labels": three_label_judge, "prj21_changed_slots": slot_changes, "prj9_policy_rollup": policy_rollup, "agg1_confusion": confusion, "agg2_per_label": per_label,
     "agg3_summary": summary, "rnk16_error_patterns": error_patterns, "agg9_coverage_gate": coverage_gate, "agg10_subsets": subset_reports, "agg5_token_f1": span_f1, "prj1_claim_rules": claim_rules, "prj10_router": router, "flagship": verdict_rows,
 }
+_CHANGED = ", ".join(f"CASE WHEN list_sort(c.{kind}) <> list_sort(e.{kind}) THEN '{name}' END" for kind, name in [("dates", "date"), ("versions", "version"), ("numbers", "number"), ("entities", "entity"), ("qualifiers", "qualifier")])
 SQL = {
+    "ver3_three_labels": f"{VERDICTS} SELECT case_id, CASE lexical_relation WHEN 'partially_entailed' THEN 'entailed' ELSE lexical_relation END AS lexical_relation, round(CASE WHEN NOT available OR evidence_text = '' THEN 0.0 ELSE least(share, 0.99) END, 9) AS lexical_confidence FROM final",
+    "prj21_changed_slots": f"{SLOTS} SELECT c.case_id, concat_ws(',', {_CHANGED}, CASE WHEN c.negated <> e.negated THEN 'negation' END) AS changed FROM slots c JOIN slots e ON c.case_id = e.case_id AND c.role = 'c' AND e.role = 'e'",
     "par20_slots": f"{SLOTS} SELECT c.case_id, e.t AS aligned_evidence, {_SLOT_SQL}, c.negated AS c_negated, e.negated AS e_negated FROM slots c JOIN slots e ON c.case_id = e.case_id AND c.role = 'c' AND e.role = 'e'",
     "sig9_signals": f"{SIGNALS} SELECT case_id, concat_ws(',', {_CODES}) AS signals FROM coded",
     "ver1_verdicts": f"{VERDICTS} SELECT case_id, relation, round(confidence, 9) AS confidence, lexical_relation, {SEVERITY_LABEL} AS severity, CASE WHEN confidence < 0.5 AND relation <> 'contradicted' THEN 'abstain' ELSE 'uphold' END AS challenge FROM final",

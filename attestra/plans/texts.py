@@ -226,6 +226,41 @@ def length_strata(spark, sf_dir):
     return read(spark, sf_dir, "documents").groupBy("lang", stratum.alias("stratum")).agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("bytes"))
 
 
+def bounded_metadata(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", F.sha2(T.bounded_metadata(F.col("text")), 256).alias("bounded_hash"))
+
+
+def literal_spans(spark, sf_dir):
+    from attestra.operators import verdicts
+
+    span = F.when(F.col("doc_id") % 3 == 0, " ").when(F.col("doc_id") % 3 == 1, F.substring("text", 3, 20)).otherwise("not in there")
+    return read(spark, sf_dir, "documents").select("doc_id", verdicts.span_is_literal(span, F.col("text")).alias("literal"))
+
+
+def error_stages(spark, sf_dir):
+    from attestra.operators import verdicts
+
+    k = F.col("o_orderkey")
+    retrieved = F.array(F.concat(F.lit("a span "), (k % 5).cast("string"), F.lit(" here")), F.lit("other"))
+    gold = F.when(k % 6 != 0, F.concat(F.lit("span "), (k % 7).cast("string")))
+    return read(spark, sf_dir, "orders").select("o_orderkey", verdicts.error_stage(k % 3, k % 2, gold, retrieved, k % 11 != 0).alias("stage"))
+
+
+def status_rollup(spark, sf_dir):
+    rows = read(spark, sf_dir, "orders").select("o_custkey", F.when(F.col("o_orderkey") % 3 == 0, "failed").otherwise("ok").alias("status"))
+    return files.rollup_status(rows, "o_custkey")
+
+
+def cache_keys(spark, sf_dir):
+    fields = {"model": F.col("c_mktsegment"), "claim": F.col("c_name"), "version": F.col("c_custkey")}
+    return read(spark, sf_dir, "customer").select("c_custkey", files.cache_key(fields).alias("cache_key"))
+
+
+def cjk_terms(spark, sf_dir):
+    text = F.concat(F.lit("产品性能"), F.when(F.col("p_partkey") % 2 == 0, "很好").otherwise("x"), F.lit(" v1 好 评测"))
+    return read(spark, sf_dir, "part").select("p_partkey", F.array_join(T.cjk_ngrams(text), " ").alias("terms"))
+
+
 def path_scope(spark, sf_dir):
     path = F.concat(F.lit("docs/"), F.col("lang"), F.lit("/"), F.col("source"), F.lit("/p"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 3 == 0, ".md").otherwise(".txt"))
     docs = read(spark, sf_dir, "documents").select("doc_id", path.alias("path"))
@@ -260,8 +295,7 @@ def nullable_sums(spark, sf_dir):
 
 def exact_duplicates(spark, sf_dir):
     rows = read(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
-    least = F.min("doc_id").over(Window.partitionBy("h"))
-    return rows.select("doc_id", least.alias("first_doc"))
+    return rows.join(rows.groupBy("h").agg(F.min("doc_id").alias("first_doc")), "h").select("doc_id", "first_doc")
 
 
 def full_coverage(spark, sf_dir):
@@ -342,6 +376,6 @@ QUERIES = {
     "rnk5_budgets": budgets, "rnk6_neighbours": neighbours, "rnk10_greedy_options": greedy_options, "rnk13_dual_threshold": dual_threshold, "rnk8_best_source": best_source, "ver7_option_conflicts": option_conflicts, "win5_islands": day_islands, "win6_merged": merged_spans,
     "win7_clashes": clashes, "jn5_overlap": span_overlap, "jn19_enclosing": enclosing, "jn15_next": next_event, "win1_minted_ids": minted_ids, "jn14_greedy_match": greedy_match, "win8_running_budget": running_budget, "grf1_components": order_components, "grf3_leaks": leaking_parts,
     "agg16_telemetry": telemetry, "agg_percentiles": percentiles, "agg8_engineering": engineering, "agg6_extraction": extraction, "agg7_retrieval": retrieval_scores, "agg13_stability": stability, "agg13_agreement": agreement, "msc1_bundle_hash": bundle_hash, "msc6_hash_sample": hash_sample,
-    "prj16_length_strata": length_strata, "prj5_path_scope": path_scope, "par8_target_kinds": target_kinds, "par24_subsets": subsets, "src8_cache": cache_split, "src5_fixture_checks": fixture_checks, "msc9_nullable_sums": nullable_sums, "win10_first_copies": exact_duplicates,
+    "prj16_length_strata": length_strata, "prj15_bounded_metadata": bounded_metadata, "prj18_literal_spans": literal_spans, "prj22_error_stages": error_stages, "snk6_status_rollup": status_rollup, "src9_cache_keys": cache_keys, "par18_cjk_terms": cjk_terms, "prj5_path_scope": path_scope, "par8_target_kinds": target_kinds, "par24_subsets": subsets, "src8_cache": cache_split, "src5_fixture_checks": fixture_checks, "msc9_nullable_sums": nullable_sums, "win10_first_copies": exact_duplicates,
     "jn13_full_coverage": full_coverage, "jn10_best_similar": best_similar, "par9_directives": bound_directives, "par10_visible": visible_texts, "par16_windows": text_windows, "src6_url_problems": url_problems, "par2_markdown": markdown_paragraphs, "par4_citations": markdown_citations, "par11_html_evidence": html_evidence, "ver8_scalar_outcomes": scalar_outcomes, "snk3_sarif": sarif,
 }

@@ -23,18 +23,46 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
+def json_line_problems(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """(path, line_no, problem) of lines that ``json_lines`` would fail on, with 1-based line numbers. Files are read whole, to number their lines."""
+    whole = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\n")).alias("pos", "line"))
+    parsed = F.from_json("line", f"{schema}, __corrupt string", {"columnNameOfCorruptRecord": "__corrupt", "mode": "PERMISSIVE"})
+    bad = whole.where(F.trim("line") != "").withColumn("p", parsed).where(F.col("p").isNull() | F.col("p.__corrupt").isNotNull())
+    return bad.select("path", (F.col("pos") + 1).alias("line_no"), F.lit("malformed").alias("problem"))
+
+
 def markdown_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, text) of whole files."""
     return spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
-def reference_files(spark: SparkSession, path: str, suffixes: list[str], most_bytes: int = 5 << 20) -> DataFrame:
-    """(path, length, sha256, text, problem): files read as bytes; ``problem`` names the first broken rule."""
+def reference_files(spark: SparkSession, path: str, suffixes: list[str], most_bytes: int = 5 << 20, expected: DataFrame | None = None) -> DataFrame:
+    """(path, length, sha256, text, problem): files read as bytes; ``problem`` names the first broken rule.
+
+    ``expected`` (name, sha256) holds the digests that files of these names must have. Empty files are
+    not listed, as Spark's readers pass them over.
+    """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     text = F.try_validate_utf8(F.col("content").cast("string"))
     right = F.greatest(*(F.lower("path").endswith(s) for s in suffixes), F.lit(False))
     problem = F.when(~right, "suffix").when(F.col("length") > most_bytes, "too_large").when(text.isNull(), "not_utf8")
-    return raw.select("path", "length", F.sha2("content", 256).alias("sha256"), F.when(problem.isNull(), text).alias("text"), problem.alias("problem"))
+    found = raw.select("path", "length", F.sha2("content", 256).alias("sha256"), F.when(problem.isNull(), text).alias("text"), problem.alias("problem"))
+    if expected is None:
+        return found
+    wanted = expected.select(F.col("name").alias("__name"), F.col("sha256").alias("__sha256"))
+    named = found.withColumn("__name", F.element_at(F.split("path", "/"), -1)).join(wanted, "__name", "left")
+    named = named.withColumn("problem", F.coalesce("problem", F.when(F.col("__sha256") != F.col("sha256"), "sha256")))
+    return named.withColumn("text", F.when(F.col("problem").isNull(), F.col("text"))).select(*found.columns)
+
+
+def preflight(found: DataFrame) -> DataFrame:
+    """Checked files with ``safe_id`` and ``problem`` extended by duplicate (the same bytes twice) and collision (two files, one id)."""
+    rows = found.withColumn("safe_id", safe_id(F.col("path")))
+    same = rows.groupBy("sha256").agg(F.min("path").alias("__first"))
+    ids = rows.groupBy("safe_id").agg(F.count(F.lit(1)).alias("__n"))
+    joined = rows.join(same, "sha256").join(ids, "safe_id")
+    problem = F.coalesce("problem", F.when(F.col("path") != F.col("__first"), "duplicate").when(F.col("__n") > 1, "collision"))
+    return joined.withColumn("problem", problem).select(*found.columns, "safe_id")
 
 
 def fixture_violations(sources: DataFrame) -> DataFrame:
@@ -71,8 +99,9 @@ def cache_key(fields: dict[str, Column]) -> Column:
 
 def bundle_hash(files: DataFrame, scope: str, order: str, digest: str, path: str) -> DataFrame:
     """SHA-256 over the rows ``<digest>  <path>`` in declared order, per scope."""
-    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.concat(digest, F.lit("  "), path, F.lit("\n")).alias("line"))))
-    return files.groupBy(scope).agg(F.sha2(F.array_join(F.transform(rows, lambda x: x["line"]), ""), 256).alias("bundle_sha256"))
+    from attestra.operators.datasets import ordered_digest
+
+    return ordered_digest(files, scope, [order], F.concat(digest, F.lit("  "), path, F.lit("\n")), "bundle_sha256")
 
 
 def config(path: str, defaults: dict) -> dict:
