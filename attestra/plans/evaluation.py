@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from attestra.functions import text as T
-from attestra.operators import datasets, evaluation, metrics, policy, selection, spans
+from attestra.operators import datasets, evaluation, metrics, policy, rationales, selection, spans
 from attestra.plans.texts import _days, read
 from attestra.plans.texts_sql import _DAYS, _SENT, _WORDS
 
@@ -383,6 +383,28 @@ def search_results(spark, sf_dir):
     return selection.threshold_top(queries.join(stored, "user_id"), "user_id", "value", 0.0, ["event_id"], 5).select("user_id", "event_id", "rank")
 
 
+def _rationale_rows(spark, sf_dir):
+    n = F.col("l_linenumber")
+    return _lines(spark, sf_dir).where("l_suppkey % 2 = 0").select(F.col("l_orderkey").alias("claim"), (F.col("l_partkey") % 50).alias("doc"), F.col("l_partkey").alias("rationale"), F.lit("S").alias("label"), F.array_distinct(F.array(n, (n + F.col("l_suppkey") % 3).cast("int"))).alias("sentences"))
+
+
+def retrieval_protocol(spark, sf_dir):
+    found = _lines(spark, sf_dir).groupBy(F.col("l_orderkey").alias("claim")).agg(F.array_sort(F.collect_set(F.col("l_suppkey") % 60)).alias("docs"))
+    made = rationales.retrieval_scores(read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("claim")), _rationale_rows(spark, sf_dir), found)
+    return made.select("n_claims", "n_evidence_claims", *(F.round(c, 9).alias(c) for c in ("hit_one", "hit_all", "evidence_hit_one", "evidence_hit_all", "mrr", "document_recall")))
+
+
+def rank_statistics(spark, sf_dir):
+    rankings = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("claim"), F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(59).cast("bigint")), lambda x: (x + F.col("o_orderkey")) % 60).alias("docs"))
+    made = rationales.rank_statistics(_rationale_rows(spark, sf_dir), rankings)
+    return made.select("n", F.round("median_rank", 6).alias("median_rank"), F.round("mean_rank", 6).alias("mean_rank"), "least", "most")
+
+
+def best_rationales(spark, sf_dir):
+    predicted = _lines(spark, sf_dir).groupBy(F.col("l_orderkey").alias("claim"), (F.col("l_partkey") % 50).alias("doc")).agg(F.collect_set(F.when(F.col("l_partkey") % 3 != 0, F.col("l_linenumber"))).alias("sentences"))
+    return rationales.best_rationale(_rationale_rows(spark, sf_dir), predicted).select("claim", "doc", F.round("best_f1", 9).alias("best_f1"), "complete")
+
+
 _CLAIMS = f"c AS (SELECT o_custkey, o_orderkey, day AS c_start, day + long + 1 AS c_end, 'type' || o_orderkey % 4 AS t FROM ({_DAYS})), d AS (SELECT o_custkey, o_orderkey AS o, day AS d_start, day + 60 AS d_end, 'since ' || day AS reason FROM ({_DAYS}) WHERE o_orderkey % 9 = 0), f AS (SELECT c.o_custkey, c.o_orderkey, min(d.o) AS o, arg_min(d.reason, d.o) AS reason FROM c JOIN d ON c.o_custkey = d.o_custkey AND c_start < d_end AND d_start < c_end GROUP BY ALL), s AS (SELECT c.o_custkey, c.o_orderkey, CASE WHEN f.o IS NOT NULL THEN 'directive' WHEN t = 'type3' THEN 'claim_type' END AS suppression_kind, 'sup_' || f.o AS suppression_id, coalesce(f.reason, CASE WHEN t = 'type3' THEN 'claim type ignored by policy: type3' END) AS suppression_reason FROM c LEFT JOIN f ON c.o_orderkey = f.o_orderkey)"
 _PLAN = "k AS (SELECT *, o_orderkey % 7 = 0 AS nc, o_orderkey % 3 AS ci, o_orderkey % 8 <> 0 AS done FROM orders), o AS (SELECT *, NOT nc AND ci = 0 AS open1, done AND o_orderkey % 5 <> 0 AND o_orderkey % 2 = 0 AS open2 FROM k), r AS (SELECT *, sum(CASE WHEN open1 THEN 1 ELSE 0 END) OVER w AS n1, sum(CASE WHEN open2 THEN 1 ELSE 0 END) OVER w AS n2 FROM o WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING))"
 _SIDES = "l AS (SELECT l_orderkey, l_linenumber AS n, min(l_partkey) AS k, min(l_suppkey) AS s FROM lineitem GROUP BY ALL), m AS (SELECT *, l_orderkey % 4 AS split, s % 5 <> 0 AS has, s % 5 <> 0 AND s % 3 <> 0 AS exact, CASE WHEN s % 5 = 0 THEN 0 WHEN s % 3 = 0 THEN 2.0 / 3 ELSE 1 END AS score FROM l), over AS (SELECT p.split, count(*) AS n FROM m p JOIN m g ON g.l_orderkey = p.l_orderkey AND g.n = p.n + 1 WHERE p.has AND p.s % 3 = 0 GROUP BY ALL)"
@@ -400,6 +422,8 @@ def _bootstrap_sql(unit: str, units: str, draws: int, seed: int) -> str:
 _F1 = "CASE WHEN len(predicted) = 0 OR len(list_intersect(predicted, x)) = 0 THEN 0.0 ELSE 2.0 * len(list_intersect(predicted, x)) / (len(predicted) + len(x)) END"
 _EVIDENCE = "e AS (SELECT l_orderkey, coalesce(list_sort(list_distinct(list(CAST(l_linenumber AS VARCHAR)) FILTER (l_partkey % 2 = 0))), []) AS predicted, coalesce(list_sort(list_distinct(list(CAST(l_linenumber AS VARCHAR)) FILTER (l_suppkey % 3 = 0))), []) AS r1, coalesce(list_sort(list_distinct(list(CAST(l_linenumber AS VARCHAR)) FILTER (l_suppkey % 5 = 0))), []) AS r2, min(l_returnflag) AS gold, max(l_returnflag) AS label FROM lineitem GROUP BY l_orderkey), r AS (SELECT *, l_orderkey % 3 AS split, [x FOR x IN [r1, r2] IF len(x) > 0] AS rs FROM e)"
 
+_GOLD = "g AS (SELECT l_orderkey AS claim, l_partkey % 50 AS doc, list_distinct([l_linenumber, CAST(l_linenumber + l_suppkey % 3 AS INT)]) AS s FROM lineitem WHERE l_suppkey % 2 = 0)"
+
 QUERIES = {
     "prj8_suppression": suppression, "prj9_effective_policy": effective_policy, "jn6_changed_lines": changed_lines, "jn7_covered_sentences": covered_sentences, "jn8_overlap_counts": overlap_counts, "jn1_join_violations": join_violations, "jn2_outer_sources": outer_sources,
     "jn11_claim_candidates": claim_candidates, "jn12_zipped_turns": zipped_turns, "rnk3_candidate_gate": candidate_gate, "rnk7_full_context": full_context, "rnk9_url_caps": url_caps, "rnk12_threshold_top": threshold_top, "rnk14_top_relation": top_relation, "rnk15_oracle_case": oracle_case,
@@ -407,7 +431,7 @@ QUERIES = {
     "agg14_run_resources": run_resources, "agg15_configuration": configuration, "agg17_document_metrics": document_metrics, "agg18_run_deltas": run_deltas, "agg22_three_way": three_way, "agg23_evidence_scores": evidence_scores, "agg25_over_majority": over_majority, "agg26_arm_efficiency": arm_efficiency,
     "agg27_binned": binned, "agg28_bootstrap": bootstrap, "agg29_cluster_bootstrap": cluster_bootstrap, "agg30_mining_rollup": mining_rollup, "agg31_bag_coverage": bag_coverage, "agg32_majority_labels": majority_labels, "agg11_gate_ladder": gate_ladder, "msc11_selector_gate": selector_gate,
     "msc10_alternation": alternation, "msc14_identity": identity, "msc20_rederived": rederived, "msc21_pooled": pooled, "msc2_split_hashes": split_hashes, "msc4_document_checks": document_checks, "msc5_corpus_checks": corpus_checks, "set6_collisions": collision_checks, "msc7_sentence_groups": sentence_groups,
-    "src14_evidence_pack": evidence_pack, "msc17_budget_guard": budget_guard, "msc18_bound_citations": bound_citations, "win2_heading_counters": heading_counters, "set1_source_sets": source_sets, "src7_search_results": search_results,
+    "src14_evidence_pack": evidence_pack, "msc17_budget_guard": budget_guard, "msc18_bound_citations": bound_citations, "agg19_retrieval_protocol": retrieval_protocol, "agg20_rank_statistics": rank_statistics, "agg24_best_rationales": best_rationales, "win2_heading_counters": heading_counters, "set1_source_sets": source_sets, "src7_search_results": search_results,
 }
 SQL = {
     "prj8_suppression": f"WITH {_CLAIMS} SELECT * FROM s",
@@ -464,6 +488,9 @@ SQL = {
     "msc17_budget_guard": "WITH r AS (SELECT o_orderkey, count(*) OVER w AS n, coalesce(sum(CASE WHEN o_orderkey % 40 <> 0 THEN o_orderkey % 100 END) OVER w, 0) AS t, count(CASE WHEN o_orderkey % 40 <> 0 THEN 1 END) OVER w AS k FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING)) SELECT o_orderkey, n <= 6 AND t <= 300 AND k = n AS allowed FROM r",
     "msc18_bound_citations": "WITH l AS (SELECT l_orderkey AS p, l_linenumber AS n, min(l_partkey) AS k FROM lineitem GROUP BY ALL), c AS (SELECT p, n, n * 100 + 60 AS e, coalesce(lead(n * 100) OVER (PARTITION BY p ORDER BY n), 1001) AS u FROM l), t AS (SELECT p, n, n * 100 + k % 130 AS a FROM l WHERE k % 3 = 0), o AS (SELECT p, count(*) AS m, min(n) AS sole FROM t GROUP BY p), f AS (SELECT c.p, c.n, string_agg(t.n, ',' ORDER BY t.n) AS own FROM c JOIN t ON c.p = t.p AND a >= e AND a < u GROUP BY ALL) SELECT c.p AS paragraph, c.n AS claim, coalesce(own, CASE WHEN m = 1 THEN CAST(sole AS VARCHAR) END, '') AS citations FROM c LEFT JOIN f ON c.p = f.p AND c.n = f.n LEFT JOIN o ON c.p = o.p",
     "set6_collisions": "WITH l AS (SELECT doc_id AS i, text AS t FROM documents WHERE doc_id % 2 = 0), r AS (SELECT doc_id + CASE WHEN doc_id % 9 = 0 THEN 1 ELSE 0 END AS i, CASE WHEN doc_id % 3 = 0 THEN translate(text, 'aeiou', 'AEIOU') ELSE text END AS t FROM documents WHERE doc_id % 2 = 1), k AS (SELECT 'id' AS kind, count(DISTINCT i) AS n FROM l WHERE i IN (SELECT i FROM r) UNION ALL SELECT 'text', count(DISTINCT t) FROM l WHERE t IN (SELECT t FROM r) UNION ALL SELECT 'normalized', count(DISTINCT regexp_replace(lower(trim(t)), '\\s+', ' ', 'g')) FROM l WHERE regexp_replace(lower(trim(t)), '\\s+', ' ', 'g') IN (SELECT regexp_replace(lower(trim(t)), '\\s+', ' ', 'g') FROM r)) SELECT * FROM k WHERE n > 0",
+    "agg19_retrieval_protocol": f"WITH {_GOLD}, d AS (SELECT claim, list_distinct(list(doc)) AS g FROM g GROUP BY claim), p AS (SELECT l_orderkey AS claim, list_sort(list_distinct(list(l_suppkey % 60))) AS p FROM lineitem GROUP BY ALL), b AS (SELECT coalesce(g, []) AS g, coalesce(p, []) AS p FROM orders LEFT JOIN d ON d.claim = o_orderkey LEFT JOIN p ON p.claim = o_orderkey), m AS (SELECT len(g) AS n, len(list_intersect(g, p)) AS k, list_min([i FOR i IN range(1, len(p) + 1) IF list_contains(g, p[i])]) AS f FROM b) SELECT count(*) AS n_claims, count(*) FILTER (n > 0) AS n_evidence_claims, round(count(*) FILTER (k > 0 OR n = 0) / count(*), 9) AS hit_one, round(count(*) FILTER (k = n) / count(*), 9) AS hit_all, round(count(*) FILTER (k > 0) / count(*) FILTER (n > 0), 9) AS evidence_hit_one, round(count(*) FILTER (n > 0 AND k = n) / count(*) FILTER (n > 0), 9) AS evidence_hit_all, round(sum(CASE WHEN n > 0 THEN coalesce(1.0 / f, 0.0) END) / count(*) FILTER (n > 0), 9) AS mrr, round(sum(k) / sum(n), 9) AS document_recall FROM m",
+    "agg20_rank_statistics": f"WITH {_GOLD}, r AS (SELECT CAST(((doc - claim) % 60 + 60) % 60 AS BIGINT) AS r FROM (SELECT DISTINCT claim, doc FROM g) x JOIN orders ON o_orderkey = claim) SELECT count(*) AS n, round(median(r), 6) AS median_rank, round(avg(r), 6) AS mean_rank, min(r) AS least, max(r) AS most FROM r",
+    "agg24_best_rationales": f"WITH {_GOLD}, p AS (SELECT l_orderkey AS claim, l_partkey % 50 AS doc, coalesce(list_distinct(list(l_linenumber) FILTER (l_partkey % 3 <> 0)), []) AS p FROM lineitem GROUP BY ALL) SELECT g.claim, g.doc, round(max(2.0 * len(list_intersect(s, p)) / (len(s) + len(p))), 9) AS best_f1, bool_or(len(list_intersect(s, p)) = len(s)) AS complete FROM g JOIN p ON g.claim = p.claim AND g.doc = p.doc GROUP BY ALL",
     "win2_heading_counters": "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, printf('paragraph_%04d', row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber, l_partkey, l_suppkey)) AS label FROM lineitem",
     "set1_source_sets": "SELECT 'union' AS kind, doc_id FROM (SELECT doc_id FROM documents WHERE doc_id % 2 = 0 UNION SELECT doc_id FROM labels) UNION ALL SELECT 'intersect', doc_id FROM (SELECT doc_id FROM documents WHERE doc_id % 3 = 0 INTERSECT SELECT doc_id FROM labels) UNION ALL SELECT 'difference', doc_id FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels)",
     "src7_search_results": "WITH q AS (SELECT DISTINCT c_custkey % 100 AS user_id FROM customer) SELECT q.user_id, event_id, CAST(row_number() OVER (PARTITION BY q.user_id ORDER BY value DESC, event_id) AS INT) AS rank FROM q JOIN events e ON e.user_id = q.user_id WHERE value >= 0.0 QUALIFY row_number() OVER (PARTITION BY q.user_id ORDER BY value DESC, event_id) <= 5",

@@ -48,9 +48,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over as many partitions as there are cores, where its files give fewer; larger inputs stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """``df`` over as many partitions as there are cores, where it comes from fewer and small files; larger inputs stay as they are."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    if not 0 < len(df.inputFiles()) < cores:
+        return df
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * (128 << 20) else df
 
 
 def drop_written(df: DataFrame) -> None:
