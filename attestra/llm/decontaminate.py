@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attestra.llm.common import field, utf8, written
+from attestra.sources.shared import spread
 
 HITS = "n_words bigint, spans array<array<int>>, items array<string>"
 
@@ -190,7 +191,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "tex
 
 
 def _judged(docs: DataFrame, benchmark: DataFrame, text_col: str, least_share: int, options: dict) -> DataFrame:
-    rows = docs.select(F.struct(*(field(c) for c in docs.columns)).alias("row"), field(text_col).cast("string").alias("text"))
+    rows = spread(docs).select(F.struct(*(field(c) for c in docs.columns)).alias("row"), field(text_col).cast("string").alias("text"))
     found = with_hits(rows, benchmark, **options)
     n_hit = F.aggregate("hits.spans", F.lit(0).cast("bigint"), lambda s, x: s + (x[1] - x[0]))
     # Spark compares strings by their UTF-8 bytes, which is the order of code points

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestra.llm.common import WORD_GAP, field
+from attestra.sources.shared import spread
 
 GAP = " \t\n\x0b\x0c\r"
 SYMBOLS = "[#*$%&|<>]"
@@ -106,7 +107,7 @@ def judge(docs: DataFrame, *, text_col: str = "text", least_words: int = 20, mos
     stays = lambda x: _let(bare(x), lambda line: (line == "") | _line_passes(line))
     doubled = lambda full: (F.size(full) - F.size(F.array_distinct(full))).cast("bigint")
     of_lines = _let(F.split(text, "\n"), lambda lines: F.struct(_let(F.filter(lines, lambda x: bare(x) != ""), doubled).alias("doubled"), F.array_join(F.filter(lines, stays), "\n").alias("clean")))
-    rows = docs.select(F.struct(*(field(c) for c in docs.columns)).alias("row"), of_words.alias("words"), of_lines.alias("lines"), F.regexp_count(text, F.lit(SYMBOLS)).cast("bigint").alias("n_symbols"), field(text_col).isNotNull().alias("given"))
+    rows = spread(docs).select(F.struct(*(field(c) for c in docs.columns)).alias("row"), of_words.alias("words"), of_lines.alias("lines"), F.regexp_count(text, F.lit(SYMBOLS)).cast("bigint").alias("n_symbols"), field(text_col).isNotNull().alias("given"))
     counted = rows.select(
         "row", F.col("words.n").alias("n_words"), F.col("words.chars").alias("word_chars"), "n_symbols", F.col("lines.doubled").alias("n_dup_lines"), F.col("words.repeated").alias("n_repeat_words"),
         F.length(F.regexp_replace("lines.clean", WORD_GAP, "")).alias("left"), F.when(F.col("given"), F.col("lines.clean")).alias("cleaned_text"),

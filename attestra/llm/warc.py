@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from attestra.llm.common import field, type_of
 from attestra.llm.html_text import Node, render, title_of, tree
+from attestra.sources.shared import spread
 
 RECORD = "record_id string, record_type string, target_uri string, warc_date string, headers string, block binary"
 END = b"\r\n\r\n"
@@ -93,7 +94,7 @@ def responses(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url"
             yield _batch(batch.column(0), rows)
 
     key = field(id_col)
-    chosen = pages.select(key.alias("id"), key.cast("string").alias("key"), field(url_col).cast("string").alias("url"), field(html_col).cast("string").alias("html"))
+    chosen = spread(pages).select(key.alias("id"), key.cast("string").alias("key"), field(url_col).cast("string").alias("url"), field(html_col).cast("string").alias("html"))
     return chosen.mapInArrow(run, f"id {type_of(pages, id_col)}, {RECORD}").withColumnRenamed("id", id_col)
 
 
