@@ -52,3 +52,20 @@ def test_empty_documents(spark, tmp_path):
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, str(tmp_path)).collect() == []
+
+
+def test_nulls_ties_and_clashing_columns(spark, tmp_path):
+    """Null languages, ids and texts, repeated rows and columns named like the operators' own pass through every stage."""
+    tables(spark, tmp_path)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    odd = docs.where("doc_id < 3").selectExpr("CAST(NULL AS bigint) AS doc_id", "text", "CAST(NULL AS string) AS lang", "source", "n_chars")
+    docs = docs.unionByName(odd).unionByName(docs.where("doc_id = 7")).selectExpr("*", "1 AS `row`", "'k' AS key", "2 AS l", "3 AS hits", "4 AS best", "5 AS id", "6 AS text_hash", "7 AS words")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        made = stage(spark, docs, str(tmp_path))
+        assert made.dtypes == docs.dtypes
+        made.write.parquet(f"{tmp_path}/odd-{name}")
+        docs = spark.read.parquet(f"{tmp_path}/odd-{name}")
+    rows = docs.collect()
+    assert {tuple(r)[5:] for r in rows} == {(1, "k", 2, 3, 4, 5, 6, 7)}
+    ids = [r.doc_id for r in rows]
+    assert None not in ids and ids.count(7) == 1  # the copy with an id stays, once

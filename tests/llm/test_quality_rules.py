@@ -74,3 +74,23 @@ def test_columns(spark):
     assert quality_rules.judge(docs.limit(0)).collect() == []
     plan = quality_rules.judge(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
+
+
+def test_very_long_text_and_clashing_columns(spark):
+    """A text far over the others is judged whole; columns of any name but the new ones stay as they are."""
+    text = "\n".join(f"Word{k} and word{k + 1} make this line {k} long enough." for k in range(6000)) + "\n" + "\n".join(["Same line of eight words here it is."] * 2)
+    docs = spark.createDataFrame([(1, text, 1, 2, 3, 4), (1, text, 1, 2, 3, 4), (None, None, None, 0, 0, 0)], "doc_id bigint, text string, words int, lines int, `row` int, left int")
+    rows = quality_rules.judge(docs).orderBy("doc_id").collect()
+    assert [(r.words, r.lines, r["row"], r.left) for r in rows[1:]] == [(1, 2, 3, 4)] * 2 and rows[0].cleaned_text is None and not rows[0].kept
+    assert tuple(rows[1][c] for c in NEW) == brute(text) and rows[1].kept and rows[1].cleaned_text == text and rows[1] == rows[2]
+    with pytest.raises(ValueError):
+        quality_rules.judge(docs.withColumnRenamed("words", "KEPT"))
+
+
+def test_boilerplate_in_four_languages(spark):
+    body = "\n".join(f"Line {k}x has word{k} then thing{k} and more{k} at end{k}." for k in range(6))
+    tails = ["Alle Rechte vorbehalten bei uns.", "Tous droits réservés.", "Todos los derechos reservados.", "All rights reserved by us.", "See https://a.example http://b.example www.c.example."]
+    docs = spark.createDataFrame([(k, f"{body}\n{tail}") for k, tail in enumerate(tails)] + [(9, f"{body}\nThe prisoners were released under the bridge, they say.")], "doc_id bigint, text string")
+    got = {r.doc_id: r for r in quality_rules.judge(docs).collect()}
+    assert all(got[k].kept and got[k].cleaned_text == body for k in range(len(tails)))
+    assert got[9].cleaned_text.endswith("they say.")
