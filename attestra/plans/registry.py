@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attestra.plans import claims, evaluation, texts, texts_sql
+from attestra.plans import claims, evaluation, seams, texts, texts_sql
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**claims.QUERIES, **texts.QUERIES, **evaluation.QUERIES}
-SQL: dict[str, str] = {**claims.SQL, **texts_sql.SQL, **evaluation.SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**claims.QUERIES, **texts.QUERIES, **evaluation.QUERIES, **seams.QUERIES}
+SQL: dict[str, str] = {**claims.SQL, **texts_sql.SQL, **evaluation.SQL, **seams.SQL}
