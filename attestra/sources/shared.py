@@ -49,12 +49,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over as many partitions as there are cores, where it comes from fewer and small files; larger inputs stay as they are."""
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    if not 0 < len(df.inputFiles()) < cores:
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) >= cores * (128 << 20):
         return df
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(cores) if size < cores * (128 << 20) else df
+    return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
 
 
 def drop_written(df: DataFrame) -> None:
