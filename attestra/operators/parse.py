@@ -377,6 +377,42 @@ def resolve(cites: DataFrame, definitions: DataFrame) -> DataFrame:
     return joined.withColumn("destination", F.coalesce("destination", "__to")).drop("__to").withColumn("resolved", F.col("destination").isNotNull())
 
 
+# -- plain text ---------------------------------------------------------------
+
+PLAIN = "doc_id bigint, paragraph_id string, line_start int, line_end int, char_start int, char_end int, raw_text string, urls array<struct<url:string,char_start:int,char_end:int,byte_start:int,byte_end:int>>"
+
+
+def plain_blocks(text: str) -> Iterator[tuple]:
+    """Blocks of lines parted by blank ones, with lines, offsets and the URLs inside; URL spans must not be split or edited."""
+    at, block, number = 0, None, 0
+    for line_no, line in enumerate([*text.split("\n"), ""], 1):
+        if line.strip() and line_no <= text.count("\n") + 1:
+            block = block or [line_no, line_no, at, at]
+            block[1], block[3] = line_no, at + len(line)
+        elif block:
+            number += 1
+            first, last, a, b = block
+            urls = []
+            for m in _BARE_URL.finditer(text, a, b):
+                end = m.start() + len(trim_bare_url(m[0]))
+                before = len(text[: m.start()].encode())
+                urls.append({"url": text[m.start() : end], "char_start": m.start(), "char_end": end, "byte_start": before, "byte_end": before + len(text[m.start() : end].encode())})
+            yield f"p_{number:04d}", first, last, a, b, text[a:b], urls
+            block = None
+        at += len(line) + 1
+
+
+def plain_text(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """Paragraphs of plain texts with their URL citations; raw text is shown as it is."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(d, *x) for d, t in zip(batch.iloc[:, 0], batch.iloc[:, 1], strict=True) for x in plain_blocks(t or "")]
+            yield pd.DataFrame(rows, columns=["doc_id", "paragraph_id", "line_start", "line_end", "char_start", "char_end", "raw_text", "urls"])
+
+    return spread(docs).select(F.col(doc).cast("bigint"), text).mapInPandas(run, PLAIN)
+
+
 # -- HTML evidence --------------------------------------------------------------
 
 # Elements and attribute words that mark page furniture, elements without an end, text blocks.
@@ -592,11 +628,3 @@ def scalars(text: str) -> list[dict]:
 @F.pandas_udf(ArrayType(StructType([StructField("kind", StringType()), StructField("raw", StringType()), StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("value", StringType())])))
 def typed_scalars(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: scalars(t or ""))
-
-
-def outcome(claim: Column, evidence: Column) -> Column:
-    """agree, differ or none: whether both texts hold exactly one scalar, of one kind, and of one value."""
-    a, b = typed_scalars(claim), typed_scalars(evidence)
-    one = (F.size(a) == 1) & (F.size(b) == 1)
-    x, y = F.get(a, F.lit(0)), F.get(b, F.lit(0))
-    return F.when(one & (x["kind"] == y["kind"]), F.when(x["value"] == y["value"], "agree").otherwise("differ")).otherwise("none")

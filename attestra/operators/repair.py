@@ -8,15 +8,21 @@ from collections.abc import Iterator
 from datetime import date
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from attestra.functions import text as T
 from attestra.operators.parse import _MONTHS, scalars
+from attestra.operators.spans import clashing
 
 # Currencies before a number and words after one that are no unit.
 _CURRENCY = re.compile(r"(?:([$€£¥₹])[ \t]*|(USD|EUR|GBP|JPY|CNY|RMB|INR)[ \t]+)$")
 _UNIT = re.compile(r"([ \t]*)([A-Za-zµμ°][A-Za-z0-9µμ°²³^*/_-]*)")
-NO_UNITS = set("a an and are as at be been but by can could did do does for from had has have in is may might must of on or should than that the then this to was were which will with would".split())
+NO_UNITS = {
+    "a", "an", "and", "are", "as", "at", "be", "been", "but", "by", "can", "could", "did", "do", "does", "for", "from", "had", "has", "have", "in", "is", "may", "might", "must", "of", "on", "or", "should", "than", "that", "the", "then",
+    "this", "to", "was", "were", "which", "will", "with", "would",
+}
 
 EDIT = "path string, original string, replacement string, char_start int, char_end int, reason string"
 
@@ -129,3 +135,42 @@ def diffs(files: DataFrame, edits: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["path", "status", "diff"])
 
     return files.join(ready, "path").select("path", "text", "edits").mapInPandas(run, "path string, status string, diff string")
+
+
+def signature(claim: str | None, evidence: str | None) -> tuple[str, str, str | None] | None:
+    """(kind, value, unit) of the evidence's scalar, where both texts hold exactly one, of one kind, date family and unit; equal values too."""
+    a, b = scalars(claim or ""), scalars(evidence or "")
+    if len(a) != 1 or len(b) != 1 or a[0]["kind"] != b[0]["kind"] or (a[0]["kind"] == "date" and date_family(a[0]["raw"]) != date_family(b[0]["raw"])):
+        return None
+    unit = unit_of(evidence, b[0])
+    return (b[0]["kind"], b[0]["value"], unit) if unit_of(claim, a[0]) == unit else None
+
+
+@T.arrow("kind string, value string, unit string")
+def outcome_signature(claims: pa.Array, evidence: pa.Array) -> pa.Array:
+    """``signature`` of two text columns, null where there is none: evidence options of one signature agree."""
+    found = [signature(c, e) for c, e in zip(claims.to_pylist(), evidence.to_pylist(), strict=True)]
+    return pa.array([x and dict(zip(("kind", "value", "unit"), x, strict=True)) for x in found], pa.struct([("kind", pa.string()), ("value", pa.string()), ("unit", pa.string())]))
+
+
+def decide(proposals: DataFrame) -> DataFrame:
+    """Proposals with ``status`` and ``reason``: the first check of the ladder that fails, and overlaps within a file, all of which lose.
+
+    Needs proposal_id, path, relation, challenge, exact (both texts are literal), target_exists, target_current,
+    reference_current, occurrences (of the claim in its lines), plan_reason (of ``plan``), protected, char_start, char_end.
+    """
+    twice = proposals.groupBy("proposal_id").agg(F.count(F.lit(1)).alias("n_ids"))
+    plan_reason = F.col("plan_reason")
+    human = lambda reason: F.struct(F.lit("needs_human").alias("status"), reason.alias("reason"))
+    out = lambda status, reason: F.struct(F.lit(status).alias("status"), F.lit(reason).alias("reason"))
+    ladder = (
+        F.when(F.col("n_ids") > 1, out("ineligible", "duplicate_proposal_id")).when(F.col("relation") != "contradicted", out("ineligible", "not_contradicted")).when(F.col("challenge") != "uphold", out("ineligible", "not_upheld"))
+        .when(~F.col("exact"), out("ineligible", "not_exact")).when(~F.col("target_exists"), out("ineligible", "missing_target")).when(~F.col("target_current"), out("stale_target", "target_hash")).when(~F.col("reference_current"), out("stale_reference", "reference_hash"))
+        .when(F.col("occurrences") != 1, human(F.lit("claim_occurrences"))).when(plan_reason.isin("not_one_scalar_each", "kinds_differ", "units_differ"), human(plan_reason)).when(plan_reason == "agrees", out("ineligible", "agrees"))
+        .when(F.col("protected"), human(F.lit("protected_location"))).otherwise(out("ready", "ready"))
+    )
+    judged = proposals.join(twice, "proposal_id").withColumn("d", ladder).select(*proposals.columns, "d.status", "d.reason")
+    ready = clashing(judged.where("status = 'ready'"), "path", "char_start", "char_end")
+    lost = F.col("clashes")
+    ready = ready.withColumns({"status": F.when(lost, "needs_human").otherwise(F.col("status")), "reason": F.when(lost, "overlap").otherwise(F.col("reason"))}).drop("clashes")
+    return ready.unionByName(judged.where("status != 'ready'"))

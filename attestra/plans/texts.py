@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from attestra.functions import text as T
 from attestra.functions.numbers import poisoned_sum
-from attestra.operators import graph, metrics, parse, retrieval, spans, windows
+from attestra.operators import graph, metrics, parse, repair, retrieval, spans, windows
 from attestra.sources import files, web
 
 
@@ -357,10 +357,33 @@ def url_problems(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", web.url_problem(url).alias("problem"))
 
 
+def _scalar_texts():
+    k = F.col("o_orderkey")
+    n = (k % 90 + 10).cast("string")
+    claim = F.when(k % 5 == 0, F.concat(F.lit("It took "), n, F.lit(" ms"))).when(k % 5 == 1, F.concat(F.lit("About "), n, F.lit("% passed"))).when(k % 5 == 2, F.concat(F.lit("Out on 2024-03-"), n)).when(k % 5 == 3, F.concat(F.lit("From 1 to "), n)).otherwise(F.concat(F.lit("Costs $"), n))
+    evidence = F.when(k % 5 == 0, F.concat(F.lit("measured 7 "), F.when(k % 2 == 0, "ms").otherwise("s"))).when(k % 5 == 1, F.lit("a rate of 12.50 %")).when(k % 5 == 2, F.lit("dated 2024/03/05")).when(k % 5 == 3, F.lit("to 9")).otherwise(F.when(k % 2 == 0, "only $ 8").otherwise("only €8"))
+    return claim, evidence
+
+
 def scalar_outcomes(spark, sf_dir):
-    from attestra.plans.claims import pairs
+    made = read(spark, sf_dir, "orders").select("o_orderkey", repair.outcome_signature(*_scalar_texts()).alias("s"))
+    return made.select("o_orderkey", "s.kind", "s.value", "s.unit")
+
+
+def repair_decisions(spark, sf_dir):
+    k = F.col("o_orderkey")
+    rows = _days(spark, sf_dir).select(
+        (k - F.when(k % 101 == 1, 1).otherwise(0)).alias("proposal_id"), k.alias("row"), F.concat(F.lit("f"), F.col("o_custkey").cast("string")).alias("path"), F.when(k % 4 == 0, "entailed").otherwise("contradicted").alias("relation"), F.when(k % 13 == 0, "abstain").otherwise("uphold").alias("challenge"),
+        (k % 17 != 0).alias("exact"), (k % 19 != 0).alias("target_exists"), (k % 23 != 0).alias("target_current"), (k % 29 != 0).alias("reference_current"), (F.lit(1) + (k % 31 == 0).cast("int")).alias("occurrences"),
+        F.when(k % 7 == 0, "units_differ").when(k % 11 == 0, "agrees").otherwise("ready").alias("plan_reason"), (k % 37 == 0).alias("protected"), F.col("day").alias("char_start"), (F.col("day") + F.col("long") + 1).alias("char_end"),
+    )
+    return repair.decide(rows).select("row", "status", "reason")
+
 
-    return pairs(spark, sf_dir).select("case_id", parse.outcome(F.element_at(F.split("claim_text", " since"), 1), F.element_at(F.split("evidence_text", " since"), 1)).alias("outcome"), F.size(parse.typed_scalars(F.col("claim_text"))).alias("n_scalars"))
+def plain_texts(spark, sf_dir):
+    note = F.concat(F.lit("\n  \n"), "text", F.lit("\n\t\nSee https://e.example/a_(b).\nand https://e.example/x) too\n\n"))
+    made = parse.plain_text(read(spark, sf_dir, "documents").select("doc_id", note.alias("text")))
+    return made.select("doc_id", "paragraph_id", "line_start", "line_end", "char_start", "char_end", F.sha2("raw_text", 256).alias("text_hash"), F.array_join(F.transform("urls", lambda u: u["url"]), " ").alias("urls"))
 
 
 def sarif(spark, sf_dir):
@@ -377,5 +400,5 @@ QUERIES = {
     "win7_clashes": clashes, "jn5_overlap": span_overlap, "jn19_enclosing": enclosing, "jn15_next": next_event, "win1_minted_ids": minted_ids, "jn14_greedy_match": greedy_match, "win8_running_budget": running_budget, "grf1_components": order_components, "grf3_leaks": leaking_parts,
     "agg16_telemetry": telemetry, "agg_percentiles": percentiles, "agg8_engineering": engineering, "agg6_extraction": extraction, "agg7_retrieval": retrieval_scores, "agg13_stability": stability, "agg13_agreement": agreement, "msc1_bundle_hash": bundle_hash, "msc6_hash_sample": hash_sample,
     "prj16_length_strata": length_strata, "prj15_bounded_metadata": bounded_metadata, "prj18_literal_spans": literal_spans, "prj22_error_stages": error_stages, "snk6_status_rollup": status_rollup, "src9_cache_keys": cache_keys, "par18_cjk_terms": cjk_terms, "prj5_path_scope": path_scope, "par8_target_kinds": target_kinds, "par24_subsets": subsets, "src8_cache": cache_split, "src5_fixture_checks": fixture_checks, "msc9_nullable_sums": nullable_sums, "win10_first_copies": exact_duplicates,
-    "jn13_full_coverage": full_coverage, "jn10_best_similar": best_similar, "par9_directives": bound_directives, "par10_visible": visible_texts, "par16_windows": text_windows, "src6_url_problems": url_problems, "par2_markdown": markdown_paragraphs, "par4_citations": markdown_citations, "par11_html_evidence": html_evidence, "ver8_scalar_outcomes": scalar_outcomes, "snk3_sarif": sarif,
+    "jn13_full_coverage": full_coverage, "jn10_best_similar": best_similar, "par9_directives": bound_directives, "par10_visible": visible_texts, "par16_windows": text_windows, "src6_url_problems": url_problems, "par2_markdown": markdown_paragraphs, "par4_citations": markdown_citations, "par11_html_evidence": html_evidence, "ver8_scalar_outcomes": scalar_outcomes, "ver10_repair_decisions": repair_decisions, "src2_plain_text": plain_texts, "snk3_sarif": sarif,
 }

@@ -104,4 +104,15 @@ SQL = {
     "snk6_status_rollup": "SELECT o_custkey, CASE WHEN bool_and(o_orderkey % 3 = 0) THEN 'fatal' WHEN bool_or(o_orderkey % 3 = 0) THEN 'partial' ELSE 'complete' END AS rollup FROM orders GROUP BY o_custkey",
     "src9_cache_keys": "SELECT c_custkey, sha256(concat('{\"claim\":\"', c_name, '\",\"model\":\"', c_mktsegment, '\",\"version\":', c_custkey, '}')) AS cache_key FROM customer",
     "par18_cjk_terms": "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN '产品 品性 性能 能很 很好 产品性 品性能 性能很 能很好' ELSE '产品 品性 性能 产品性 品性能' END || ' 评测' AS terms FROM part",
+    "ver8_scalar_outcomes": """SELECT o_orderkey, CASE WHEN k = 0 AND e THEN 'integer' WHEN k = 1 THEN 'percentage' WHEN k = 2 AND n <= 31 THEN 'date' WHEN k = 4 AND e THEN 'integer' END AS kind, CASE WHEN k = 0 AND e THEN '7' WHEN k = 1 THEN '12.5' WHEN k = 2 AND n <= 31 THEN '2024-03-05' WHEN k = 4 AND e THEN '8' END AS value,
+      CASE WHEN k = 0 AND e THEN 'suffix:ms' WHEN k = 1 THEN 'suffix:%' WHEN k = 4 AND e THEN 'prefix:$' END AS unit FROM (SELECT o_orderkey, o_orderkey % 5 AS k, o_orderkey % 2 = 0 AS e, o_orderkey % 90 + 10 AS n FROM orders)""",
+    "ver10_repair_decisions": f"""WITH p AS (SELECT *, o_orderkey - CASE WHEN o_orderkey % 101 = 1 THEN 1 ELSE 0 END AS id FROM ({_DAYS})), n AS (SELECT id, count(*) AS n FROM p GROUP BY id),
+      l AS (SELECT p.o_orderkey AS k, o_custkey, day, day + long + 1 AS last, CASE WHEN n > 1 THEN 'ineligible:duplicate_proposal_id' WHEN k % 4 = 0 THEN 'ineligible:not_contradicted' WHEN k % 13 = 0 THEN 'ineligible:not_upheld' WHEN k % 17 = 0 THEN 'ineligible:not_exact' WHEN k % 19 = 0 THEN 'ineligible:missing_target' WHEN k % 23 = 0 THEN 'stale_target:target_hash'
+        WHEN k % 29 = 0 THEN 'stale_reference:reference_hash' WHEN k % 31 = 0 THEN 'needs_human:claim_occurrences' WHEN k % 7 = 0 THEN 'needs_human:units_differ' WHEN k % 11 = 0 THEN 'ineligible:agrees' WHEN k % 37 = 0 THEN 'needs_human:protected_location' ELSE 'ready:ready' END AS d FROM p JOIN n ON p.id = n.id),
+      r AS (SELECT k, d, d = 'ready:ready' AND EXISTS (SELECT 1 FROM l o WHERE o.d = 'ready:ready' AND o.o_custkey = l.o_custkey AND o.k <> l.k AND o.day < l.last AND l.day < o.last) AS lost FROM l)
+      SELECT k AS row, CASE WHEN lost THEN 'needs_human' ELSE split_part(d, ':', 1) END AS status, CASE WHEN lost THEN 'overlap' ELSE split_part(d, ':', 2) END AS reason FROM r""",
+    "src2_plain_text": """WITH d AS (SELECT doc_id, chr(10) || '  ' || chr(10) || text || chr(10) || chr(9) || chr(10) || 'See https://e.example/a_(b).' || chr(10) || 'and https://e.example/x) too' || chr(10) || chr(10) AS t FROM documents),
+      s AS (SELECT doc_id, t, string_split(t, chr(10)) AS s FROM d), l AS (SELECT doc_id, t, unnest(s) AS line, unnest(range(1, len(s) + 1)) AS k FROM s), o AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM l),
+      b AS (SELECT *, k - row_number() OVER (PARTITION BY doc_id ORDER BY k) AS run FROM o WHERE regexp_matches(line, '[^\\s]')), g AS (SELECT doc_id, any_value(t) AS t, min(k) AS f, max(k) AS e, min(a) AS a, max(a + length(line)) AS z FROM b GROUP BY doc_id, run)
+      SELECT doc_id, printf('p_%04d', row_number() OVER (PARTITION BY doc_id ORDER BY f)) AS paragraph_id, CAST(f AS INT) AS line_start, CAST(e AS INT) AS line_end, CAST(a AS INT) AS char_start, CAST(z AS INT) AS char_end, sha256(t[CAST(a + 1 AS BIGINT):CAST(z AS BIGINT)]) AS text_hash, CASE WHEN e = max(e) OVER (PARTITION BY doc_id) THEN 'https://e.example/a_(b) https://e.example/x' ELSE '' END AS urls FROM g""",
 }

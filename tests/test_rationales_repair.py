@@ -64,3 +64,25 @@ def test_subset_judge_and_gate(spark):
     assert got == {1: ("entailed", [0]), 2: ("conflict", None), 3: ("not_in_source", None), 4: ("contradicted", [0]), 5: ("not_in_source", None)}
     row = verdicts.gate(spark.createDataFrame([(0.7, None)], "a double, b double"), {"a": 0.7, "b": 0.1}).first()
     assert (row.under_floor, row.achieved) == (["b"], False)
+
+
+def test_outcome_signatures():
+    from attestra.operators.repair import signature
+
+    assert signature("took 5 ms", "about 7 ms") == ("integer", "7", "suffix:ms") == signature("took 7 ms", "about 7 ms")
+    assert signature("took 5 ms", "about 7 s") is None and signature("5 of 6", "7") is None and signature(None, "7") is None
+    assert signature("on 2024-01-02", "on 2024/3/4") is None and signature("on 2024-01-02", "on 3 March 2024") is None
+    assert signature("$ 5", "$6.50") is None and signature("$ 5.0", "$6.50") == ("decimal", "6.5", "prefix:$")
+
+
+def test_plain_blocks():
+    from attestra.operators.parse import plain_blocks
+
+    text = "\n a é https://x.example/y.\nb\n \n\nc https://z.example"
+    blocks = list(plain_blocks(text))
+    assert [(x[0], x[1], x[2]) for x in blocks] == [("p_0001", 2, 3), ("p_0002", 6, 6)]
+    assert all(text[a:b] == raw for _, _, _, a, b, raw, _ in blocks)
+    urls = [u for x in blocks for u in x[6]]
+    assert [u["url"] for u in urls] == ["https://x.example/y", "https://z.example"]
+    assert all(text[u["char_start"] : u["char_end"]] == u["url"] == text.encode()[u["byte_start"] : u["byte_end"]].decode() for u in urls)
+    assert list(plain_blocks("")) == list(plain_blocks("\n \n")) == []
