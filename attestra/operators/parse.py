@@ -12,6 +12,7 @@ from datetime import date
 from decimal import Decimal
 from html import unescape
 from html.parser import HTMLParser
+from itertools import accumulate
 
 import pandas as pd
 import pyarrow as pa
@@ -24,11 +25,28 @@ from attestra.sources.shared import spread
 
 
 def lines(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, line_no, offset_start, offset_end, line): 1-based lines with half-open character offsets."""
-    each = docs.select(doc, F.posexplode(F.split(text, "\n")).alias("pos", "line"))
-    before = F.sum(F.length("line") + 1).over(Window.partitionBy(doc).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))
-    start = F.coalesce(before, F.lit(0))
-    return each.select(doc, (F.col("pos") + 1).alias("line_no"), start.alias("offset_start"), (start + F.length("line")).alias("offset_end"), "line")
+    """(doc, line_no, offset_start, offset_end, line): 1-based lines with half-open character offsets; null text has none.
+
+    A text's lines are numbered where the text is read, so no line is shuffled.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, starts, made, numbers = [], [], [], []
+            for k, value in enumerate(batch.column(1).to_pylist()):
+                if value is None:
+                    continue
+                each = value.split("\n")
+                ends = list(accumulate(len(x) + 1 for x in each))
+                rows += [k] * len(each)
+                numbers += range(1, len(each) + 1)
+                starts += [0, *ends[:-1]]
+                made += each
+            stops = [a + len(x) for a, x in zip(starts, made, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(numbers, pa.int32()), pa.array(starts, pa.int64()), pa.array(stops, pa.int64()), pa.array(made, pa.string())], names=["doc", "line_no", "offset_start", "offset_end", "line"])
+
+    kind = docs.schema[doc].dataType.simpleString()
+    return spread(docs).select(F.col(doc).alias("doc"), text).mapInArrow(run, f"doc {kind}, line_no int, offset_start bigint, offset_end bigint, line string").withColumnRenamed("doc", doc)
 
 
 def line_of(text: Column, offset: Column) -> Column:
