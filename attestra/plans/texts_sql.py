@@ -115,4 +115,16 @@ SQL = {
       s AS (SELECT doc_id, t, string_split(t, chr(10)) AS s FROM d), l AS (SELECT doc_id, t, unnest(s) AS line, unnest(range(1, len(s) + 1)) AS k FROM s), o AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM l),
       b AS (SELECT *, k - row_number() OVER (PARTITION BY doc_id ORDER BY k) AS run FROM o WHERE regexp_matches(line, '[^\\s]')), g AS (SELECT doc_id, any_value(t) AS t, min(k) AS f, max(k) AS e, min(a) AS a, max(a + length(line)) AS z FROM b GROUP BY doc_id, run)
       SELECT doc_id, printf('p_%04d', row_number() OVER (PARTITION BY doc_id ORDER BY f)) AS paragraph_id, CAST(f AS INT) AS line_start, CAST(e AS INT) AS line_end, CAST(a AS INT) AS char_start, CAST(z AS INT) AS char_end, sha256(t[CAST(a + 1 AS BIGINT):CAST(z AS BIGINT)]) AS text_hash, CASE WHEN e = max(e) OVER (PARTITION BY doc_id) THEN 'https://e.example/a_(b) https://e.example/x' ELSE '' END AS urls FROM g""",
+    "jn14_greedy_match": f"""WITH RECURSIVE t AS (SELECT conv_id, turn, {_SENT.format('text')} AS s FROM conversations), e AS (SELECT conv_id, turn, CAST(unnest(range(0, len(s))) AS INT) AS k, unnest([{_WORDS.format('x')} FOR x IN s]) AS w FROM t),
+      f AS (SELECT a.conv_id AS conv, a.turn, a.k AS l, b.k AS r, round(CASE WHEN len(a.w) = 0 AND len(b.w) = 0 THEN 1.0 WHEN len(list_intersect(a.w, b.w)) = 0 THEN 0.0 ELSE 2.0 * len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w)) END, 9) AS score FROM e a JOIN e b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1),
+      c AS (SELECT *, row_number() OVER (PARTITION BY conv, turn ORDER BY score DESC, l, r) AS k FROM f WHERE score > 0),
+      g(conv, turn, k, ls, rs, ok) AS (SELECT conv, turn, k, [l], [r], true FROM c WHERE k = 1 UNION ALL SELECT c.conv, c.turn, c.k, CASE WHEN list_contains(ls, l) OR list_contains(rs, r) THEN ls ELSE list_append(ls, l) END, CASE WHEN list_contains(ls, l) OR list_contains(rs, r) THEN rs ELSE list_append(rs, r) END, NOT (list_contains(ls, l) OR list_contains(rs, r)) FROM g JOIN c ON c.conv = g.conv AND c.turn = g.turn AND c.k = g.k + 1)
+      SELECT c.conv, c.turn, l, r, round(score, 6) AS score FROM c JOIN g ON c.conv = g.conv AND c.turn = g.turn AND c.k = g.k WHERE ok""",
+    "par12_bounded_chunks": r"""WITH RECURSIVE d AS (SELECT doc_id, text AS t, length(text) AS n FROM documents), c(doc_id, a, e, nxt) AS (
+      SELECT doc_id, CAST(-1 AS BIGINT), CAST(-1 AS BIGINT), CAST(0 AS BIGINT) FROM d
+      UNION ALL SELECT doc_id, a, a + length(regexp_replace(substr(t, a + 1, CAST(z - a AS INT)), '\s+$', '')), z FROM (
+        SELECT doc_id, t, a, CASE WHEN a + 400 < n AND w > 0 THEN a + w ELSE least(a + 400, n) END AS z FROM (
+          SELECT doc_id, t, n, a, length(regexp_extract(substr(t, a + 2, 400), '(?s)^(.*)[ \n\t]', 1)) + CASE WHEN regexp_matches(substr(t, a + 2, 400), '[ \n\t]') THEN 1 ELSE 0 END AS w FROM (
+            SELECT c.doc_id, t, n, nxt + length(regexp_extract(substr(t, nxt + 1), '^\s*')) AS a FROM c JOIN d ON c.doc_id = d.doc_id WHERE nxt < n) WHERE a < n)))
+      SELECT doc_id, count(*) AS n_chunks, CAST(max(e - a) AS INT) AS longest, CAST(max(e) AS INT) AS last_end FROM c WHERE a >= 0 GROUP BY doc_id""",
 }
