@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import zlib
@@ -18,7 +19,7 @@ from attestra.llm.common import field, table_path, type_of, utf8
 from attestra.sources.shared import spread
 
 #: Words whose ids a worker keeps; beyond it, its store is emptied and refilled.
-STEMS_KEPT, WORDS_KEPT = 500_000, 700_000
+WORDS_KEPT = 1_100_000
 #: Texts whose new words are encoded in one call.
 TEXTS_TOGETHER = 64
 #: A word's letters and a run of ASCII signs after them that no contraction rule can claim.
@@ -30,6 +31,33 @@ def _folded(text: bytes) -> bytes:
     return text if b"\xcc" in text or b"\xcd" in text else text.lower()
 
 
+class _Words(dict):
+    """Ids of words, each made once while it is kept.
+
+    Lower-case ASCII letters reach the model unchanged, so where the tokenizer marks word ends the model
+    is asked alone; letters and the signs after them are made from the ids of both. Other words are
+    noted, to be encoded many at a time.
+    """
+
+    def __init__(self, model) -> None:
+        self.model, self.wanted = model, []
+
+    def __missing__(self, word: bytes) -> bytes | None:
+        folded = word.lower() if word.isascii() else word
+        if self.model is not None and folded.isalpha():
+            ids = array("I", [x.id for x in self.model.tokenize(folded.decode())]).tobytes()
+        elif cut := None if folded.isalpha() else _TAIL.match(folded):
+            letters, signs = self[cut[1]], self[cut[2]]
+            ids = None if letters is None or signs is None else letters + signs
+        else:
+            ids = None
+        if ids is None:
+            self.wanted.append(word)
+        else:
+            self[word] = ids
+        return ids
+
+
 class WordEncoder:
     """Ids of a text, word by word.
 
@@ -46,25 +74,15 @@ class WordEncoder:
         probe = self.tokenizer.encode("Ab  cD\nE.f", add_special_tokens=False).ids
         if probe != [x for w in ("ab", "cd", "e.f") for x in self.tokenizer.encode(w, add_special_tokens=False).ids]:
             raise ValueError(f"{path} does not fold case and drop white space")
-        self.stems: dict[bytes, bytes] = {}
-        self.words: dict[bytes, bytes] = {}
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         self.ends = {k for word, k in self.tokenizer.get_vocab().items() if word.endswith(suffix)} if suffix else None
+        self.words = _Words(self.tokenizer.model if suffix else None)
 
-    def _encode(self, stems: list[bytes]) -> Iterator[tuple[bytes, list[int]]]:
-        """The ids of each stem, by the shortest way through the library.
-
-        Where the tokenizer marks word ends, lower-case ASCII letters reach its model unchanged, so the
-        model is asked alone; and other words of letters are encoded many at a time and parted at the marks.
-        """
+    def _encode(self, words: list[bytes]) -> Iterator[tuple[bytes, list[int]]]:
+        """The ids of each word; words of letters are encoded many at a time and parted at the marks of word ends."""
         rest, letters = [], []
-        for stem in stems:
-            if self.ends is None:
-                rest.append(stem)
-            elif stem.isalpha() and stem.islower():
-                yield stem, [x.id for x in self.tokenizer.model.tokenize(stem.decode())]
-            else:
-                (letters if stem.decode().isalpha() else rest).append(stem)
+        for word in words:
+            (letters if self.ends is not None and word.decode().isalpha() else rest).append(word)
         groups = [letters[k : k + 50] for k in range(0, len(letters), 50)]
         for group, got in zip(groups, self.tokenizer.encode_batch_fast([b" ".join(g).decode() for g in groups], add_special_tokens=False), strict=True):
             ids = got.ids
@@ -73,37 +91,35 @@ class WordEncoder:
                 yield from zip(group, (ids[a:b] for a, b in zip([0, *cuts], cuts, strict=False)), strict=True)
             else:
                 rest += group
-        for stem, got in zip(rest, self.tokenizer.encode_batch_fast([x.decode() for x in rest], add_special_tokens=False), strict=True):
-            yield stem, got.ids
-
-    def _learn(self, fresh: list[bytes]) -> dict[bytes, bytes]:
-        """The ids of words that are not kept yet. ASCII letters and the signs after them are separate pieces to the tokenizer."""
-        if len(self.words) > WORDS_KEPT:
-            self.words.clear()
-        if len(self.stems) > STEMS_KEPT:
-            self.stems.clear()
-        parts, stems = [], self.stems
-        for word in fresh:
-            folded = word.lower() if word.isascii() else word
-            cut = None if folded.isalpha() else _TAIL.match(folded)
-            parts.append(cut.groups() if cut else (folded,))
-        for stem, ids in self._encode([x for x in {p for some in parts for p in some} if x not in stems]):
-            stems[stem] = array("I", ids).tobytes()
-        made = {word: stems[some[0]] if len(some) == 1 else stems[some[0]] + stems[some[1]] for word, some in zip(fresh, parts, strict=True)}
-        self.words.update(made)
+        for word, got in zip(rest, self.tokenizer.encode_batch_fast([x.decode() for x in rest], add_special_tokens=False), strict=True):
+            yield word, got.ids
+
+    def _learn(self, wanted: list[bytes]) -> dict[bytes, bytes]:
+        """The ids of the noted words: of their parts first, where they have two."""
+        parts = {w: cut.groups() if (cut := None if w.isalpha() else _TAIL.match(w.lower() if w.isascii() else w)) else (w,) for w in wanted}
+        words = self.words
+        fresh = {p for some in parts.values() for p in some if p not in words}
+        words.update({p: array("I", ids).tobytes() for p, ids in self._encode([*fresh])})
+        made = {w: b"".join([words[p] for p in some]) for w, some in parts.items()}
+        words.update(made)
         return made
 
     def encode_all(self, texts: list[bytes | None]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
+        words = self.words
         for k in range(0, len(texts), TEXTS_TOGETHER):
-            known = self.words.get
             split = [_folded(x).split() if x else [] for x in texts[k : k + TEXTS_TOGETHER]]
-            found = [[*map(known, words)] for words in split]
-            gaps = [None in ids for ids in found]
-            fresh = {w for words, ids, gap in zip(split, found, gaps, strict=True) if gap for w, x in zip(words, ids, strict=True) if x is None}
-            made = self._learn(list(fresh)) if fresh else {}
-            for words, ids, gap in zip(split, found, gaps, strict=True):
-                yield b"".join([made[w] if x is None else x for w, x in zip(words, ids, strict=True)] if gap else ids)
+            found, gaps = [], []
+            for some in split:
+                before = len(words.wanted)
+                found.append([*map(words.__getitem__, some)])
+                gaps.append(len(words.wanted) > before)
+            made = self._learn([*{*words.wanted}]) if words.wanted else {}
+            words.wanted.clear()
+            if len(words) > WORDS_KEPT:
+                words.clear()
+            for some, ids, gap in zip(split, found, gaps, strict=True):
+                yield b"".join([made[w] if x is None else x for w, x in zip(some, ids, strict=True)] if gap else ids)
 
     def encode(self, text: bytes | None) -> bytes:
         return next(self.encode_all([text]))
@@ -111,7 +127,8 @@ class WordEncoder:
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> WordEncoder:
-    """One encoder per worker process, kept from task to task."""
+    """One encoder per worker process, kept from task to task. Its store holds no cycles, so the worker looks for them less often."""
+    gc.set_threshold(200_000, 50, 100)
     return WordEncoder(path)
 
 
@@ -144,12 +161,12 @@ def pieces(docs: DataFrame, tokenizer: str, *, end_id: int = 0, capacity: int =
     return spread(docs).select(field(id_col).alias("id"), field(text_col).cast("string").alias("text")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
-#: Bytes of text that go into one token file, about, where the session's partitions would make larger ones.
-FILE_TEXT = 256 << 20
+#: Bytes of input that go into one token file, about, where the session's partitions would make larger ones.
+FILE_BYTES = 256 << 20
 #: Settings of the token files: row groups, pages and rows a page are held small enough that the page
 #: index leads to a few pages; token ids take the dictionary, ordered numbers delta encoding.
 FILE_OPTIONS = {
-    "compression": "zstd", "parquet.writer.version": "v2", "parquet.block.size": str(32 << 20), "parquet.page.size": str(256 << 10), "parquet.page.row.count.limit": "2000",
+    "compression": "lz4_raw", "parquet.writer.version": "v2", "parquet.block.size": str(32 << 20), "parquet.page.size": str(256 << 10), "parquet.page.row.count.limit": "2000",
     "parquet.enable.dictionary": "true", "parquet.enable.dictionary#doc_id": "false", "parquet.enable.dictionary#local_start": "false", "parquet.enable.dictionary#n_tokens": "false", "parquet.dictionary.page.size": str(1 << 20),
 }
 
@@ -169,8 +186,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, *, end_id: int
     base = docs.select(field(id_col).alias("id"), text.alias("text"), F.crc32(text).alias("crc"), F.octet_length(text).alias("size"))
     keys = ["id", "crc", "size"]
     if files is None:
-        whole = base.agg(F.sum("size")).first()[0] or 0
-        files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-whole // FILE_TEXT))
+        whole = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())  # of the files; far too large where it is not known
+        files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-whole // FILE_BYTES) if whole < 1 << 60 else 0)
     base = base.repartitionByRange(files, *keys).sortWithinPartitions(*keys)
     base.mapInArrow(_numbered_tokens(tokenizer, end_id), f"doc_id {kind}, file int, local_start bigint, n_tokens bigint, tokens array<int>").write.options(**FILE_OPTIONS).parquet(path)
 

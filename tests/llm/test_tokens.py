@@ -42,7 +42,6 @@ def test_cases(tokenizer, text):
 
 def test_kept_words_are_bounded(tokenizer, monkeypatch):
     monkeypatch.setattr(tokens, "WORDS_KEPT", 5)
-    monkeypatch.setattr(tokens, "STEMS_KEPT", 5)
     code = tokens.WordEncoder(tokenizer_path())
     for text in ["one two three four five six seven.", "eight nine ten one two, ten", "one one eleven twelve thirteen fourteen"]:
         assert np.frombuffer(code.encode(text.encode()), "<u4").tolist() == ids(tokenizer, text)
