@@ -323,6 +323,11 @@ def markdown_paragraphs(spark, sf_dir):
     return parse.markdown_paragraphs(markdown_of(spark, sf_dir))
 
 
+def markdown_block_spans(spark, sf_dir):
+    made = parse.markdown_paragraphs(markdown_of(spark, sf_dir))
+    return made.select("doc_id", "ordinal", "kind", "line_start", "line_end", F.array_join("heading_path", " > ").alias("heading"), F.sha2("raw_text", 256).alias("raw_hash"))
+
+
 def markdown_citations(spark, sf_dir):
     notes = markdown_of(spark, sf_dir)
     return parse.resolve(parse.markdown_citations(notes), parse.markdown_definitions(notes))
@@ -357,6 +362,12 @@ def url_problems(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", web.url_problem(url).alias("problem"))
 
 
+def html_paragraphs(spark, sf_dir):
+    """The evidence blocks before they are cut into bounded chunks."""
+    made = parse.html_blocks(read(spark, sf_dir, "pages"), chars=10**7, size=4 * 10**7)
+    return made.select("page_id", "title", "ordinal", F.array_join("heading_path", " > ").alias("heading"), "locator", F.sha2("text", 256).alias("text_hash"), "char_start", "char_end")
+
+
 def _scalar_texts():
     k = F.col("o_orderkey")
     n = (k % 90 + 10).cast("string")
@@ -400,5 +411,5 @@ QUERIES = {
     "win7_clashes": clashes, "jn5_overlap": span_overlap, "jn19_enclosing": enclosing, "jn15_next": next_event, "win1_minted_ids": minted_ids, "jn14_greedy_match": greedy_match, "win8_running_budget": running_budget, "grf1_components": order_components, "grf3_leaks": leaking_parts,
     "agg16_telemetry": telemetry, "agg_percentiles": percentiles, "agg8_engineering": engineering, "agg6_extraction": extraction, "agg7_retrieval": retrieval_scores, "agg13_stability": stability, "agg13_agreement": agreement, "msc1_bundle_hash": bundle_hash, "msc6_hash_sample": hash_sample,
     "prj16_length_strata": length_strata, "prj15_bounded_metadata": bounded_metadata, "prj18_literal_spans": literal_spans, "prj22_error_stages": error_stages, "snk6_status_rollup": status_rollup, "src9_cache_keys": cache_keys, "par18_cjk_terms": cjk_terms, "prj5_path_scope": path_scope, "par8_target_kinds": target_kinds, "par24_subsets": subsets, "src8_cache": cache_split, "src5_fixture_checks": fixture_checks, "msc9_nullable_sums": nullable_sums, "win10_first_copies": exact_duplicates,
-    "jn13_full_coverage": full_coverage, "jn10_best_similar": best_similar, "par9_directives": bound_directives, "par10_visible": visible_texts, "par16_windows": text_windows, "src6_url_problems": url_problems, "par2_markdown": markdown_paragraphs, "par4_citations": markdown_citations, "par11_html_evidence": html_evidence, "ver8_scalar_outcomes": scalar_outcomes, "ver10_repair_decisions": repair_decisions, "src2_plain_text": plain_texts, "snk3_sarif": sarif,
+    "jn13_full_coverage": full_coverage, "jn10_best_similar": best_similar, "par9_directives": bound_directives, "par10_visible": visible_texts, "par16_windows": text_windows, "src6_url_problems": url_problems, "par2_markdown": markdown_paragraphs, "par2_block_spans": markdown_block_spans, "par4_citations": markdown_citations, "par11_html_evidence": html_evidence, "par11_html_paragraphs": html_paragraphs, "ver8_scalar_outcomes": scalar_outcomes, "ver10_repair_decisions": repair_decisions, "src2_plain_text": plain_texts, "snk3_sarif": sarif,
 }

