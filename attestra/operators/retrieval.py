@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from attestra.functions import text as T
 
 
-def chunk_terms(chunks: DataFrame, scope: str = "source_id", chunk: str = "chunk_id", text: str = "text") -> DataFrame:
-    """(scope, chunk, term, tf) of all chunks."""
+def chunk_terms(chunks: DataFrame, scope: str = "source_id", chunk: str = "chunk_id", text: str = "text", wanted: DataFrame | None = None) -> DataFrame:
+    """(scope, chunk, term, tf) of all chunks, or of those terms alone that ``wanted`` (scope, term) has."""
     exploded = chunks.select(scope, chunk, F.explode(T.tokens(F.col(text))).alias("term"))
+    exploded = exploded if wanted is None else exploded.join(wanted.select(scope, "term").distinct(), [scope, "term"], "left_semi")
     return exploded.groupBy(scope, chunk, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -21,10 +22,10 @@ def bm25(queries: DataFrame, chunks: DataFrame, scope: str = "source_id", query:
     each date, version or percent literal of the query that a chunk contains adds 8. Only scores
     over zero are returned.
     """
-    terms = chunk_terms(chunks, scope, chunk, text)
+    wanted = queries.select(scope, query, F.explode(T.tokens(F.col("query_text"))).alias("term")).groupBy(scope, query, "term").agg(F.count(F.lit(1)).alias("qf"))
+    terms = chunk_terms(chunks, scope, chunk, text, wanted)  # other terms neither score nor count
     df = terms.groupBy(scope, "term").agg(F.count(F.lit(1)).alias("df"))
     total = chunks.groupBy(scope).agg(F.count(F.lit(1)).alias("n"))
-    wanted = queries.select(scope, query, F.explode(T.tokens(F.col("query_text"))).alias("term")).groupBy(scope, query, "term").agg(F.count(F.lit(1)).alias("qf"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     hits = wanted.join(df, [scope, "term"]).join(total, scope).join(terms, [scope, "term"])
     scored = hits.groupBy(scope, query, chunk).agg(F.sum(F.col("qf") * idf * F.col("tf") * 2.2 / (F.col("tf") + 1.2)).alias("lexical"))

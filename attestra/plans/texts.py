@@ -9,6 +9,7 @@ from attestra.functions import text as T
 from attestra.functions.numbers import poisoned_sum
 from attestra.operators import graph, metrics, parse, repair, retrieval, spans, windows
 from attestra.sources import files, web
+from attestra.sources.shared import spread
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,7 +32,7 @@ def sentence_chunks(spark, sf_dir):
 
 
 def latin_tokens(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents")
+    docs = spread(read(spark, sf_dir, "documents"))
     each = docs.select(F.explode(T.tokens(F.col("text"))).alias("term"))
     return each.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
@@ -48,7 +49,7 @@ def bounded_chunks(spark, sf_dir):
 def bench_cases(spark, sf_dir):
     """The first sentences of benchmark passages as queries, every sentence of every document as a chunk; documents and queries are dealt into five sources."""
     queries = read(spark, sf_dir, "benchmark").select((F.col("item_id") % 5).alias("source_id"), F.col("item_id").alias("query_id"), F.concat(F.element_at(T.sentences(F.col("text")), 1), F.lit(" v1.2 50%")).alias("query_text"))
-    chunks = read(spark, sf_dir, "documents").select((F.col("doc_id") % 5).alias("source_id"), (F.col("doc_id") * 100000).alias("base"), F.posexplode(T.sentences(F.col("text"))).alias("k", "text"))
+    chunks = spread(read(spark, sf_dir, "documents")).select((F.col("doc_id") % 5).alias("source_id"), (F.col("doc_id") * 100000).alias("base"), F.posexplode(T.sentences(F.col("text"))).alias("k", "text"))
     return queries, chunks.select("source_id", (F.col("base") + F.col("k")).alias("chunk_id"), "text")
 
 
@@ -307,7 +308,7 @@ def full_coverage(spark, sf_dir):
 def best_similar(spark, sf_dir):
     """For each benchmark passage the most similar document by shared words."""
     items = read(spark, sf_dir, "benchmark").select("item_id", T.token_set(F.col("text")).alias("words"))
-    docs = read(spark, sf_dir, "documents").select("doc_id", T.token_set(F.col("text")).alias("words"))
+    docs = spread(read(spark, sf_dir, "documents")).select("doc_id", T.token_set(F.col("text")).alias("words"))
     made = retrieval.best_similar(items, docs, "item_id", "doc_id", "words", 0.1)
     return made.select("item_id", "doc_id", F.round("jaccard", 9).alias("jaccard"))
 
