@@ -22,3 +22,8 @@ def test_sentence_chunks_keep_digits_at_their_ends(spark, tmp_path):
     put_documents(spark, tmp_path)
     rows = same(spark, tmp_path, "par14_sentence_chunks")
     assert len(rows) == 3
+
+
+def test_sentence_groups_keep_digits_at_their_ends(spark, tmp_path):
+    put_documents(spark, tmp_path)
+    assert same(spark, tmp_path, "msc7_sentence_groups")
