@@ -40,3 +40,9 @@ def test_tfidf_passes_over_empty_passages(spark, tmp_path):
     put_documents(spark, tmp_path)
     put(spark, tmp_path, "benchmark", [(k * 5 + 2, t) for k, t in enumerate(TEXTS)], "item_id bigint, text string")
     assert same(spark, tmp_path, "rnk11_tfidf")
+
+
+def test_candidates_by_words_at_sentence_ends(spark, tmp_path):
+    texts = [*TEXTS, "See 1 here. 1 alone. 2 more. Only 3", "Port 21 is open. 21 fits. 3 not 2"]
+    put(spark, tmp_path, "documents", list(enumerate(texts)), "doc_id bigint, text string")
+    assert same(spark, tmp_path, "rnk3_candidate_gate")
