@@ -54,19 +54,22 @@ def zipped(left: DataFrame, right: DataFrame, by: list[str], order: str) -> Data
 CJK = "[㐀-䶿一-鿿豈-﫿]"
 
 
-def gate(queries: DataFrame, chunks: DataFrame, scope: str = "source_id", most: int = 32) -> DataFrame:
+def gate(queries: DataFrame, chunks: DataFrame, scope: str = "source_id", most: int = 32, cjk: bool = True) -> DataFrame:
     """(scope, query_id, chunk_id): the chunks that a query is scored against.
 
     A chunk qualifies by any word of the query in its text or heading, or by any two or three CJK
     characters in a row; a query with CJK text that finds nothing takes all chunks of a source of
-    ``most`` chunks at most. Queries need query_text, chunks text and heading (may be null).
+    ``most`` chunks at most. Without ``cjk`` words alone count. Queries need query_text, chunks text
+    and heading (may be null).
     """
     plain = lambda c: F.array_distinct(T.lowered(T.matches(c, "[A-Za-z0-9]+")))
-    wide = lambda c: F.array_distinct(T.cjk_ngrams(c))
+    wide = lambda c: F.array_distinct(T.cjk_ngrams(c)) if cjk else F.array().cast("array<string>")
     heading = F.concat_ws(" ", "text", "heading")
     terms = queries.select(scope, "query_id", F.explode(F.concat(plain(F.col("query_text")), wide(F.col("query_text")))).alias("term"))
     held = chunks.select(scope, "chunk_id", F.explode(F.array_distinct(F.concat(plain(heading), wide(F.col("text"))))).alias("term"))
     found = terms.join(held, [scope, "term"]).select(scope, "query_id", "chunk_id").distinct()
+    if not cjk:
+        return found
     small = chunks.groupBy(scope).count().where(F.col("count") <= most).select(scope)
     empty = queries.where((F.size(T.cjk_ngrams(F.col("query_text"))) > 0) & F.col("query_text").rlike(CJK)).join(found, [scope, "query_id"], "left_anti")
     return found.unionByName(empty.join(small, scope).join(chunks.select(scope, "chunk_id"), scope).select(scope, "query_id", "chunk_id"))

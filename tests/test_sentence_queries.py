@@ -55,3 +55,9 @@ MARKED = ["中文。第二句！ third. 第四\n\n五 5. six", "one\x01two. \x01
 def test_sentence_groups_cut_where_the_sql_cuts(spark, tmp_path):
     put(spark, tmp_path, "documents", [(d * 10 + k, t) for d in range(4) for k, t in enumerate(MARKED)], "doc_id bigint, text string")
     assert same(spark, tmp_path, "msc7_sentence_groups")
+
+
+def test_candidates_by_latin_words_alone(spark, tmp_path):
+    texts = [*MARKED, "中文 a. 中文 b. a 中文。a", "中文。 中文. 中文 two", "第二句. one! two", "中㐀"]
+    put(spark, tmp_path, "documents", list(enumerate(texts)), "doc_id bigint, text string")
+    assert same(spark, tmp_path, "rnk3_candidate_gate")
